@@ -1,0 +1,67 @@
+"""Joins of many rows to per-key facts that hold up when one key owns most rows.
+
+Keys with many rows are found by counting, which combines before the shuffle. Their rows
+are dealt out over slices by a hash of the row itself, so a task that runs again deals
+them out the same way, and the few facts of such a key are repeated once per slice.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ROWS_PER_SLICE = 1_000_000
+# At most this many keys are sliced, so the list of them can always be broadcast. A key
+# that is not among the MAX_HOT largest holds less than 1 / MAX_HOT of all rows.
+MAX_HOT = 1024
+
+
+def hot_keys(
+    counts: DataFrame, key: Sequence[str], n: str = "n", rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """The keys whose rows are worth slicing, with their number of slices."""
+    return (
+        counts.where(F.col(n) > rows_per_slice)
+        .orderBy(F.desc(n), *key)
+        .limit(MAX_HOT)
+        .select(*key, F.ceil(F.col(n) / rows_per_slice).alias("_slices"))
+    )
+
+
+def key_counts(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*key).agg(F.count("*").alias("n"))
+
+
+def spread_join(
+    rows: DataFrame,
+    facts: DataFrame,
+    key: str | Sequence[str],
+    hot: DataFrame | None = None,
+    how: str = "left",
+    spread_by: Sequence[str] | None = None,
+) -> DataFrame:
+    """``rows.join(facts, key, how)`` with the rows of hot keys over many tasks.
+
+    ``hot`` is the result of `hot_keys`; without it the rows are counted. Rows without a
+    key match nothing and are dealt out freely. ``spread_by`` names the columns whose
+    hash deals rows out, by default all.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    if hot is None:
+        hot = hot_keys(key_counts(rows, key), key)
+    dealt = F.xxhash64(*(spread_by or rows.columns))
+    slices = F.coalesce("_slices", F.lit(1))
+    no_key = F.lit(False)
+    for name in key:
+        no_key = no_key | F.col(name).isNull()
+    sliced_rows = rows.join(F.broadcast(hot), key, "left").withColumn(
+        "_slice", F.when(no_key, dealt).otherwise(F.pmod(dealt, slices))
+    )
+    sliced_facts = facts.join(F.broadcast(hot), key, "left").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1))
+    )
+    return sliced_rows.drop("_slices").join(
+        sliced_facts.drop("_slices"), [*key, "_slice"], how
+    ).drop("_slice")
