@@ -42,8 +42,8 @@ def keep_letters(text: Column) -> Column:
 
 
 def split_words(text: Column) -> Column:
-    """Split on runs of white space."""
-    return F.split(text, r"\s+")
+    """Split on runs of white space; none at the end makes an empty word."""
+    return F.split(F.rtrim(text), r"\s+")
 
 
 def clean_words(text: Column) -> Column:

@@ -134,7 +134,7 @@ def top_k_per_batch(
         .join(next_block, [word, "_block"])
         .withColumn("_until", F.coalesce("_next", "_next_start", F.lit(2**LEVELS)))
     )
-    step = F.shiftleft(F.lit(1).cast("bigint"), level)
+    step = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
     # A span of n batches has no node above level log2(n).
     highest = F.length(F.bin(F.col("_until") - F.col("_from"))) - 1
     levels = F.explode(F.sequence(F.lit(0), highest)).alias("_level")
@@ -142,8 +142,8 @@ def top_k_per_batch(
         word,
         total,
         level,
-        F.shiftright(F.col("_from") + step - 1, level).alias("_first"),
-        F.shiftright("_until", level).alias("_last"),
+        F.call_function("shiftright", F.col("_from") + step - 1, level).alias("_first"),
+        F.call_function("shiftright", F.col("_until"), level).alias("_last"),
     )
     cut = ends.where(first < last).select(
         word,
@@ -159,7 +159,7 @@ def top_k_per_batch(
     batches = running.select(batch_no).distinct()
     all_levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_level")
     looks = batches.select(batch_no, all_levels).withColumn(
-        "_node", F.shiftright(F.col(batch_no), level)
+        "_node", F.call_function("shiftright", F.col(batch_no), level)
     )
     looked_at = looks.groupBy(*node_keys).agg(F.count("*").alias("n"))
     found = spread_join(

@@ -16,9 +16,13 @@ def table_stream(
 ) -> DataFrame:
     """A growing parquet table as a stream; ``files_per_batch`` limits each batch.
 
-    The schema is that of the files already there.
+    The schema is that of the files already there, of which there must be one.
     """
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    table = spark.read.parquet(path)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    if table.inputFiles()[0].endswith(f"{folder}/{name}"):
+        path = f"{folder}/{{{name}}}"  # a single file, which only a pattern may name
+    reader = spark.readStream.schema(table.schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
