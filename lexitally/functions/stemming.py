@@ -1,13 +1,15 @@
 """Porter's suffix stripper as a chain of regular expressions on one Column.
 
-A ``y`` counts as a vowel after a consonant and as a consonant elsewhere. The chain
-first writes each vowel ``y`` as ``Y``; from then on "vowel" and "consonant" are plain
-character classes, and since later steps only cut or rewrite the end of a word, the
-marks stay right. Each step mentions its input once, so the chain stays linear in size
-and runs wherever a Column does: in a projection, inside ``transform`` or on a stream.
-
-Conditions on what is left of a suffix are prefixes of the pattern. They use possessive
-quantifiers, so a word of any length is matched in linear time.
+Two ideas keep it short and fast. A ``y`` counts as a vowel after a consonant and as a
+consonant elsewhere, so the chain first writes each vowel ``y`` as ``Y``; from then on
+"vowel" and "consonant" are plain character classes, and the marks stay right since later
+steps only cut or rewrite the end of a word. And the word is turned round, so that its
+suffix is what a pattern meets first: most patterns fail on their first letter, and
+conditions on the rest of the word are what follows.
+
+Each step mentions its input once, so the chain stays linear in size and runs wherever a
+Column does: in a projection, inside ``transform`` or on a stream. Conditions use
+possessive quantifiers, so a word of any length is matched in linear time.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from pyspark.sql import functions as F
 VOWEL = "[aeiouY]"
 CONSONANT = "[^aeiouY]"
 
-# Prefix conditions: has a vowel, has one or more / two or more vowel-consonant turns.
+# Conditions on the rest of a word, read backwards: it has a vowel; it goes from a vowel to
+# a consonant at least once ("one turn") or twice.
 HAS_VOWEL = f"{CONSONANT}*+{VOWEL}"
-ONE_TURN = f"{CONSONANT}*+{VOWEL}++{CONSONANT}"
-TWO_TURNS = f"{CONSONANT}*+{VOWEL}++{CONSONANT}++{VOWEL}++{CONSONANT}"
+ONE_TURN = f"{VOWEL}*+{CONSONANT}++{VOWEL}"
+TWO_TURNS = f"{ONE_TURN}++{CONSONANT}++{VOWEL}"
 # One turn, ending consonant-vowel-consonant, the last not w, x or y.
-SHORT_STEM = f"{CONSONANT}++{VOWEL}[^aeiouYwxy]"
+SHORT = f"[^aeiouYwxy]{VOWEL}{CONSONANT}++$"
 
 # Suffix and replacement, applied where the rest has one turn or more.
 DOUBLE_SUFFIXES = {
@@ -67,10 +70,14 @@ LAST_SUFFIXES = (
 ).split()
 
 
-def _longest_only(suffix: str, suffixes) -> str:
-    """Lookbehinds that stop a suffix from matching inside a longer one of the step."""
+def _backwards(text: str) -> str:
+    return text[::-1]
+
+
+def _not_in_longer(suffix: str, suffixes) -> str:
+    """Lookaheads that stop a suffix from matching inside a longer one of the step."""
     longer = [s[: -len(suffix)] for s in suffixes if s != suffix and s.endswith(suffix)]
-    return "".join(f"(?<!{head})" for head in longer)
+    return "".join(f"(?!{_backwards(head)})" for head in longer)
 
 
 def _swap_suffixes(word: Column, table: dict[str, str], condition: str) -> Column:
@@ -82,12 +89,12 @@ def _swap_suffixes(word: Column, table: dict[str, str], condition: str) -> Colum
     by_tail: dict[str, list[str]] = {}
     for suffix, replacement in table.items():
         shared = commonprefix([suffix, replacement])
-        rule = f"{_longest_only(suffix, table)}{shared}(?={suffix[len(shared):]}$)"
-        by_tail.setdefault(replacement[len(shared):], []).append(rule)
+        cut, kept = _backwards(suffix[len(shared):]), _backwards(shared)
+        rest = f"{_not_in_longer(suffix, table)}{condition}"
+        by_tail.setdefault(replacement[len(shared):], []).append(f"{cut}(?={kept}{rest})")
     # Longer tails first: what they write ends in e, which no other suffix does.
     for tail in sorted(by_tail, key=len, reverse=True):
-        pattern = f"^({condition}.*(?:{'|'.join(by_tail[tail])})).*$"
-        word = F.regexp_replace(word, pattern, f"$1{tail}")
+        word = F.regexp_replace(word, f"^(?:{'|'.join(by_tail[tail])})", _backwards(tail))
     return word
 
 
@@ -98,12 +105,16 @@ def mark_vowel_y(word: Column) -> Column:
     consonant and with the second at the start of the word or after a vowel.
     """
     first = r"(?<=[^aeiouy])|(?<=^y)|(?<=[aeiou]y)"
-    return F.regexp_replace(word, rf"(?:{first}|\G(?!^))y(y?)", "Y$1")
+    marked = F.regexp_replace(word, rf"(?:{first}|\G(?!^))y(y?)", "Y$1")
+    return F.when(F.contains(word, F.lit("y")), marked).otherwise(word)
+
+
+# The steps work on marked words turned round.
 
 
 def drop_plural(word: Column) -> Column:
     """sses to ss, ies to i, and a final s that follows no s goes."""
-    return F.regexp_replace(word, "(?:(?<=ss)es|(?<=i)es|(?<=[^s])s)$", "")
+    return F.regexp_replace(word, "^(?:se(?=ss|i)|s(?=[^s]))", "")
 
 
 def drop_past_and_gerund(word: Column) -> Column:
@@ -112,15 +123,15 @@ def drop_past_and_gerund(word: Column) -> Column:
     ``#`` marks the place of a removed ed or ing until the tidying is done: at, bl, iz
     and short stems get an e back, doubled letters other than l, s, z become single.
     """
-    word = F.regexp_replace(word, f"^({ONE_TURN}.*ee)d$", "$1")
-    word = F.regexp_replace(word, f"^({HAS_VOWEL}.*)(?:(?<!e)ed|ing)$", "$1#")
-    word = F.regexp_replace(word, f"^(.*(?:at|bl|iz)|{SHORT_STEM})#$", "$1e")
-    return F.regexp_replace(word, r"(?:([^aeiouyYlsz])\1|(Y)y)?#$", "$1$2")
+    word = F.regexp_replace(word, f"^d(?=ee{ONE_TURN})", "")
+    word = F.regexp_replace(word, f"^(?:de(?!e)|gni)(?={HAS_VOWEL})", "#")
+    word = F.regexp_replace(word, f"^#(?=ta|lb|zi|{SHORT})", "e")
+    return F.regexp_replace(word, r"^#(?:([^aeiouyYlsz])(?=\1)|y(?=Y))?", "")
 
 
 def final_y_to_i(word: Column) -> Column:
     """A final y becomes i if there is a vowel before it."""
-    return F.regexp_replace(word, f"^({HAS_VOWEL}.*)[yY]$", "$1i")
+    return F.regexp_replace(word, f"^[yY](?={HAS_VOWEL})", "i")
 
 
 def swap_double_suffixes(word: Column) -> Column:
@@ -132,17 +143,18 @@ def swap_single_suffixes(word: Column) -> Column:
 
 
 def drop_last_suffix(word: Column) -> Column:
-    guards = {"ion": "(?<=[st])"}
+    needs = {"ion": "(?=[st])"}
     rules = [
-        f"{_longest_only(s, LAST_SUFFIXES)}{guards.get(s, '')}{s}" for s in LAST_SUFFIXES
+        f"{_backwards(s)}{_not_in_longer(s, LAST_SUFFIXES)}{needs.get(s, '')}"
+        for s in LAST_SUFFIXES
     ]
-    return F.regexp_replace(word, f"^({TWO_TURNS}.*)(?:{'|'.join(rules)})$", "$1")
+    return F.regexp_replace(word, f"^(?:{'|'.join(rules)})(?={TWO_TURNS})", "")
 
 
 def drop_final_e_and_l(word: Column) -> Column:
     """A final e goes unless the rest is short; a final ll becomes l after two turns."""
-    word = F.regexp_replace(word, f"^(?!{SHORT_STEM}e$)({ONE_TURN}.*)e$", "$1")
-    return F.regexp_replace(word, f"^(?={TWO_TURNS})(.*l)l$", "$1")
+    word = F.regexp_replace(word, f"^e(?!{SHORT})(?={ONE_TURN})", "")
+    return F.regexp_replace(word, f"^l(?=l)(?={TWO_TURNS})", "")
 
 
 STEPS = (
@@ -158,10 +170,10 @@ STEPS = (
 
 def stem(word: Column) -> Column:
     """Stem of a lower-case word; words of one or two letters stay as they are."""
-    out = mark_vowel_y(word)
+    out = F.reverse(mark_vowel_y(word))
     for step in STEPS:
         out = step(out)
-    return F.when(F.length(word) > 2, F.lower(out)).otherwise(word)
+    return F.when(F.length(word) > 2, F.lower(F.reverse(out))).otherwise(word)
 
 
 def sound_pattern(word: Column) -> Column:

@@ -27,27 +27,40 @@ def split_path(url: Column) -> Column:
     )
 
 
-def extract_host(parts: Column, marker: str = HOST_MARKER) -> Column:
-    """First part that contains the host marker, or NULL."""
-    return F.try_element_at(F.filter(parts, lambda p: F.contains(p, F.lit(marker))), F.lit(1))
+# The next two look at the parts of a decoded URL by searching for slashes in it, without
+# making an array of them. Markers hold no slash.
 
 
-def extract_product_id(parts: Column, marker: str = PRODUCT_MARKER) -> Column:
+def extract_host(url: Column, marker: str = HOST_MARKER) -> Column:
+    """First part of a decoded URL that contains the host marker, or NULL."""
+    mark = F.lit(marker)
+    before = F.substring_index(url, marker, 1)
+    onwards = F.substring(url, F.locate(marker, url), F.length(url))
+    part = F.concat(F.substring_index(before, "/", -1), F.substring_index(onwards, "/", 1))
+    return F.when(F.contains(url, mark), part)
+
+
+def extract_product_id(url: Column, marker: str = PRODUCT_MARKER) -> Column:
     """Part after the first one that contains the marker, or NULL past the end.
 
-    Without such a part the position found is 0, so the first part is the answer.
+    A URL without such a part gives its first part, as if the marker were in a part
+    before it.
     """
-    marked = F.transform(parts, lambda p: F.contains(p, F.lit(marker)))
-    return F.try_element_at(parts, (F.array_position(marked, True) + 1).cast("int"))
+    trimmed = F.rtrim(url, F.lit("/"))
+    onwards = F.substring(trimmed, F.locate(marker, trimmed), F.length(trimmed))
+    following = F.substring_index(F.substring_index(onwards, "/", 2), "/", -1)
+    first = F.when((trimmed != "") | (url == ""), F.substring_index(trimmed, "/", 1))
+    marked = F.contains(trimmed, F.lit(marker))
+    return F.when(marked & F.contains(onwards, F.lit("/")), following).when(~marked, first)
 
 
 def product_locator(
     url: Column, host_marker: str = HOST_MARKER, product_marker: str = PRODUCT_MARKER
 ) -> Column:
     """``struct(product_id, host)`` of an encoded URL, or NULL if it is invalid."""
-    parts = split_path(decode_url(url))
-    host = extract_host(parts, host_marker)
-    product_id = extract_product_id(parts, product_marker)
+    decoded = decode_url(url)
+    host = extract_host(decoded, host_marker)
+    product_id = extract_product_id(decoded, product_marker)
     valid = host.isNotNull() & product_id.isNotNull()
     return F.when(valid, F.struct(product_id.alias("product_id"), host.alias("host")))
 

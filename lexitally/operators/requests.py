@@ -13,7 +13,6 @@ from lexitally.functions.urls import (
     decode_url,
     extract_host,
     extract_product_id,
-    split_path,
 )
 from lexitally.operators.keyset import first_wins
 from lexitally.operators.skew import ROWS_PER_SLICE, hot_keys, spread_join
@@ -35,12 +34,17 @@ NO_URL = "Could not extract product URL from the request form Map()"
 def locate(
     requests: DataFrame, host_marker: str = HOST_MARKER, product_marker: str = PRODUCT_MARKER
 ) -> DataFrame:
-    """The requests with ``product_id`` and ``host``, both NULL if the URL is invalid."""
-    parts = requests.withColumn("_parts", split_path(decode_url(F.col("url"))))
-    found = parts.select(
+    """The requests with ``product_id`` and ``host``, both NULL if the URL is invalid.
+
+    The two come out of `inline`: a filter on a plain column would be pushed down with
+    the whole parsing in it, which would then be done again for every mention.
+    """
+    decoded = requests.withColumn("_decoded", decode_url(F.col("url")))
+    product_id = extract_product_id(F.col("_decoded"), product_marker)
+    host = extract_host(F.col("_decoded"), host_marker)
+    found = decoded.select(
         *requests.columns,
-        extract_product_id(F.col("_parts"), product_marker).alias("_id"),
-        extract_host(F.col("_parts"), host_marker).alias("_host"),
+        F.inline(F.array(F.struct(product_id.alias("_id"), host.alias("_host")))),
     )
     valid = F.col("_id").isNotNull() & F.col("_host").isNotNull()
     return found.select(

@@ -11,7 +11,7 @@ from lexitally.functions import addresses, markup, stemming, text, urls
 from lexitally.operators import counts, keyset, ranking
 from lexitally.operators import requests as asked
 from lexitally.plans import jobs
-from lexitally.session import scratch_dir
+from lexitally.session import scratch_dir, written
 from lexitally.sources import feeds, stores
 from lexitally.sources.tables import (
     descriptions,
@@ -84,7 +84,7 @@ def xml_editorial_review(spark, folder):
 def publish_descriptions(spark, folder):
     """The accepted descriptions, appended batch by batch and read back."""
     store = stores.BatchStore(spark, scratch_dir(spark, "publish"))
-    accepted = asked.accepted_descriptions(requests(spark, folder), descriptions(spark, folder))
+    accepted = written(accepted_descriptions(spark, folder), "accepted")
     for batch_id, part in enumerate(jobs.parts_by_time(accepted, "ts", PART_CUTS)):
         store.write(stores.DESCRIPTIONS, batch_id, part.select("product_id", "text"))
         store.commit(batch_id)
@@ -110,7 +110,7 @@ def scan_seen(spark, folder):
 
 def counted_in_parts(spark, folder) -> stores.BatchStore:
     store = stores.BatchStore(spark, scratch_dir(spark, "counts"))
-    accepted = asked.accepted_descriptions(requests(spark, folder), descriptions(spark, folder))
+    accepted = written(accepted_descriptions(spark, folder), "accepted")
     for batch_id, part in enumerate(jobs.parts_by_time(accepted, "ts", PART_CUTS)):
         store.write(stores.DELTAS, batch_id, counts.word_counts(part))
         store.commit(batch_id)
@@ -158,19 +158,19 @@ def split_path(spark, folder):
 
 @query
 def extract_host(spark, folder):
-    parts = urls.split_path(urls.decode_url(F.col("url")))
+    decoded = urls.decode_url(F.col("url"))
     return read_table(spark, folder, "pages").select(
-        "page_id", urls.extract_host(parts, "example.").alias("host")
+        "page_id", urls.extract_host(decoded, "example.").alias("host")
     )
 
 
 @query
 def extract_product_id(spark, folder):
-    parts = urls.split_path(urls.decode_url(F.col("url")))
+    decoded = urls.decode_url(F.col("url"))
     return read_table(spark, folder, "pages").select(
         "page_id",
-        urls.extract_product_id(parts, "example.").alias("product_id"),
-        urls.extract_product_id(parts, "blog").alias("product_id_blog"),
+        urls.extract_product_id(decoded, "example.").alias("product_id"),
+        urls.extract_product_id(decoded, "blog").alias("product_id_blog"),
     )
 
 
@@ -267,11 +267,11 @@ def stem_steps(spark, folder):
     """Every distinct word longer than two letters after each step of the stemmer."""
     words = counts.plain_words(documents(spark, folder)).distinct()
     out = words.where(F.length("word") > 2).withColumn(
-        "_w", stemming.mark_vowel_y(F.col("word"))
+        "_w", F.reverse(stemming.mark_vowel_y(F.col("word")))
     )
     for step in stemming.STEPS:
         out = out.withColumn("_w", step(F.col("_w"))).withColumn(
-            step.__name__, F.lower("_w")
+            step.__name__, F.lower(F.reverse("_w"))
         )
     return out.drop("_w")
 
@@ -357,7 +357,8 @@ def running_counts(spark, folder):
 
 @query
 def running_word_counts(spark, folder):
-    return counts.running_counts(batch_word_counts(spark, folder), batch="day")
+    deltas = written(batch_word_counts(spark, folder), "deltas")
+    return counts.running_counts(deltas, batch="day")
 
 
 @query
@@ -480,8 +481,8 @@ def top_k_per_batch(spark, folder):
 @query
 def top_words_per_batch(spark, folder):
     """The first ten words after every day on which a description was accepted."""
-    running = with_day_number(running_word_counts(spark, folder))
-    return ranking.top_k_per_batch(running, 10)
+    running = written(running_word_counts(spark, folder), "running")
+    return ranking.top_k_per_batch(with_day_number(running), 10)
 
 
 # --- requests -------------------------------------------------------------------------
@@ -553,7 +554,7 @@ def request_parts(spark, folder) -> list[DataFrame]:
 
 
 def accepted_parts(spark, folder) -> list[DataFrame]:
-    accepted = asked.accepted_descriptions(requests(spark, folder), descriptions(spark, folder))
+    accepted = written(accepted_descriptions(spark, folder), "accepted")
     return jobs.parts_by_time(accepted, "ts", PART_CUTS)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
@@ -15,6 +15,8 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
         .appName("lexitally")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
+        # Stemming works hard on few bytes, so small shuffles stay in several pieces.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -38,3 +40,23 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="lexitally-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, for plans that read them several times."""
+    spark = rows.sparkSession
+    path = scratch_dir(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table to be worked on row by row, over all cores.
+
+    Texts cost far more to work on than to read. A table in no more pieces than there are
+    cores is dealt out first; larger tables are left as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() <= cores:
+        return table.repartition(cores)
+    return table

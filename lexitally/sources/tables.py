@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitally.session import spread
+
+
+# Tables whose rows are long texts.
+TEXTS = ("documents", "pages", "benchmark", "conversations")
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(table) if name in TEXTS else table
 
 
 def request_rows(events: DataFrame) -> DataFrame:
