@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,37 +52,52 @@ def locate(
     )
 
 
+def requested_products(requests: DataFrame) -> DataFrame:
+    """Per validly requested product its ``first`` request and its requests ``n``."""
+    firsts = first_wins(locate(requests), "product_id", ORDER)
+    return firsts.select("product_id", F.struct(*ORDER).alias("first"), "n")
+
+
 def product_facts(
-    located: DataFrame, descriptions: DataFrame, seen: DataFrame | None = None
+    products: DataFrame, descriptions: DataFrame, seen: DataFrame | None = None
 ) -> DataFrame:
-    """Per requested product: its first request, its number of requests ``n``, whether
-    it is stored already and whether it has a description."""
-    firsts = first_wins(located, "product_id", ORDER)
-    described = descriptions.where(F.col("text").isNotNull()).select("product_id").distinct()
-    facts = firsts.select(
-        "product_id", F.struct(*ORDER).alias("first"), "n"
-    ).join(described.withColumn("found", F.lit(True)), "product_id", "left")
+    """The requested products with flags: has a description, is stored already.
+
+    Descriptions and stored keys are cut down to the requested products first. Where
+    these are few, as in a micro-batch, Spark sends them to the large tables, which then
+    need no shuffle.
+    """
+    def flagged(table: DataFrame, name: str) -> DataFrame:
+        asked = products.select("product_id")
+        keys = table.select("product_id").join(asked, "product_id", "left_semi").distinct()
+        return keys.withColumn(name, F.lit(True))
+
+    described = descriptions.where(F.col("text").isNotNull())
+    facts = products.join(flagged(described, "found"), "product_id", "left")
     if seen is None:
         return facts.withColumn("stored", F.lit(False))
-    stored = seen.select("product_id").distinct().withColumn("stored", F.lit(True))
-    return facts.join(stored, "product_id", "left")
+    return facts.join(flagged(seen, "stored"), "product_id", "left")
 
 
 def request_outcome(
     requests: DataFrame,
     descriptions: DataFrame,
     seen: DataFrame | None = None,
+    products: DataFrame | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
-    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One status and message per request.
 
     In this order: an invalid URL is 400, a product stored before is 200, one without a
     description is 404, the first request of any other is 201 and the later ones 200.
+
+    ``products`` are the `requested_products` of these requests. They are used several
+    times; given as a written table they save reading the requests as often.
     """
-    located = locate(requests).select("request_id", "ts", "url", *keep, "product_id", "host")
-    facts = product_facts(located, descriptions, seen)
-    hot = hot_keys(facts, ["product_id"], rows_per_slice=rows_per_slice)
+    located = locate(requests).select("request_id", "ts", "url", "product_id", "host")
+    products = requested_products(requests) if products is None else products
+    facts = product_facts(products, descriptions, seen)
+    hot = hot_keys(products, ["product_id"], rows_per_slice=rows_per_slice)
     rows = spread_join(
         located, facts.drop("n"), "product_id", hot=hot, spread_by=["request_id"]
     )
@@ -109,7 +122,7 @@ def request_outcome(
     return (
         rows.withColumn("status", status.cast("bigint"))
         .withColumn("message", message)
-        .select("request_id", "ts", *keep, "product_id", "host", "status", "message")
+        .select("request_id", "ts", "product_id", "host", "status", "message")
     )
 
 

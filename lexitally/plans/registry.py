@@ -508,7 +508,9 @@ def missing_report(spark, folder):
 
 @query
 def request_outcome(spark, folder):
-    return asked.request_outcome(requests(spark, folder), descriptions(spark, folder))
+    asking = requests(spark, folder)
+    products = written(asked.requested_products(asking), "products")
+    return asked.request_outcome(asking, descriptions(spark, folder), products=products)
 
 
 @query

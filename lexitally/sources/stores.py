@@ -19,6 +19,7 @@ from lexitally.operators.counts import merge_counts
 
 BATCH = "batch_id"
 # Tables of a store.
+PRODUCTS = "products"
 OUTCOMES = "outcomes"
 SEEN = "seen"
 DESCRIPTIONS = "descriptions"
@@ -41,6 +42,10 @@ class BatchStore:
     def write(self, table: str, batch_id: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/{table}/{BATCH}={batch_id}")
 
+    def part(self, table: str, batch_id: int) -> DataFrame:
+        """What one batch wrote to a table, committed or not."""
+        return self.spark.read.parquet(f"{self.root}/{table}/{BATCH}={batch_id}")
+
     def read(self, table: str, schema: str | StructType, until: int | None = None) -> DataFrame:
         """Rows of the committed batches, or of those up to ``until``."""
         newest = self.newest()

@@ -16,12 +16,17 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from lexitally.functions.text import Tokenizer, tokenize
 from lexitally.operators.counts import flat_tokens, word_counts
-from lexitally.operators.requests import CREATED, locate, request_outcome
+from lexitally.operators.requests import (
+    CREATED,
+    locate,
+    request_outcome,
+    requested_products,
+)
 from lexitally.sources.stores import (
     DELTAS,
     DESCRIPTIONS,
-    DESCRIPTIONS_SCHEMA,
     OUTCOMES,
+    PRODUCTS,
     SEEN,
     SEEN_SCHEMA,
     BatchStore,
@@ -113,17 +118,16 @@ def run_requests(
     """
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        spark = store.spark
         seen = store.read(SEEN, SEEN_SCHEMA)
-        store.write(OUTCOMES, batch_id, request_outcome(rows, descriptions, seen))
-        outcomes = spark.read.parquet(f"{store.root}/{OUTCOMES}/batch_id={batch_id}")
-        fresh = outcomes.where(F.col("status") == CREATED).select("product_id")
-        texts = fresh.join(descriptions, "product_id").select("product_id", "text")
+        store.write(PRODUCTS, batch_id, requested_products(rows))
+        products = store.part(PRODUCTS, batch_id)
+        outcomes = request_outcome(rows, descriptions, seen, products)
+        store.write(OUTCOMES, batch_id, outcomes)
+        created = F.col("status") == CREATED
+        fresh = store.part(OUTCOMES, batch_id).where(created).select("product_id")
         store.write(SEEN, batch_id, fresh)
-        store.write(DESCRIPTIONS, batch_id, texts)
-        accepted = spark.read.schema(DESCRIPTIONS_SCHEMA).parquet(
-            f"{store.root}/{DESCRIPTIONS}/batch_id={batch_id}"
-        )
-        store.write(DELTAS, batch_id, word_counts(accepted))
+        texts = descriptions.join(store.part(SEEN, batch_id), "product_id")
+        store.write(DESCRIPTIONS, batch_id, texts.select("product_id", "text"))
+        store.write(DELTAS, batch_id, word_counts(store.part(DESCRIPTIONS, batch_id)))
 
     return run_batches(requests, store, checkpoint, write, interval_millis)
