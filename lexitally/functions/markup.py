@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexitally.functions.once import let
+
 # Elements whose start ends an open paragraph (HTML standard, 4.4.1).
 PARAGRAPH_ENDERS = (
     "address article aside blockquote center details dialog dir div dl fieldset "
@@ -39,27 +41,50 @@ def _without_raw_text(html: Column) -> Column:
     return F.regexp_replace(html, rf"(?is)<!--(?:.*?-->|.*+)|{raw}", "")
 
 
-def _element_body(html: Column, opening: str, tag: Column) -> Column:
-    """What follows the first match of ``opening`` up to the end of that element.
+def _kept_length(pieces: Column, tag: Column) -> Column:
+    """Length of the pieces up to the end of the element they begin in.
 
-    The rest of the page is cut before each start or end tag of the same name. Pieces
-    count as inside while more elements were opened than closed; only their lengths are
-    added up, so the page itself is copied once.
+    Each piece but the first begins with a start or end tag of the element's name. Pieces
+    count while more of these elements were opened than closed.
     """
-    rest = F.regexp_extract(html, f"(?is){opening}(.*)", 2)
-    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])")))
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept"))
 
     def step(acc: Column, piece: Column) -> Column:
-        opens = F.startswith(F.lower(piece), F.concat(F.lit("<"), F.lower(tag)))
-        closes = F.startswith(F.lower(piece), F.concat(F.lit("</"), F.lower(tag)))
-        change = F.when(opens, 1).when(closes, -1).otherwise(0)
+        begin = F.lower(F.substring(piece, F.lit(1), F.length(tag) + 2))
+        opens = F.startswith(begin, F.concat(F.lit("<"), tag))
+        closes = begin == F.concat(F.lit("</"), tag)
+        change = F.when(closes, -1).when(opens, 1).otherwise(0)
         depth = F.when(acc.depth > 0, acc.depth + change).otherwise(0)
         kept = acc.kept + F.when(depth > 0, F.length(piece)).otherwise(0)
         return F.struct(depth.alias("depth"), kept.alias("kept"))
 
-    kept = F.aggregate(pieces, start, step, lambda acc: acc.kept)
-    return F.substring(rest, F.lit(1), kept)
+    return F.aggregate(pieces, start, step, lambda acc: acc.kept)
+
+
+def _element_body(found: Column) -> Column:
+    """Of ``struct(tag, rest)``, the rest up to the end of the element; NULL if no tag."""
+    tag, rest = found["tag"], found["rest"]
+    cut = F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])"))
+    body = F.substring(rest, F.lit(1), _kept_length(F.split(rest, cut), tag))
+    return F.when(tag != "", body)
+
+
+def _paragraph_text(body: Column) -> Column:
+    """Text of the first paragraph; NULL if the body has none."""
+    # The start of the paragraph is kept to tell an empty paragraph from none.
+    start = F.regexp_extract(body, r"(?is)(<p(?:\s[^<>]*+)?>.*)", 1)
+    enders = "|".join(PARAGRAPH_ENDERS)
+
+    def text_of(paragraph: Column) -> Column:
+        inner = F.regexp_replace(paragraph, "^<[^<>]*+>", "")
+        text = F.split(inner, rf"(?i)</p\s*>|<(?:{enders})(?=[\s/>])", 2)[0]
+        text = F.regexp_replace(text, r"(?i)<br\s*+/?+>", " ")
+        text = F.regexp_replace(text, "<[^<>]*+>", "")
+        for entity, char in ENTITIES.items():
+            text = F.replace(text, F.lit(entity), F.lit(char))
+        return F.when(paragraph != "", F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+    return let(start, text_of)
 
 
 def first_paragraph(
@@ -69,24 +94,20 @@ def first_paragraph(
 
     With ``element_id=None`` the scope is the first element named ``element``.
     """
-    attribute = "" if element_id is None else rf"""\sid\s*=\s*["']?{element_id}["'\s>]"""
     if element_id is None:
-        opening = rf"<({element})(?=[\s>])[^<>]*+>"
+        opening = rf"(?is)<({element})(?=[\s>])[^<>]*+>(.*)"
     else:
-        opening = rf"<({element})(?=[^<>]*{attribute})[^<>]*+>"
-    page = _without_raw_text(html)
-    tag = F.regexp_extract(page, f"(?is){opening}", 1)
-    body = _element_body(page, opening, tag)
-    after = F.regexp_extract(body, r"(?is)<p(?:\s[^<>]*+)?>(.*)", 1)
-    enders = "|".join(PARAGRAPH_ENDERS)
-    inner = F.split(after, rf"(?i)</p\s*>|<(?:{enders})(?=[\s/>])", 2)[0]
-    text = F.regexp_replace(inner, r"(?i)<br\s*+/?+>", " ")
-    text = F.regexp_replace(text, "<[^<>]*+>", "")
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    found = (tag != "") & body.rlike(r"(?i)<p(?:\s[^<>]*+)?>")
-    return F.when(found, text)
+        attribute = rf"""\sid\s*=\s*["']?{element_id}["'\s>]"""
+        opening = rf"(?is)<({element})(?=[^<>]*{attribute})[^<>]*+>(.*)"
+
+    def open_element(page: Column) -> Column:
+        return F.struct(
+            F.lower(F.regexp_extract(page, opening, 1)).alias("tag"),
+            F.regexp_extract(page, opening, 2).alias("rest"),
+        )
+
+    found = let(_without_raw_text(html), open_element)
+    return _paragraph_text(let(found, _element_body))
 
 
 def editorial_review(xml: Column, label: str = REVIEW_LABEL) -> Column:

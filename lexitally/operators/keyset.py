@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitally.functions.addresses import key_address
+from lexitally.functions.once import with_once
 from lexitally.operators.skew import spread_join
 
 
@@ -97,12 +98,8 @@ def batch_remove(store: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def seen_bits(keys: DataFrame, key: str) -> DataFrame:
     """The distinct bit addresses of the keys."""
-    return (
-        keys.where(F.col(key).isNotNull())
-        .select(key_address(F.col(key)).alias("_a"))
-        .select("_a.bucket", "_a.offset")
-        .distinct()
-    )
+    stored = with_once(keys.where(F.col(key).isNotNull()).select(key), _a=key_address(F.col(key)))
+    return stored.select("_a.bucket", "_a.offset").distinct()
 
 
 def seen_bitmaps(bits: DataFrame) -> DataFrame:
@@ -130,9 +127,9 @@ def maybe_contains(
 
     Rows are joined to addresses of two numbers, however long the keys are.
     """
-    at = rows.withColumn("_a", key_address(F.col(key))).select(
-        "*", F.col("_a.bucket").alias("_bucket"), F.col("_a.offset").alias("_offset")
-    ).drop("_a")
+    at = with_once(rows, _a=key_address(F.col(key))).select(
+        *rows.columns, F.col("_a.bucket").alias("_bucket"), F.col("_a.offset").alias("_offset")
+    )
     stored = bits.select(
         F.col("bucket").alias("_bucket"),
         F.col("offset").alias("_offset"),

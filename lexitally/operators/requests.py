@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexitally.functions.once import with_once
 from lexitally.functions.urls import (
     HOST_MARKER,
     PRODUCT_MARKER,
@@ -32,17 +33,12 @@ NO_URL = "Could not extract product URL from the request form Map()"
 def locate(
     requests: DataFrame, host_marker: str = HOST_MARKER, product_marker: str = PRODUCT_MARKER
 ) -> DataFrame:
-    """The requests with ``product_id`` and ``host``, both NULL if the URL is invalid.
-
-    The two come out of `inline`: a filter on a plain column would be pushed down with
-    the whole parsing in it, which would then be done again for every mention.
-    """
+    """The requests with ``product_id`` and ``host``, both NULL if the URL is invalid."""
     decoded = requests.withColumn("_decoded", decode_url(F.col("url")))
-    product_id = extract_product_id(F.col("_decoded"), product_marker)
-    host = extract_host(F.col("_decoded"), host_marker)
-    found = decoded.select(
-        *requests.columns,
-        F.inline(F.array(F.struct(product_id.alias("_id"), host.alias("_host")))),
+    found = with_once(
+        decoded,
+        _id=extract_product_id(F.col("_decoded"), product_marker),
+        _host=extract_host(F.col("_decoded"), host_marker),
     )
     valid = F.col("_id").isNotNull() & F.col("_host").isNotNull()
     return found.select(

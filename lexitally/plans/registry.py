@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitally.functions import addresses, markup, stemming, text, urls
+from lexitally.functions.once import with_once
 from lexitally.operators import counts, keyset, ranking
 from lexitally.operators import requests as asked
 from lexitally.plans import jobs
 from lexitally.session import scratch_dir, written
 from lexitally.sources import feeds, stores
 from lexitally.sources.tables import (
+    description_rows,
     descriptions,
     item_xml,
     read_table,
@@ -531,19 +533,17 @@ def end_to_end(spark, folder):
 @query
 def end_to_end_xml(spark, folder):
     """The same with descriptions out of item documents."""
-    found = item_xml(spark, folder).select(
-        F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("product_id"),
-        markup.editorial_review(F.col("xml")).alias("text"),
-    )
+    found = with_once(item_xml(spark, folder), text=markup.editorial_review(F.col("xml")))
+    found = description_rows(found)
     return jobs.top_words(requests(spark, folder), found, TOP)
 
 
 @query
 def end_to_end_html(spark, folder):
     """The same with descriptions out of web pages."""
-    found = read_table(spark, folder, "pages").select(
-        F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("product_id"),
-        markup.first_paragraph(F.col("html"), None, "article").alias("text"),
+    pages = read_table(spark, folder, "pages").withColumnRenamed("page_id", "doc_id")
+    found = description_rows(
+        with_once(pages, text=markup.first_paragraph(F.col("html"), None, "article"))
     )
     return jobs.top_words(requests(spark, folder), found, TOP)
 
@@ -574,9 +574,9 @@ def stream_word_count(spark, folder):
     texts = feeds.table_stream(spark, f"{folder}/documents.parquet")
 
     def publish(totals: DataFrame, batch_id: int) -> None:
-        totals.write.mode("overwrite").parquet(f"{root}/out")
+        counts.stem_counts(totals).write.mode("overwrite").parquet(f"{root}/out")
 
-    writer = streams.stream_word_counts(texts).writeStream.outputMode("complete")
+    writer = streams.stream_plain_counts(texts).writeStream.outputMode("complete")
     writer = writer.foreachBatch(publish).option("checkpointLocation", f"{root}/checkpoint")
     streams.with_trigger(writer, None).start().awaitTermination()
     return spark.read.schema(stores.COUNTS_SCHEMA).parquet(f"{root}/out")

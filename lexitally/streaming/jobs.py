@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from lexitally.functions.text import Tokenizer, tokenize
-from lexitally.operators.counts import flat_tokens, word_counts
+from lexitally.operators.counts import flat_tokens, plain_words, word_counts
 from lexitally.operators.requests import (
     CREATED,
     locate,
@@ -41,12 +41,21 @@ def stream_word_counts(
 ) -> DataFrame:
     """Running counts over a stream of texts, for output mode complete or update.
 
-    A stream allows one aggregation here, so words are stemmed before they are counted.
+    A stream allows one aggregation here, so every token is stemmed before it is counted;
+    `stream_plain_counts` leaves the stemming to the reader of the totals.
     """
     tokens = flat_tokens(texts, text, tokenizer=tokenizer)
     return tokens.groupBy("word").agg(F.count("*").alias("n"))
 
 
+def stream_plain_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Running counts of words that are not stemmed yet, for output mode complete.
+
+    Whoever takes the totals stems them with `stem_counts`, each distinct word once.
+    """
+    return plain_words(texts, text).groupBy("word").agg(F.count("*").alias("n"))
+
+
 def stream_first_wins(
     requests: DataFrame, descriptions: DataFrame, delay: str | None = None
 ) -> DataFrame:
