@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexitally.functions.once import let
+
 # What marks the host part and the part before the product key, and the
 # host endings that have a marketplace of their own.
 HOST_MARKER = "amazon"
@@ -27,42 +29,51 @@ def split_path(url: Column) -> Column:
     )
 
 
-# The next two look at the parts of a decoded URL by searching for slashes in it, without
-# making an array of them. Markers hold no slash.
+def url_text(url: Column) -> Column:
+    """The decoded URL without slashes at its end, as the next two functions take it."""
+    return F.rtrim(decode_url(url), F.lit("/"))
+
 
+# They find parts by searching for slashes, without making an array of them. Markers hold
+# no slash.
 
-def extract_host(url: Column, marker: str = HOST_MARKER) -> Column:
-    """First part of a decoded URL that contains the host marker, or NULL."""
-    mark = F.lit(marker)
-    before = F.substring_index(url, marker, 1)
-    onwards = F.substring(url, F.locate(marker, url), F.length(url))
+
+def extract_host(text: Column, marker: str = HOST_MARKER) -> Column:
+    """First part that contains the host marker, or NULL."""
+    before = F.substring_index(text, marker, 1)
+    onwards = F.substring(text, F.locate(marker, text), F.length(text))
     part = F.concat(F.substring_index(before, "/", -1), F.substring_index(onwards, "/", 1))
-    return F.when(F.contains(url, mark), part)
+    return F.when(F.contains(text, F.lit(marker)), part)
 
 
-def extract_product_id(url: Column, marker: str = PRODUCT_MARKER) -> Column:
+def extract_product_id(text: Column, marker: str = PRODUCT_MARKER) -> Column:
     """Part after the first one that contains the marker, or NULL past the end.
 
     A URL without such a part gives its first part, as if the marker were in a part
     before it.
     """
-    trimmed = F.rtrim(url, F.lit("/"))
-    onwards = F.substring(trimmed, F.locate(marker, trimmed), F.length(trimmed))
+    onwards = F.substring(text, F.locate(marker, text), F.length(text))
     following = F.substring_index(F.substring_index(onwards, "/", 2), "/", -1)
-    first = F.when((trimmed != "") | (url == ""), F.substring_index(trimmed, "/", 1))
-    marked = F.contains(trimmed, F.lit(marker))
-    return F.when(marked & F.contains(onwards, F.lit("/")), following).when(~marked, first)
+    return (
+        F.when(~F.contains(text, F.lit(marker)), F.substring_index(text, "/", 1))
+        .when(F.contains(onwards, F.lit("/")), following)
+    )
 
 
 def product_locator(
     url: Column, host_marker: str = HOST_MARKER, product_marker: str = PRODUCT_MARKER
 ) -> Column:
     """``struct(product_id, host)`` of an encoded URL, or NULL if it is invalid."""
-    decoded = decode_url(url)
-    host = extract_host(decoded, host_marker)
-    product_id = extract_product_id(decoded, product_marker)
-    valid = host.isNotNull() & product_id.isNotNull()
-    return F.when(valid, F.struct(product_id.alias("product_id"), host.alias("host")))
+    def parts_of(text: Column) -> Column:
+        return F.struct(
+            extract_product_id(text, product_marker).alias("product_id"),
+            extract_host(text, host_marker).alias("host"),
+        )
+
+    def valid_only(found: Column) -> Column:
+        return F.when(found["product_id"].isNotNull() & found["host"].isNotNull(), found)
+
+    return let(let(url_text(url), parts_of), valid_only)
 
 
 def marketplace(host: Column, by_label: bool = True) -> Column:

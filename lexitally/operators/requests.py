@@ -9,9 +9,9 @@ from lexitally.functions.once import with_once
 from lexitally.functions.urls import (
     HOST_MARKER,
     PRODUCT_MARKER,
-    decode_url,
     extract_host,
     extract_product_id,
+    url_text,
 )
 from lexitally.operators.keyset import first_wins
 from lexitally.operators.skew import ROWS_PER_SLICE, hot_keys, spread_join
@@ -34,11 +34,11 @@ def locate(
     requests: DataFrame, host_marker: str = HOST_MARKER, product_marker: str = PRODUCT_MARKER
 ) -> DataFrame:
     """The requests with ``product_id`` and ``host``, both NULL if the URL is invalid."""
-    decoded = requests.withColumn("_decoded", decode_url(F.col("url")))
+    text = F.col("_text")
     found = with_once(
-        decoded,
-        _id=extract_product_id(F.col("_decoded"), product_marker),
-        _host=extract_host(F.col("_decoded"), host_marker),
+        requests.withColumn("_text", url_text(F.col("url"))),
+        _id=extract_product_id(text, product_marker),
+        _host=extract_host(text, host_marker),
     )
     valid = F.col("_id").isNotNull() & F.col("_host").isNotNull()
     return found.select(

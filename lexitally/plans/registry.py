@@ -160,19 +160,19 @@ def split_path(spark, folder):
 
 @query
 def extract_host(spark, folder):
-    decoded = urls.decode_url(F.col("url"))
+    found = urls.url_text(F.col("url"))
     return read_table(spark, folder, "pages").select(
-        "page_id", urls.extract_host(decoded, "example.").alias("host")
+        "page_id", urls.extract_host(found, "example.").alias("host")
     )
 
 
 @query
 def extract_product_id(spark, folder):
-    decoded = urls.decode_url(F.col("url"))
+    found = urls.url_text(F.col("url"))
     return read_table(spark, folder, "pages").select(
         "page_id",
-        urls.extract_product_id(decoded, "example.").alias("product_id"),
-        urls.extract_product_id(decoded, "blog").alias("product_id_blog"),
+        urls.extract_product_id(found, "example.").alias("product_id"),
+        urls.extract_product_id(found, "blog").alias("product_id_blog"),
     )
 
 
