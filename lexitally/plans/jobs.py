@@ -32,7 +32,7 @@ def top_words(
 def accepted_by_day(requests: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Counts per day of acceptance and stem: the deltas of one-day batches."""
     accepted = accepted_descriptions(requests, descriptions)
-    day = F.date_trunc("day", F.col("ts")).cast("date").alias("day")
+    day = F.to_date("ts").alias("day")
     return word_counts(accepted.select(day, "text"), keys=["day"])
 
 

@@ -347,7 +347,7 @@ def reduce_by_key(spark, folder):
 
 
 def events_by_day(spark, folder) -> DataFrame:
-    day = F.date_trunc("day", F.col("ts")).cast("date").alias("day")
+    day = F.to_date("ts").alias("day")
     events = read_table(spark, folder, "events").select(day, F.col("event_type").alias("word"))
     return events.groupBy("day", "word").agg(F.count("*").alias("n"))
 
@@ -393,7 +393,7 @@ def first_wins(spark, folder):
 
 @query
 def duplicate_flag(spark, folder):
-    day = F.date_trunc("day", F.col("ts")).cast("date")
+    day = F.to_date("ts")
     located = asked.locate(requests(spark, folder)).withColumn("day", day)
     return keyset.duplicate_flag(located, "product_id", "day")
 
