@@ -23,7 +23,6 @@ ENTITIES = {
     "&gt;": ">",
     "&quot;": '"',
     "&apos;": "'",
-    "&#39;": "'",
     "&nbsp;": " ",
     "&middot;": "·",
     "&copy;": "©",
@@ -69,6 +68,36 @@ def _element_body(found: Column) -> Column:
     return F.when(tag != "", body)
 
 
+def _resolve_entities(text: Column) -> Column:
+    """Numeric and the listed named entities as the characters they stand for."""
+
+    def with_number(piece: Column, at: Column) -> Column:
+        digits = F.regexp_extract(piece, "^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
+        code = F.when(
+            F.startswith(digits, F.lit("x")), F.conv(F.substr(digits, F.lit(2)), 16, 10)
+        ).otherwise(digits).cast("bigint")
+        # Code points are written as four bytes; halves of pairs are none.
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        # An ampersand stays an entity until the named ones are resolved.
+        char = F.when(code == ord("&"), "&amp;").otherwise(char)
+        rest = F.substr(piece, F.length(digits) + 2)
+        return (
+            F.when(at == 0, piece)
+            .when((digits != "") & valid, F.concat(char, rest))
+            .otherwise(F.concat(F.lit("&#"), piece))
+        )
+
+    def numbers(t: Column) -> Column:
+        resolved = F.array_join(F.transform(F.split(t, "&#"), with_number), "")
+        return F.when(F.contains(t, F.lit("&#")), resolved).otherwise(t)
+
+    out = let(text, numbers)
+    for entity, char in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return out
+
+
 def _paragraph_text(body: Column) -> Column:
     """Text of the first paragraph; NULL if the body has none."""
     # The start of the paragraph is kept to tell an empty paragraph from none.
@@ -80,8 +109,7 @@ def _paragraph_text(body: Column) -> Column:
         text = F.split(inner, rf"(?i)</p\s*>|<(?:{enders})(?=[\s/>])", 2)[0]
         text = F.regexp_replace(text, r"(?i)<br\s*+/?+>", " ")
         text = F.regexp_replace(text, "<[^<>]*+>", "")
-        for entity, char in ENTITIES.items():
-            text = F.replace(text, F.lit(entity), F.lit(char))
+        text = _resolve_entities(text)
         return F.when(paragraph != "", F.trim(F.regexp_replace(text, r"\s+", " ")))
 
     return let(start, text_of)

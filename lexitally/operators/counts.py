@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexitally.functions.stemming import stem
 from lexitally.functions.text import Tokenizer, clean_words, is_kept, tokenize
+from lexitally.operators.skew import spread_join
 
 
 def flat_tokens(
@@ -25,20 +26,19 @@ def plain_words(
     texts: DataFrame,
     text: str = "text",
     keys: Sequence[str] = (),
-    stop_words: Sequence[str] | DataFrame | None = None,
+    stop_words: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row per kept word, not stemmed.
-
-    A stop list given as a DataFrame with a column ``word`` is joined, at any size; the
-    long list of words goes through the join's hash or sort, not through a literal.
-    """
+    """One row per kept word, not stemmed."""
     words = texts.select(*keys, F.explode(clean_words(F.col(text))).alias("word"))
-    if isinstance(stop_words, DataFrame):
-        kept = words.where(is_kept(F.col("word"), ()))
-        return kept.join(stop_words.select("word"), "word", "left_anti").select(*keys, "word")
     return words.where(is_kept(F.col("word"), stop_words))
 
 
+def without_listed(counts: DataFrame, listed: DataFrame) -> DataFrame:
+    """Counts per ``word``, and maybe other keys, without the words of a table."""
+    words = listed.select("word").distinct()
+    return spread_join(counts, words, "word", how="left_anti").select(counts.columns)
+
+
 def stem_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Counts per stem from counts per word."""
     stems = counts.select(*keys, stem(F.col("word")).alias("word"), "n")
@@ -55,14 +55,18 @@ def word_counts(
     """How often each stem occurs, over all texts or per value of ``keys``.
 
     Words are counted first and only the distinct ones are stemmed, which gives the same
-    counts since the stem depends on the word alone. A ``tokenizer`` of one's own is
-    applied to each text and counted as it is.
+    counts since the stem depends on the word alone. A stop list may be a table with a
+    column ``word``, of any length. A ``tokenizer`` of one's own is applied to each text
+    and counted as it is.
     """
     if tokenizer is not None:
         tokens = flat_tokens(texts, text, keys, tokenizer)
         return tokens.groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    words = plain_words(texts, text, keys, stop_words)
+    listed = isinstance(stop_words, DataFrame)
+    words = plain_words(texts, text, keys, () if listed else stop_words)
     counts = words.groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    if listed:
+        counts = without_listed(counts, stop_words)
     return stem_counts(counts, keys)
 
 

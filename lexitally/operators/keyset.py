@@ -30,7 +30,7 @@ def contains(
 def new_keys(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """The distinct keys of the rows that are not in ``seen``."""
     keys = rows.where(F.col(key).isNotNull()).select(key).distinct()
-    return keys.join(seen.select(key), key, "left_anti")
+    return keys.join(seen.select(key).distinct(), key, "left_anti")
 
 
 def first_wins(
@@ -90,7 +90,7 @@ def put_overwrite(
 
 def batch_remove(store: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The store without the given keys."""
-    return store.join(keys.select(key), key, "left_anti")
+    return store.join(keys.select(key).distinct(), key, "left_anti")
 
 
 # --- approximate sets: two keys may share a bit -------------------------------------

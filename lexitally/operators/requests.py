@@ -167,7 +167,7 @@ def missing_report(located: DataFrame, descriptions: DataFrame) -> DataFrame:
         .groupBy("product_id")
         .agg(F.count("*").alias("requests"), F.max("ts").alias("last_ts"))
     )
-    described = descriptions.where(F.col("text").isNotNull()).select("product_id")
+    described = descriptions.where(F.col("text").isNotNull()).select("product_id").distinct()
     return asked.join(described, "product_id", "left_anti")
 
 
@@ -181,6 +181,6 @@ def accepted_descriptions(
     """
     firsts = first_wins(locate(requests), "product_id", ORDER).drop("n")
     if seen is not None:
-        firsts = firsts.join(seen.select("product_id"), "product_id", "left_anti")
+        firsts = firsts.join(seen.select("product_id").distinct(), "product_id", "left_anti")
     texts = descriptions.where(F.col("text").isNotNull()).select("product_id", "text")
     return firsts.join(texts, "product_id").select("product_id", *ORDER, "text")

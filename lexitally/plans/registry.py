@@ -253,10 +253,8 @@ def remove_stopwords(spark, folder):
 def remove_listed_words(spark, folder):
     """A stop list of one's own, as a table: here the words of the benchmark passages."""
     listed = counts.plain_words(read_table(spark, folder, "benchmark"), stop_words=())
-    words = counts.plain_words(
-        documents(spark, folder), keys=["doc_id"], stop_words=listed.distinct()
-    )
-    return words.groupBy("doc_id").agg(F.count("*").alias("n"))
+    left = counts.word_counts(documents(spark, folder), keys=["doc_id"], stop_words=listed)
+    return left.groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
 @query

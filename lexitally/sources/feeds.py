@@ -1,4 +1,4 @@
-"""Feeds of requests and descriptions, as tables or as streams."""
+"""Feeds of requests and descriptions as streams, and the topic descriptions go to."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """The request feed as a table of ``request_id, ts, url``."""
-    return spark.read.parquet(path).select("request_id", "ts", "url")
-
-
 def table_stream(
     spark: SparkSession, path: str, files_per_batch: int | None = None
 ) -> DataFrame:

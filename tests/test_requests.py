@@ -118,6 +118,11 @@ def test_first_paragraph(spark):
         ("<div id=productDescription><p>one<p>two</div>", "one"),
         ("<section id='productDescription'><p></p></section>", ""),
         ("<p>x</p>", None),
+        (
+            "<div id=productDescription><p>&#39;a&#x2019; &#8364;&#x1F600; &#38;lt; &#; &#xD800;"
+            " &#99999999; &#0;</div>",
+            "'a’ €😀 &lt; &#; &#xD800; &#99999999; &#0;",
+        ),
         (None, None),
     ]
     frame = spark.createDataFrame([(h,) for h, _ in given], "h string")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexitally.functions import stemming, stopwords, text
-from lexitally.operators.counts import flat_tokens, plain_words, word_counts
+from lexitally.operators.counts import flat_tokens, word_counts
 from lexitally.plans import oracle
 
 TOKENS = [
@@ -135,11 +135,12 @@ def test_late_and_early_stemming_agree(spark):
     assert compare.rows_of(["word", "n"], early.collect()) == late
 
 
-def test_stop_list_as_a_table(spark):
-    frame = spark.createDataFrame([("one two three two",)], "text string")
-    stops = spark.createDataFrame([("two",)], "word string")
-    words = [r.word for r in plain_words(frame, stop_words=stops).collect()]
-    assert sorted(words) == ["one", "three"]
+@pytest.mark.parametrize("keys", [[], ["id"]])
+def test_stop_list_as_a_table(spark, keys):
+    frame = spark.createDataFrame([(1, "one twos three twos")], "id int, text string")
+    stops = spark.createDataFrame([("twos",), ("twos",)], "word string")
+    rows = word_counts(frame, keys=keys, stop_words=stops).collect()
+    assert sorted(r.word for r in rows) == ["on", "three"]
 
 
 def test_own_tokenizer(spark):
