@@ -120,13 +120,13 @@ def drop_plural(word: Column) -> Column:
 def drop_past_and_gerund(word: Column) -> Column:
     """eed to ee; ed and ing go after a vowel, and the end is tidied where they went.
 
-    ``#`` marks the place of a removed ed or ing until the tidying is done: at, bl, iz
-    and short stems get an e back, doubled letters other than l, s, z become single.
+    at, bl, iz and short stems get an e back; doubled letters other than l, s, z become
+    single. What the second pattern writes does not fit the third.
     """
     word = F.regexp_replace(word, f"^d(?=ee{ONE_TURN})", "")
-    word = F.regexp_replace(word, f"^(?:de(?!e)|gni)(?={HAS_VOWEL})", "#")
-    word = F.regexp_replace(word, f"^#(?=ta|lb|zi|{SHORT})", "e")
-    return F.regexp_replace(word, r"^#(?:([^aeiouyYlsz])(?=\1)|y(?=Y))?", "")
+    ending = f"^(?:de(?!e)|gni)(?={HAS_VOWEL})"
+    word = F.regexp_replace(word, f"{ending}(?=ta|lb|zi|{SHORT})", "e")
+    return F.regexp_replace(word, rf"{ending}(?:([^aeiouyYlsz])(?=\1)|y(?=Y))?", "")
 
 
 def final_y_to_i(word: Column) -> Column:
@@ -153,8 +153,9 @@ def drop_last_suffix(word: Column) -> Column:
 
 def drop_final_e_and_l(word: Column) -> Column:
     """A final e goes unless the rest is short; a final ll becomes l after two turns."""
-    word = F.regexp_replace(word, f"^e(?!{SHORT})(?={ONE_TURN})", "")
-    return F.regexp_replace(word, f"^l(?=l)(?={TWO_TURNS})", "")
+    final_e = f"e(?!{SHORT})(?={ONE_TURN})"
+    final_l = f"l(?=l)(?={TWO_TURNS})"
+    return F.regexp_replace(word, f"^(?:{final_e}(?:{final_l})?|{final_l})", "")
 
 
 STEPS = (

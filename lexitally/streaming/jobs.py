@@ -119,11 +119,13 @@ def run_requests(
     store: BatchStore,
     checkpoint: str,
     interval_millis: int | None = INTERVAL_MILLIS,
+    publish: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
     """The whole service: outcomes, stored products, descriptions and counts per batch.
 
     Later steps of a batch read what the earlier ones wrote, so no step is computed
-    twice and all agree on which request came first.
+    twice and all agree on which request came first. ``publish`` is given the accepted
+    descriptions of each batch, to send them on; a batch that runs again sends them again.
     """
 
     def write(rows: DataFrame, batch_id: int) -> None:
@@ -137,6 +139,9 @@ def run_requests(
         store.write(SEEN, batch_id, fresh)
         texts = descriptions.join(store.part(SEEN, batch_id), "product_id")
         store.write(DESCRIPTIONS, batch_id, texts.select("product_id", "text"))
-        store.write(DELTAS, batch_id, word_counts(store.part(DESCRIPTIONS, batch_id)))
+        accepted = store.part(DESCRIPTIONS, batch_id)
+        store.write(DELTAS, batch_id, word_counts(accepted))
+        if publish is not None:
+            publish(accepted)
 
     return run_batches(requests, store, checkpoint, write, interval_millis)

@@ -114,7 +114,15 @@ def test_request_stream_equals_the_batch(spark, folder):
     for rows in REQUESTS:
         asked(spark, rows).write.mode("append").parquet(f"{folder}/feed")
         feed = feeds.table_stream(spark, f"{folder}/feed")
-        jobs.run_requests(feed, found, store, f"{folder}/checkpoint", None).awaitTermination()
+        query = jobs.run_requests(
+            feed,
+            found,
+            store,
+            f"{folder}/checkpoint",
+            None,
+            publish=lambda d: feeds.topic_records(d).write.mode("append").parquet(f"{folder}/topic"),
+        )
+        query.awaitTermination()
     everything = asked(spark, [r for rows in REQUESTS for r in rows])
     outcomes = store.read(stores.OUTCOMES, "request_id bigint, status bigint, message string")
     batch = requests.request_outcome(everything, found)
@@ -123,9 +131,10 @@ def test_request_stream_equals_the_batch(spark, folder):
     accepted = requests.accepted_descriptions(everything, found)
     assert as_dict(store.counts()) == as_dict(counts.word_counts(accepted))
     kept = store.read(stores.DESCRIPTIONS, stores.DESCRIPTIONS_SCHEMA)
-    assert sorted(kept.select("product_id", "text").collect()) == sorted(
-        accepted.select("product_id", "text").collect()
-    )
+    want = sorted(accepted.select("product_id", "text").collect())
+    assert sorted(kept.select("product_id", "text").collect()) == want
+    sent = feeds.topic_text(spark.read.parquet(f"{folder}/topic"))
+    assert sorted(sent.collect()) == want
 
 
 def test_a_description_that_comes_later_is_accepted(spark, folder):
