@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexitally.functions.addresses import key_address
 from lexitally.functions.once import with_once
-from lexitally.operators.skew import spread_join
+from lexitally.operators.skew import hot_keys, key_counts, spread_join
 
 
 def contains(
@@ -125,17 +125,15 @@ def maybe_contains(
 ) -> DataFrame:
     """The rows with a flag ``contained``; never False for a stored key.
 
-    Rows are joined to addresses of two numbers, however long the keys are.
+    Addresses are worked out and looked up once per distinct key.
     """
-    at = with_once(rows, _a=key_address(F.col(key))).select(
-        *rows.columns, F.col("_a.bucket").alias("_bucket"), F.col("_a.offset").alias("_offset")
+    counts = key_counts(rows.where(F.col(key).isNotNull()), [key])
+    at = with_once(counts.select(key), _a=key_address(F.col(key))).select(
+        key, F.col("_a.bucket").alias("bucket"), F.col("_a.offset").alias("offset")
     )
-    stored = bits.select(
-        F.col("bucket").alias("_bucket"),
-        F.col("offset").alias("_offset"),
-        F.lit(True).alias("contained"),
-    )
-    joined = spread_join(at, stored, ["_bucket", "_offset"], spread_by=spread_by)
+    stored = at.join(bits.select("bucket", "offset"), ["bucket", "offset"])
+    flags = stored.select(key, F.lit(True).alias("contained"))
+    joined = spread_join(rows, flags, key, hot_keys(counts, [key]), spread_by=spread_by)
     return joined.withColumn("contained", F.coalesce("contained", F.lit(False))).select(
         *rows.columns, "contained"
     )
