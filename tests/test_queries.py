@@ -6,9 +6,10 @@ from contextlib import redirect_stdout
 import __spark_entry__ as entry
 import compare
 import pytest
+from lexitally.plans import oracle, registry
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = registry.QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +19,7 @@ def con():
 
 @pytest.fixture(scope="module")
 def answers(spark):
-    return entry.oracle_sql()
+    return oracle.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -30,6 +31,11 @@ def test_every_query_has_an_answer(answers):
     assert set(answers) == set(QUERIES)
 
 
+def test_the_entry_has_all_queries(answers):
+    assert set(entry.queries()) >= set(QUERIES)
+    assert entry.oracle_sql().items() >= answers.items()
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == list(range(1, 26))
