@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexitally.llm import mixing as mix
 from lexitally.llm import quality_rules as rules
 
 
@@ -63,3 +64,51 @@ def quality_rules() -> str:
     counts = ", ".join(f"{name}::BIGINT AS {name}" for name in rules.COUNTS)
     return f"""WITH {counted('documents')}
     SELECT doc_id, {counts}, {FAILED} AS base_failed, {kept()} AS kept FROM counted"""
+
+
+EXACT_DEDUP = """SELECT doc_id, max(doc_id) OVER same AS keep_id,
+      count(*) OVER same AS group_size,
+      doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+
+def mixed(documents: str, powers: dict[str, float], share: float, seed: str = "mix") -> str:
+    """A chain of common tables that ends in ``drawn``: one row per document."""
+    classes = " ".join(f"WHEN strlen(text) < {below} THEN '{name}'" for name, below in mix.CLASSES)
+    names = ", ".join(powers)
+    chain = f"""
+    filled AS (
+      SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source,
+        coalesce(lang, '') AS lang FROM {documents}),
+    classed AS MATERIALIZED (
+      SELECT doc_id, source, lang, CASE {classes} ELSE 'book' END AS topic,
+        1 + strlen(text) // {mix.BYTES_PER_TOKEN} AS tokens,
+        ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT
+          / {1 << 52}::DOUBLE AS draw
+      FROM filled),
+    cells0 AS MATERIALIZED (
+      SELECT {names}, sum(tokens)::DOUBLE AS tokens, {share}::DOUBLE AS p
+      FROM classed GROUP BY {names})"""
+    for name, power in powers.items():
+        chain += f""",
+    want_{name} AS MATERIALIZED (
+      SELECT {name}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER ()
+        * sum(sum(tokens)) OVER () * {share} AS want FROM cells0 GROUP BY {name})"""
+    step = 0
+    for _ in range(mix.ROUNDS):
+        for name in powers:
+            chain += f""",
+    cells{step + 1} AS MATERIALIZED (
+      SELECT c.* REPLACE (least(1.0, p * want / have) AS p) FROM cells{step} c
+      JOIN (SELECT {name}, sum(tokens * p) AS have FROM cells{step} GROUP BY {name})
+        USING ({name}) JOIN want_{name} USING ({name}))"""
+            step += 1
+    return chain + f""",
+    drawn AS MATERIALIZED (
+      SELECT d.doc_id, {names}, d.tokens, round(p, 6) AS probability, draw < p AS kept
+      FROM classed d JOIN (SELECT {names}, p FROM cells{step}) USING ({names}))"""
+
+
+def mixing(powers: dict[str, float], share: float) -> str:
+    return f"""WITH {mixed("documents", powers, share)}
+    SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, probability, kept FROM drawn"""
