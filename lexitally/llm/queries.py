@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexitally.llm import (
     exact_dedup,
+    language_id,
     mixing,
     packing,
     quality_rules,
@@ -81,6 +82,16 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("row.doc_id", "counts.*", "base_failed", "kept")
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, folder, "documents")
+    model = language_id.fit(docs)
+    held_out = language_id.is_held_out().alias("held_out")
+    return language_id.predicted(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out, "lang_pred", "score"
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the one of its text that stays."""
     found = exact_dedup.duplicates(table(spark, folder, "documents"))
@@ -106,7 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_mixing, op3_sharding, op4_packing, op5_token_counts, op6_quality_rules,
-        op8_exact_dedup, op9_simhash, op10_token_files,
+        op7_language_id, op8_exact_dedup, op9_simhash, op10_token_files,
     )
 }
 ORACLE_SQL: dict[str, str] = {
