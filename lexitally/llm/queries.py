@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexitally.llm import (
     exact_dedup,
+    html_extraction,
     language_id,
     mixing,
     packing,
@@ -44,6 +45,12 @@ def mixture(docs: DataFrame) -> DataFrame:
     )
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_extraction.extracted(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its probability in the mixture, and whether it was drawn."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
@@ -116,7 +123,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_mixing, op3_sharding, op4_packing, op5_token_counts, op6_quality_rules,
+        op1_html_extraction, op2_mixing, op3_sharding, op4_packing, op5_token_counts, op6_quality_rules,
         op7_language_id, op8_exact_dedup, op9_simhash, op10_token_files,
     )
 }

@@ -285,3 +285,19 @@ def near_groups(
     return prints.join(named, ["narrow", "wide"]).select(
         "doc_id", "narrow", "component_id", "group_size"
     )
+
+
+def deduplicated(
+    docs: DataFrame, method: Method = SIMILAR, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns as they were.
+
+    Of each component the row with the smallest id stays; rows that repeat an id stay or go
+    together. A row without an id goes if its component has one with an id.
+    """
+    groups = near_groups(docs, method, id_col, text_col)
+    going = groups.where("group_size > 1 and not (doc_id <=> component_id)")
+    gone = written(going.select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"))
+    same = F.col("own_id").eqNullSafe(F.col("gone_id"))
+    return rows.join(gone, same, "left_anti").select("row.*")

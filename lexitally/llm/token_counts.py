@@ -28,7 +28,7 @@ from lexitally.llm.encode import LONG, REMEMBERED, slices
 LIMIT = 512
 NONE = np.iinfo(np.int32).max
 # White space as Unicode has it.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The public pattern of byte-level BPE; a fixed value.
 PRE_TOKENS = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+"
