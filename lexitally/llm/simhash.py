@@ -7,14 +7,14 @@ are compared within keys only. Equal fingerprints are one class before that, wha
 number of their documents.
 
 Keys are sorted and walked through; a run of equal keys is compared with itself in pieces
-and gives no more links than it has fingerprints (each to the smallest one it is connected
-to inside the run), never all pairs. Runs of more than ``RUN`` fingerprints are dealt over
+and gives no more links than it has fingerprints (a tree of close pairs for all that are
+connected inside the run), never all pairs. Runs of more than ``RUN`` fingerprints are dealt over
 several tasks, each of which compares two parts of the run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -44,7 +44,8 @@ class Method:
     occurs. ``distance`` bits may differ of 64. Keys are made of ``share`` of ``blocks``
     blocks; no close pair is missed while ``blocks - share >= distance``. If ``wide`` is
     set, a close pair must also differ in at most ``wide_distance`` bits of a second
-    fingerprint of 256 bits over distinct shingles of ``wide`` words.
+    fingerprint of 256 bits over distinct shingles of ``wide`` words. Pairs that differ in
+    fewer bits, by the ``limits``, are linked before others.
     """
 
     shingle: int = 3
@@ -54,14 +55,19 @@ class Method:
     share: int = 3
     wide: int = 0
     wide_distance: int = 0
+    limits: tuple[int, ...] = (64,)
 
 
-# Texts whose sets of five-word shingles are alike by 0.8 or more. At 0.8 a bit of the wide
-# fingerprint differs with probability acos(2 * 0.8 / 1.8) / pi = 0.151, 39 bits of 256;
-# 42 leave room for chance. Sets of single words differ less, which is why they are blocked.
+# Texts whose sets of five-word shingles may be alike by 0.8 or more. At 0.8 a bit of the wide
+# fingerprint differs with probability acos(2 * 0.8 / 1.8) / pi = 0.151, 39 bits of 256; 50
+# are two standard deviations more. Sets of words differ less, which is why they are blocked:
+# of pairs alike by 0.8 nearly all differ in 7 bits at most, which the blocks never miss; of
+# those that differ in up to 11 most share blocks by chance.
 SIMILAR = Method(
-    shingle=1, repeats=False, distance=7, blocks=9, share=2, wide=5, wide_distance=42
+    shingle=1, repeats=False, distance=11, blocks=9, share=2, wide=5, wide_distance=50,
+    limits=(10, 20, 30, 40, 50),
 )
+SIMILARITY = 0.8
 
 
 def shingles(words: list[bytes], size: int) -> Iterable[bytes]:
@@ -182,38 +188,64 @@ def dealt(keys: DataFrame) -> DataFrame:
 
 def _close(
     narrow: np.ndarray, wide: np.ndarray, begin: int, end: int, method: Method
-) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the run that are close, the first of them between begin and end."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of the run that are close, the first of them between begin and end, and
+    the bits in which the wider fingerprints that are compared differ."""
     apart = np.bitwise_count(narrow[begin:end, None] ^ narrow[None, begin:])
     first, second = np.nonzero(apart <= method.distance)
     keep = first < second
     first, second = first[keep] + begin, second[keep] + begin
-    if method.wide and len(first):
-        keep = np.zeros(len(first), dtype=bool)
-        for i in range(0, len(first), STEP):
-            part = slice(i, i + STEP)
-            apart = np.bitwise_count(wide[first[part]] ^ wide[second[part]]).sum(axis=1)
-            keep[part] = apart <= method.wide_distance
-        first, second = first[keep], second[keep]
-    return first, second
-
-
-def run_roots(narrow: np.ndarray, wide: np.ndarray, method: Method) -> np.ndarray:
-    """For each fingerprint of a run the first one that it is connected to."""
-    root = np.arange(len(narrow))
-    for begin in range(0, len(narrow), ROWS):
-        first, second = _close(narrow, wide, begin, begin + ROWS, method)
-        while len(first):
-            one, other = root[first], root[second]
-            low, high = np.minimum(one, other), np.maximum(one, other)
-            new = low < high
-            if not new.any():
-                break
-            first, second = first[new], second[new]
-            np.minimum.at(root, high[new], low[new])
-            while (root[root] != root).any():
-                root = root[root]
-    return root
+    if not method.wide or not len(first):
+        return first, second, apart[first - begin, second - begin]
+    bits = np.empty(len(first), dtype=np.int64)
+    for i in range(0, len(first), STEP):
+        part = slice(i, i + STEP)
+        bits[part] = np.bitwise_count(wide[first[part]] ^ wide[second[part]]).sum(axis=1)
+    keep = bits <= method.wide_distance
+    return first[keep], second[keep], bits[keep]
+
+
+def _hook(root: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+    """Connect pairs in ``root``; the pairs that connected what was apart, a tree of them."""
+    used = []
+    while len(first):
+        one, other = root[first], root[second]
+        low, high = np.minimum(one, other), np.maximum(one, other)
+        new = low < high
+        first, second, low, high = first[new], second[new], low[new], high[new]
+        if not len(first):
+            break
+        # Each root is hooked to one lower root by one pair.
+        order = np.lexsort((low, high))
+        order = order[np.concatenate([[True], np.diff(high[order]) > 0])]
+        root[high[order]] = low[order]
+        used += zip(first[order].tolist(), second[order].tolist())
+        while (root[root] != root).any():
+            root[:] = root[root]
+    return used
+
+
+def run_links(narrow: np.ndarray, wide: np.ndarray, method: Method) -> list[tuple[int, int]]:
+    """Close pairs of a run, as few as connect all that are connected.
+
+    Closer pairs come first, so two sets are connected by about the closest pair between
+    them. Pairs are looked for again for each step of closeness, so that only those of one
+    piece of the run are held at a time.
+    """
+    n = len(narrow)
+    root = np.arange(n)
+    found: list[tuple[int, int]] = []
+    single = _close(narrow, wide, 0, n, method) if n <= ROWS else None
+    for limit in method.limits:
+        some = False
+        for begin in range(0, n, ROWS):
+            first, second, apart = single or _close(narrow, wide, begin, begin + ROWS, method)
+            some = some or len(first) > 0
+            near = apart <= limit
+            found += _hook(root, first[near], second[near])
+        if not some:
+            break
+    return found
 
 
 def links(cells: DataFrame, method: Method) -> DataFrame:
@@ -230,10 +262,10 @@ def links(cells: DataFrame, method: Method) -> DataFrame:
             "wide": np.frombuffer(wide, np.uint64).reshape(batch.num_rows, -1),
         }
 
-    def run_links(rows: dict[str, np.ndarray], begin: int, end: int) -> tuple:
-        root = run_roots(rows["narrow"][begin:end], rows["wide"][begin:end], method)
-        moved = np.flatnonzero(root != np.arange(end - begin))
-        return rows["node"][begin + moved], rows["node"][begin + root[moved]]
+    def linked(rows: dict[str, np.ndarray], begin: int, end: int) -> tuple:
+        found = run_links(rows["narrow"][begin:end], rows["wide"][begin:end], method)
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2) + begin
+        return rows["node"][pairs[:, 0]], rows["node"][pairs[:, 1]]
 
     def as_batch(found: list[tuple]) -> pa.RecordBatch:
         ends = [np.concatenate(side) for side in zip(*found)]
@@ -252,30 +284,83 @@ def links(cells: DataFrame, method: Method) -> DataFrame:
             # The last run may go on in the next batch.
             runs = np.flatnonzero(np.diff(starts) > 1)
             if len(runs):
-                yield as_batch([run_links(now, starts[i], starts[i + 1]) for i in runs])
+                yield as_batch([linked(now, starts[i], starts[i + 1]) for i in runs])
             held = {name: values[starts[-1] :] for name, values in now.items()}
         if held is not None:
-            yield as_batch([run_links(held, 0, len(held["key"]))])
+            yield as_batch([linked(held, 0, len(held["key"]))])
 
     return ordered.mapInArrow(work, "a long, b long")
 
 
+def _shingle_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [
+                hashes((text.as_py() or "").encode("utf-8").lower().split(), size, False)
+                for text in batch.column("text")
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node"),
+                    pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                ],
+                names=["node", "shingles"],
+            )
+
+    return work
+
+
+def alike(
+    pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: float,
+    id_col: str, text_col: str,
+) -> DataFrame:
+    """The pairs of nodes whose texts' sets of shingles are alike by ``similarity`` or more.
+
+    A class is compared by the text of its smallest id. Only texts of the pairs are looked
+    at.
+    """
+    pairs = written(pairs.distinct(), "simhash-pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = written(nodes.join(classes, "node").select("node", "first"), "simhash-nodes")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
+    sets = written(
+        found.mapInArrow(_shingle_sets(size), "node long, shingles array<long>")
+        .dropDuplicates(["node"]),
+        "simhash-shingles",
+    )
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    whole = F.size("x") + F.size("y") - common
+    return both.where(common >= similarity * whole).select("a", "b")
+
+
 def near_groups(
-    docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    method: Method = Method(),
+    similarity: float = 0.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, narrow, component_id, group_size`` for every row.
 
     ``component_id`` is the smallest id among the rows that can be reached over links
-    between close fingerprints. A null text counts as an empty one; texts without a word
-    have fingerprint zero and are linked like any other. Rows without an id are rows like
-    any other; a component of such rows only has a null id. An empty table gives no rows.
+    between close fingerprints; with a ``similarity``, links are those whose sets of
+    shingles of ``method.wide`` words are alike by it or more. A null text counts as an
+    empty one; texts without a word have fingerprint zero and are linked like any other.
+    Rows without an id are rows like any other; a component of such rows only has a null
+    id. An empty table gives no rows.
     """
     prints = written(with_fingerprints(docs, method, id_col, text_col), "simhash-prints")
     classes = prints.groupBy("narrow", "wide").agg(
         F.min("doc_id").alias("first"), F.count("*").alias("n")
     )
     classes = written(with_node(classes, method), "simhash-classes")
-    roots = components(links(dealt(keyed(classes, method)), method))
+    close = links(dealt(keyed(classes, method)), method)
+    if similarity:
+        close = alike(close, classes, docs, method.wide, similarity, id_col, text_col)
+    roots = components(close)
     groups = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = written(groups, "simhash-groups")
     totals = groups.groupBy("root").agg(
@@ -288,14 +373,18 @@ def near_groups(
 
 
 def deduplicated(
-    docs: DataFrame, method: Method = SIMILAR, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    method: Method = SIMILAR,
+    similarity: float = SIMILARITY,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they were.
 
     Of each component the row with the smallest id stays; rows that repeat an id stay or go
     together. A row without an id goes if its component has one with an id.
     """
-    groups = near_groups(docs, method, id_col, text_col)
+    groups = near_groups(docs, method, similarity, id_col, text_col)
     going = groups.where("group_size > 1 and not (doc_id <=> component_id)")
     gone = written(going.select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"))
