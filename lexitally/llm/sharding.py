@@ -182,8 +182,9 @@ def even_cuts(sums: _Sums, total: int, capacity: int, shards: int) -> list[int]:
         low = max(last, earliest[j])
         high = sums.at_most(min(last + capacity, latest[j]))
         ideal = last + (total - last) // (shards - j + 1)
-        ends = (sums.at_most(ideal), sums.at_least(ideal))
-        last = min(ends, key=lambda end: abs(end - ideal))
+        # No shard is left empty before a group that is larger than the ideal.
+        ends = [end for end in (sums.at_most(ideal), sums.at_least(ideal)) if end > last]
+        last = min(ends, key=lambda end: abs(end - ideal), default=last)
         last = min(max(last, low), high)
         cuts.append(last)
     return cuts
