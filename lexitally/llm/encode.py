@@ -18,12 +18,15 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Pieces remembered at most by a worker, and characters of texts worked on together.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 BATCH = 4 << 20
 # Marks that are split from the letter before them, so that the word is remembered alone.
 MARKS = ".,;:!?%$#*&|"
 # Characters of a piece that is not remembered.
 LONG = 200
+# Pieces given to the library as one text, and how its vocabulary writes a blank.
+TOGETHER = 500
+BLANK = "\u0120"
 
 _UNSAFE = re.compile(r"\s \s")
 
@@ -35,6 +38,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.after_blank = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.after_blank[[i for token, i in vocabulary.items() if token[0] == BLANK]] = True
         # Pieces that follow a blank, without it.
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -43,6 +49,26 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, dtype="<u4").tobytes() for one in found]
 
+    def _ask_pieces(self, pieces: list[str]) -> None:
+        """Remember pieces that follow a blank; many are given to the library as one text.
+
+        Only the first id of such a piece stands for bytes that begin with a blank, so the
+        ids can be told apart again. Pieces that touch white space are given alone.
+        """
+        alone = [p for p in pieces if p.strip() != p or not p]
+        self.known.update(zip(alone, self._ask([" " + piece for piece in alone])))
+        left = set(alone)
+        joined = [p for p in pieces if p not in left]
+        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
+        for group, data in zip(groups, self._ask([" " + " ".join(group) for group in groups])):
+            ids = np.frombuffer(data, dtype="<u4")
+            at = (np.flatnonzero(self.after_blank[ids]) * 4).tolist()
+            if len(at) == len(group):
+                at.append(len(data))
+                self.known.update(zip(group, [data[a:b] for a, b in zip(at, at[1:])]))
+            else:
+                self.known.update(zip(group, self._ask([" " + piece for piece in group])))
+
     def _learn(self, pieces: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -58,8 +84,7 @@ class Encoder:
                     asked.add(word)
             else:
                 asked.add(piece)
-        names = list(asked)
-        self.known.update(zip(names, self._ask([" " + name for name in names])))
+        self._ask_pieces(list(asked))
         marks = list({end for _, _, end in parted}.difference(self.marks))
         self.marks.update(zip(marks, self._ask(marks)))
         for piece, word, end in parted:
@@ -79,7 +104,7 @@ class Encoder:
         result: list[bytes] = [b""] * len(texts)
         known = self.known
         for head, (i, parts) in zip(first, pieces.items()):
-            result[i] = head + b"".join([known[part] for part in parts])
+            result[i] = head + b"".join(map(known.__getitem__, parts))
         for i, ids in zip(whole, self._ask([texts[i] for i in whole])):
             result[i] = ids
         for piece in self.long:
