@@ -1,11 +1,15 @@
 """Product descriptions out of HTML pages and XML item documents.
 
-Patterns are linear in the page: tags stop at the next ``<``, and an unclosed comment
-or script takes the rest of the page, as it does in a browser.
+Patterns are linear in the page. Quoted values belong to a tag whatever they hold, and an
+unclosed comment, script or tag takes the rest of the page, as it does in a browser.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,19 +19,14 @@ from lexitally.functions.once import let
 PARAGRAPH_ENDERS = (
     "address article aside blockquote center details dialog dir div dl fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p "
-    "pre search section table ul"
+    "pre search section table ul li dd dt"
 ).split()
-# Named entities that are resolved; the ampersand comes last.
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": " ",
-    "&middot;": "·",
-    "&copy;": "©",
-    "&amp;": "&",
-}
+# What may stand in a tag after its name; unrolled, so that matching it does not recurse for
+# every character. Then the pieces of a page: tags, text, and signs that begin no tag.
+INSIDE = r"""[^"'<>]*+(?:"[^"]*+"[^"'<>]*+|'[^']*+'[^"'<>]*+)*+"""
+PIECE = rf"<[a-zA-Z/!?]{INSIDE}>|[^<]++|<"
+# The named entities of the HTML standard that end in a semicolon.
+ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
 # Id of the element that holds a page's description, and the label of the
 # description among the reviews of an item document.
 DESCRIPTION_ID = "productDescription"
@@ -35,23 +34,22 @@ REVIEW_LABEL = "Product Description"
 
 
 def _without_raw_text(html: Column) -> Column:
-    """The page without comments, scripts and styles."""
-    raw = "|".join(f"<{t}\\b(?:.*?</{t}\\s*+>|.*+)" for t in ("script", "style"))
+    """The page without comments, scripts, styles and text fields."""
+    raw = "|".join(f"<{t}\\b(?:.*?</{t}\\s*+>|.*+)" for t in ("script", "style", "textarea"))
     return F.regexp_replace(html, rf"(?is)<!--(?:.*?-->|.*+)|{raw}", "")
 
 
 def _kept_length(pieces: Column, tag: Column) -> Column:
     """Length of the pieces up to the end of the element they begin in.
 
-    Each piece but the first begins with a start or end tag of the element's name. Pieces
-    count while more of these elements were opened than closed.
+    Pieces count while more elements of that name were opened than closed.
     """
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept"))
 
     def step(acc: Column, piece: Column) -> Column:
-        begin = F.lower(F.substring(piece, F.lit(1), F.length(tag) + 2))
-        opens = F.startswith(begin, F.concat(F.lit("<"), tag))
-        closes = begin == F.concat(F.lit("</"), tag)
+        name = F.lower(F.regexp_extract(piece, r"^<(/?[a-zA-Z][^\s/>]*+)", 1))
+        opens = name == tag
+        closes = name == F.concat(F.lit("/"), tag)
         change = F.when(closes, -1).when(opens, 1).otherwise(0)
         depth = F.when(acc.depth > 0, acc.depth + change).otherwise(0)
         kept = acc.kept + F.when(depth > 0, F.length(piece)).otherwise(0)
@@ -63,52 +61,56 @@ def _kept_length(pieces: Column, tag: Column) -> Column:
 def _element_body(found: Column) -> Column:
     """Of ``struct(tag, rest)``, the rest up to the end of the element; NULL if no tag."""
     tag, rest = found["tag"], found["rest"]
-    cut = F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])"))
-    body = F.substring(rest, F.lit(1), _kept_length(F.split(rest, cut), tag))
+    pieces = F.regexp_extract_all(rest, F.lit(PIECE), F.lit(0))
+    body = F.substring(rest, F.lit(1), _kept_length(pieces, tag))
     return F.when(tag != "", body)
 
 
 def _resolve_entities(text: Column) -> Column:
-    """Numeric and the listed named entities as the characters they stand for."""
-
-    def with_number(piece: Column, at: Column) -> Column:
-        digits = F.regexp_extract(piece, "^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
-        code = F.when(
-            F.startswith(digits, F.lit("x")), F.conv(F.substr(digits, F.lit(2)), 16, 10)
-        ).otherwise(digits).cast("bigint")
+    """Numeric and named entities as the characters they stand for, each once."""
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+
+    def character(name: Column) -> Column:
+        hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+        digits = F.regexp_extract(name, "^#[xX]?0*+([0-9a-fA-F]*+)$", 1)
+        # More digits than these are no character; leading zeros do not count.
+        fits = F.length(digits).between(1, 7)
+        code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
         # Code points are written as four bytes; halves of pairs are none.
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        valid = fits & (code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF))
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        # An ampersand stays an entity until the named ones are resolved.
-        char = F.when(code == ord("&"), "&amp;").otherwise(char)
-        rest = F.substr(piece, F.length(digits) + 2)
+        numeric = F.when(valid, char)
+        return F.when(F.startswith(name, F.lit("#")), numeric).otherwise(F.try_element_at(names, name))
+
+    def resolved(piece: Column, at: Column) -> Column:
+        pattern = "^(#(?:[0-9]++|[xX][0-9a-fA-F]++)|[A-Za-z][A-Za-z0-9]*+);"
+        name = F.regexp_extract(piece, pattern, 1)
+        rest = F.substr(piece, F.length(name) + 2)
+        char = F.when(name != "", character(name))
         return (
             F.when(at == 0, piece)
-            .when((digits != "") & valid, F.concat(char, rest))
-            .otherwise(F.concat(F.lit("&#"), piece))
+            .when(char.isNotNull(), F.concat(char, rest))
+            .otherwise(F.concat(F.lit("&"), piece))
         )
 
-    def numbers(t: Column) -> Column:
-        resolved = F.array_join(F.transform(F.split(t, "&#"), with_number), "")
-        return F.when(F.contains(t, F.lit("&#")), resolved).otherwise(t)
+    def pieces(t: Column) -> Column:
+        joined = F.array_join(F.transform(F.split(t, "&"), resolved), "")
+        return F.when(F.contains(t, F.lit("&")), joined).otherwise(t)
 
-    out = let(text, numbers)
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    return let(text, pieces)
 
 
 def _paragraph_text(body: Column) -> Column:
     """Text of the first paragraph; NULL if the body has none."""
     # The start of the paragraph is kept to tell an empty paragraph from none.
-    start = F.regexp_extract(body, r"(?is)(<p(?:\s[^<>]*+)?>.*)", 1)
+    start = F.regexp_extract(body, rf"(?is)(<p(?:\s{INSIDE})?>.*)", 1)
     enders = "|".join(PARAGRAPH_ENDERS)
 
     def text_of(paragraph: Column) -> Column:
-        inner = F.regexp_replace(paragraph, "^<[^<>]*+>", "")
+        inner = F.regexp_replace(paragraph, f"^<{INSIDE}>", "")
         text = F.split(inner, rf"(?i)</p\s*>|<(?:{enders})(?=[\s/>])", 2)[0]
-        text = F.regexp_replace(text, r"(?i)<br\s*+/?+>", " ")
-        text = F.regexp_replace(text, "<[^<>]*+>", "")
+        text = F.regexp_replace(text, rf"(?i)<br(?=[\s/>]){INSIDE}>", " ")
+        text = F.regexp_replace(text, f"<[a-zA-Z/!?]{INSIDE}>", "")
         text = _resolve_entities(text)
         return F.when(paragraph != "", F.trim(F.regexp_replace(text, r"\s+", " ")))
 
@@ -123,10 +125,14 @@ def first_paragraph(
     With ``element_id=None`` the scope is the first element named ``element``.
     """
     if element_id is None:
-        opening = rf"(?is)<({element})(?=[\s>])[^<>]*+>(.*)"
+        opening = rf"(?is)<({element})(?=[\s>]){INSIDE}>(.*)"
     else:
-        attribute = rf"""\sid\s*=\s*["']?{element_id}["'\s>]"""
-        opening = rf"(?is)<({element})(?=[^<>]*{attribute})[^<>]*+>(.*)"
+        # The id is looked for among the attributes, not in the values of others; its name
+        # may be written in any case, its value not.
+        name = re.escape(element_id)
+        before = r"""[^"'<>]*?(?:(?:"[^"]*+"|'[^']*+')[^"'<>]*?)*?"""
+        value = rf"""(?:"{name}"|'{name}'|{name}(?=[\s/>]))"""
+        opening = rf"(?s)<((?i:{element}))(?=\s{before}(?<=\s)(?i:id)\s*+=\s*+{value}){INSIDE}>(.*)"
 
     def open_element(page: Column) -> Column:
         return F.struct(
@@ -141,14 +147,19 @@ def first_paragraph(
 def editorial_review(xml: Column, label: str = REVIEW_LABEL) -> Column:
     """The review with the given label in the first review list of an item document.
 
-    A review counts if its first child holds just the label and its second child holds
-    text. NULL if there is none, or if the document is not well formed: XPath would fail
-    the job on such a document, so a permissive parse looks at it first.
+    Only that list is parsed, so whatever stands before or after it, a second root or text
+    behind the root too, cannot fail the job. A review counts if its source is just the
+    label and it has content. NULL if there is none, or if the list is not well formed.
     """
-    fits = f'node()[1]/node()[1]="{label}" and node()[2]/text()'
-    path = f"(//EditorialReviews)[1]/*[{fits}][1]/node()[2]/text()"
-    checked = F.from_xml(
-        xml, "_bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    plain = F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
+    found = F.regexp_extract(
+        plain, rf"(?s)<EditorialReviews(?:\s{INSIDE})?(?:/>|(?<!/)>.*?</EditorialReviews\s*+>)", 0
     )
-    value = F.xpath_string(xml, F.lit(path))
-    return F.when(xml.isNotNull() & checked["_bad"].isNull(), F.nullif(value, F.lit("")))
+    # A parse of the list alone; without one nothing is parsed.
+    reviews = F.from_xml(
+        F.nullif(found, F.lit("")),
+        "EditorialReview array<struct<Source:string,Content:string>>",
+        {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"},
+    )["EditorialReview"]
+    fits = F.filter(reviews, lambda r: (r["Source"] == label) & (r["Content"] != ""))
+    return F.get(fits, F.lit(0))["Content"]

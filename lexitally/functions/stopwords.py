@@ -1,43 +1,40 @@
-"""The default English stop list.
-
-It is Spark's own published English list with the apostrophes taken out, without
-four words that list has and ours lacks, plus the words below.
-"""
+"""The default English stop list."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.ml.feature import StopWordsRemover
-
-# In Spark's list (apostrophes removed) but not in ours.
-NOT_STOPPED = ("don", "just", "s", "t")
-
-# In our list but not in Spark's. The odd spellings are intended.
-ALSO_STOPPED = tuple(
+# All words of the list, in alphabetical order. The odd spellings are intended.
+STOP_WORDS = tuple(
     """
-    across afterwards almost alone along already also although always among amongst
-    amoungst amount another anyhow anyone anything anyway anywhere around back became
-    become becomes becoming beforehand behind beside besides beyond bill bottom call co
-    con cry de describe detail done due eg eight either eleven else elsewhere empty
-    enough etc even ever every everyone everything everywhere except fifteen fify fill
-    find fire first five former formerly forty found four front full get give go hence
-    hereafter hereby herein hereupon however hundred ie inc indeed interest keep last
-    latter latterly least less ltd made many may meanwhile might mill mine moreover
-    mostly move much must name namely neither never nevertheless next nine nobody none
-    noone nothing nowhere often one onto others otherwise part per perhaps please put
-    rather re see seem seemed seeming seems serious several show side since sincere six
-    sixty somehow someone something sometime sometimes somewhere still system take ten
-    thence thereafter thereby therefore therein thereupon thickv thin third though three
-    throughout thru thus together top toward towards twelve twenty two un upon us via
-    whatever whence whenever whereafter whereas whereby wherein whereupon wherever
-    whether whither whoever whole whose within without yet
+    a about above across after afterwards again against all almost alone along already also
+    although always am among amongst amoungst amount an and another any anyhow anyone
+    anything anyway anywhere are arent around as at back be became because become becomes
+    becoming been before beforehand behind being below beside besides between beyond bill
+    both bottom but by call can cannot cant co con could couldnt cry de describe detail did
+    didnt do does doesnt doing done dont down due during each eg eight either eleven else
+    elsewhere empty enough etc even ever every everyone everything everywhere except few
+    fifteen fify fill find fire first five for former formerly forty found four from front
+    full further get give go had hadnt has hasnt have havent having he hed hell hence her
+    here hereafter hereby herein heres hereupon hers herself hes him himself his how however
+    hows hundred i id ie if ill im in inc indeed interest into is isnt it its itself ive
+    keep last latter latterly least less lets ltd made many may me meanwhile might mill mine
+    more moreover most mostly move much must mustnt my myself name namely neither never
+    nevertheless next nine no nobody none noone nor not nothing now nowhere of off often on
+    once one only onto or other others otherwise ought our ours ourselves out over own part
+    per perhaps please put rather re same see seem seemed seeming seems serious several
+    shant she shed shell shes should shouldnt show side since sincere six sixty so some
+    somehow someone something sometime sometimes somewhere still such system take ten than
+    that thats the their theirs them themselves then thence there thereafter thereby
+    therefore therein theres thereupon these they theyd theyll theyre theyve thickv thin
+    third this those though three through throughout thru thus to together too top toward
+    towards twelve twenty two un under until up upon us very via was wasnt we wed well were
+    werent weve what whatever whats when whence whenever whens where whereafter whereas
+    whereby wherein wheres whereupon wherever whether which while whither who whoever whole
+    whom whos whose why whys will with within without wont would wouldnt yet you youd youll
+    your youre yours yourself yourselves youve
     """.split()
 )
 
 
-@lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    """The 368 default stop words, sorted. Needs a running Spark session."""
-    published = (w.replace("'", "") for w in StopWordsRemover.loadDefaultStopWords("english"))
-    return tuple(sorted({w for w in published if w not in NOT_STOPPED} | set(ALSO_STOPPED)))
+    """The default stop words, sorted."""
+    return STOP_WORDS

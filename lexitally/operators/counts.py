@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lexitally.functions.stemming import stem
 from lexitally.functions.text import Tokenizer, clean_words, is_kept, tokenize
-from lexitally.operators.skew import spread_join
 
 
 def flat_tokens(
@@ -35,8 +34,7 @@ def plain_words(
 
 def without_listed(counts: DataFrame, listed: DataFrame) -> DataFrame:
     """Counts per ``word``, and maybe other keys, without the words of a table."""
-    words = listed.select("word").distinct()
-    return spread_join(counts, words, "word", how="left_anti").select(counts.columns)
+    return counts.join(listed.select("word").distinct(), "word", "left_anti").select(counts.columns)
 
 
 def stem_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -96,16 +94,32 @@ def batch_word_counts(
     return word_counts(texts.select(batch.alias(name), text), text, keys=[name])
 
 
+# Batches of a block, as a power of two.
+BLOCK_BITS = 10
+
+
+def batch_block(deltas: DataFrame, batch: str) -> Column:
+    """The block of a batch, which is a number, a day, or a time of whole seconds."""
+    kind = deltas.schema[batch].dataType.typeName()
+    if kind == "date":
+        number = F.unix_date(batch)
+    elif kind.startswith("timestamp"):
+        number = F.unix_seconds(F.col(batch).cast("timestamp"))
+    else:
+        number = F.col(batch)
+    return F.call_function("shiftright", number.cast("bigint"), F.lit(BLOCK_BITS))
+
+
 def running_counts(
     deltas: DataFrame, batch: str = "batch", key: str = "word", block: Column | None = None
 ) -> DataFrame:
     """Total of each key after each batch it occurs in.
 
-    The batches are cut into blocks (months by default). Totals of blocks are summed up
-    first, then the batches inside each block, so no task has to walk through all the
-    batches of a key that is in every one of them.
+    The batches are cut into blocks of 1,024 numbers, days or seconds, or by a ``block``
+    of the caller's. Totals of blocks are summed up first, then the batches inside each
+    block, so no task has to walk through all the batches of a key that is in every one.
     """
-    block = F.date_trunc("month", F.col(batch)) if block is None else block
+    block = batch_block(deltas, batch) if block is None else block
     steps = (
         deltas.withColumn("_block", block)
         .groupBy(key, "_block", batch)

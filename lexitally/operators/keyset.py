@@ -1,7 +1,8 @@
 """Operators on sets of keys: membership, first wins, overwrite, remove, bit addresses.
 
 Key sets are compared after their rows were reduced to distinct keys, which combines
-before the shuffle; where every row needs an answer, rows are joined with `spread_join`.
+before the shuffle. Where every row needs an answer, the rows are joined to one row per key;
+Spark splits the rows of a key that has many of them over several tasks (adaptive skew joins).
 """
 
 from __future__ import annotations
@@ -13,15 +14,12 @@ from pyspark.sql import functions as F
 
 from lexitally.functions.addresses import key_address
 from lexitally.functions.once import with_once
-from lexitally.operators.skew import hot_keys, key_counts, spread_join
 
 
-def contains(
-    rows: DataFrame, seen: DataFrame, key: str, spread_by: Sequence[str] | None = None
-) -> DataFrame:
+def contains(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """The rows with a flag ``contained``: is their key in ``seen``?"""
     stored = seen.select(key).distinct().withColumn("contained", F.lit(True))
-    joined = spread_join(rows, stored, key, spread_by=spread_by)
+    joined = rows.join(stored, key, "left")
     return joined.withColumn("contained", F.coalesce("contained", F.lit(False))).select(
         *rows.columns, "contained"
     )
@@ -33,21 +31,75 @@ def new_keys(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return keys.join(seen.select(key).distinct(), key, "left_anti")
 
 
+def packed(rows: DataFrame, order: Sequence[str]) -> Column | None:
+    """One or two order columns as one number that sorts the same way, if they allow it.
+
+    The minimum of a number is kept in place while rows are aggregated by hash; that of a
+    struct is not, and its rows would be sorted before the shuffle.
+    """
+    numbers = []
+    for name in order:
+        kind, column = rows.schema[name].dataType.typeName(), F.col(name)
+        if kind.startswith("timestamp"):
+            column = F.unix_micros(column.cast("timestamp"))
+        elif kind == "date":
+            column = F.unix_date(column)
+        elif kind not in ("byte", "short", "integer", "long"):
+            return None
+        numbers.append(column.cast("decimal(20,0)"))
+    if len(numbers) == 1:
+        return numbers[0].cast("decimal(38,0)")
+    if len(numbers) > 2 or "timestamp" not in rows.schema[order[0]].dataType.typeName():
+        return None
+    # Microseconds of the years 1 to 9999 have 18 digits; the second part has 64 bits.
+    return (numbers[0] * _decimal(2**64) + numbers[1] + _decimal(2**63)).cast("decimal(38,0)")
+
+
+def _decimal(value: int) -> Column:
+    return F.lit(str(value)).cast("decimal(20,0)")
+
+
+def unpacked(number: Column, rows: DataFrame, order: Sequence[str]) -> list[Column]:
+    """The order columns out of the number that `packed` has made of them."""
+    parts = [number]
+    if len(order) == 2:
+        low = F.pmod(number, _decimal(2**64).cast("decimal(38,0)"))
+        high = (number - low) / _decimal(2**64)
+        parts = [high, low.cast("decimal(38,0)") - _decimal(2**63)]
+    columns = []
+    for name, part in zip(order, parts):
+        kind, value = rows.schema[name].dataType, part.cast("bigint")
+        if kind.typeName().startswith("timestamp"):
+            value = F.timestamp_micros(value)
+        elif kind.typeName() == "date":
+            value = F.date_from_unix_date(value.cast("int"))
+        columns.append(value.cast(kind).alias(name))
+    return columns
+
+
 def first_wins(
     rows: DataFrame, key: str, order: Sequence[str], payload: Sequence[str] = ()
 ) -> DataFrame:
     """One row per key, the first by ``order``, and the number ``n`` of its rows.
 
     A minimum rather than a window: it combines before the shuffle, so a key that owns
-    most rows costs no task more than any other.
+    most rows costs no task more than any other. Times and whole numbers without nulls
+    are compared as one packed number, and ``order`` must then tell the rows of a key
+    apart; the winner's other columns are joined to it.
     """
-    first = F.min(F.struct(*order, *payload)).alias("_first")
-    return (
-        rows.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(first, F.count("*").alias("n"))
-        .select(key, "_first.*", "n")
-    )
+    rows = rows.where(F.col(key).isNotNull())
+    number = packed(rows, order)
+    if number is None:
+        first = F.min(F.struct(*order, *payload)).alias("_first")
+        found = rows.groupBy(key).agg(first, F.count("*").alias("n"))
+        return found.select(key, "_first.*", "n")
+    found = rows.groupBy(key).agg(F.min(number).alias("_first"), F.count("*").alias("n"))
+    if not payload:
+        return found.select(key, *unpacked(F.col("_first"), rows, order), "n")
+    winners = found.withColumnRenamed(key, "_key")
+    own = rows.select(key, *order, *payload, number.alias("_own"))
+    same = (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_first"))
+    return own.join(winners, same).select(key, *order, *payload, "n")
 
 
 def duplicate_flag(rows: DataFrame, key: str, batch: str) -> DataFrame:
@@ -84,8 +136,9 @@ def put_overwrite(
     rows: DataFrame, key: str, value: str, order: Sequence[str]
 ) -> DataFrame:
     """The last value of each key by ``order``."""
-    last = F.max_by(F.col(value), F.struct(*order)).alias(value)
-    return rows.groupBy(key).agg(last)
+    number = packed(rows, order)
+    last = F.max_by(F.col(value), F.struct(*order) if number is None else number)
+    return rows.groupBy(key).agg(last.alias(value))
 
 
 def batch_remove(store: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -120,20 +173,18 @@ def seen_bitmaps(bits: DataFrame) -> DataFrame:
     )
 
 
-def maybe_contains(
-    rows: DataFrame, bits: DataFrame, key: str, spread_by: Sequence[str] | None = None
-) -> DataFrame:
+def maybe_contains(rows: DataFrame, bits: DataFrame, key: str) -> DataFrame:
     """The rows with a flag ``contained``; never False for a stored key.
 
     Addresses are worked out and looked up once per distinct key.
     """
-    counts = key_counts(rows.where(F.col(key).isNotNull()), [key])
-    at = with_once(counts.select(key), _a=key_address(F.col(key))).select(
+    keys = rows.where(F.col(key).isNotNull()).select(key).distinct()
+    at = with_once(keys, _a=key_address(F.col(key))).select(
         key, F.col("_a.bucket").alias("bucket"), F.col("_a.offset").alias("offset")
     )
-    stored = at.join(bits.select("bucket", "offset"), ["bucket", "offset"])
+    stored = at.join(bits.select("bucket", "offset"), ["bucket", "offset"], "left_semi")
     flags = stored.select(key, F.lit(True).alias("contained"))
-    joined = spread_join(rows, flags, key, hot_keys(counts, [key]), spread_by=spread_by)
+    joined = rows.join(flags, key, "left")
     return joined.withColumn("contained", F.coalesce("contained", F.lit(False))).select(
         *rows.columns, "contained"
     )

@@ -11,14 +11,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexitally.operators.skew import hot_keys, spread_join
+from lexitally.operators.order import numbered
+from lexitally.session import written
 
 # Fixed value: the largest answer a capped store gives is one row more than this.
 MAX_K = 1000
+NO_K = "Could not extract topK value from the request query params Map()"
 
 
-def parse_k(k: int | str) -> int:
+def parse_k(k: int | str | None) -> int:
     """K as a 32-bit integer, from a number or from text."""
+    if k is None:
+        raise ValueError(NO_K)
     text = str(k)
     if isinstance(k, bool) or not re.fullmatch(r"[+-]?[0-9]+", text):
         raise ValueError(f"The requested topK value {k} is invalid")
@@ -36,30 +40,45 @@ def ranked_words(counts: DataFrame, n: str = "n", word: str = "word") -> DataFra
     return counts.orderBy(*_order(n, word))
 
 
+def _size(k: int | str, max_k: int | None) -> int:
+    size = max(parse_k(k), 0)
+    return size if max_k is None else min(size, max_k + 1)
+
+
 def top_k(
-    counts: DataFrame, k: int | str, max_k: int | None = None, n: str = "n", word: str = "word"
+    counts: DataFrame, k: int | str, max_k: int | None = MAX_K, n: str = "n", word: str = "word"
 ) -> DataFrame:
     """The first K words; none if K is not positive.
 
-    With ``max_k`` the store gives positions 0 to ``max_k``, so up to ``max_k + 1`` rows.
+    The store gives positions 0 to ``max_k``, so up to ``max_k + 1`` rows; with None it
+    gives any number, sorted by range, so that no task holds them all.
     """
-    size = max(parse_k(k), 0)
-    if max_k is not None:
-        size = min(size, max_k + 1)
-    return ranked_words(counts, n, word).limit(size)
+    if max_k is None:
+        ranked = with_rank(counts, k, None, n, word)
+        return ranked.orderBy("rank").select(word, n)
+    return ranked_words(counts, n, word).limit(_size(k, max_k))
 
 
 def with_rank(
-    counts: DataFrame, k: int | str, max_k: int | None = None, n: str = "n", word: str = "word"
+    counts: DataFrame, k: int | str, max_k: int | None = MAX_K, n: str = "n", word: str = "word"
 ) -> DataFrame:
-    """The first K words with their positions; only those K rows meet in one task."""
-    top = top_k(counts, k, max_k, n, word)
+    """The first K words with their positions; only up to ``max_k + 1`` meet in one task."""
+    size = _size(k, max_k)
+    if max_k is None:
+        placed = numbered(counts.select(word, n), *_order(n, word))
+        return placed.where(F.col("place") < size).select(
+            (F.col("place") + 1).alias("rank"), word, n
+        )
     position = F.row_number().over(Window.orderBy(*_order(n, word)))
+    top = top_k(counts, k, max_k, n, word)
     return top.select(position.cast("bigint").alias("rank"), word, n)
 
 
-def json_answer(counts: DataFrame, k: int | str, max_k: int | None = None) -> DataFrame:
-    """One row ``{"topK":K,"wordCounts":[["word",n],...]}``, best word first."""
+def json_answer(counts: DataFrame, k: int | str, max_k: int = MAX_K) -> DataFrame:
+    """One row ``{"topK":K,"wordCounts":[["word",n],...]}``, best word first.
+
+    The list stands in one row, so it is capped.
+    """
     top = top_k(counts, k, max_k)
     ranked = F.sort_array(F.collect_list(F.struct("n", "word")), asc=False)
     # The list with just the word, its end replaced by the count: quoting is Spark's.
@@ -75,8 +94,8 @@ def json_answer(counts: DataFrame, k: int | str, max_k: int | None = None) -> Da
     return top.agg(body.alias("answer"))
 
 
-# Below this Spark cuts each group to its first rows before the shuffle by itself.
-GROUP_LIMIT = 1000
+# Slices of a group that are cut to their first rows before the group is put together.
+SLICES = 64
 
 
 def first_per_group(
@@ -88,15 +107,8 @@ def first_per_group(
         placed = rows.withColumn("_place", F.row_number().over(best))
         return placed.where(F.col("_place") <= size).drop("_place")
 
-    if size >= GROUP_LIMIT:
-        dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(word), F.lit(256)))
-        rows = cut(dealt, *group, "_deal").drop("_deal")
-    return cut(rows, *group)
-
-
-# Levels of the dyadic tree over batch numbers: 2 ** 40 batches is a second per batch
-# for longer than there will be data.
-LEVELS = 40
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(word), F.lit(SLICES)))
+    return cut(cut(dealt, *group, "_deal").drop("_deal"), *group)
 
 
 def top_k_per_batch(
@@ -105,24 +117,38 @@ def top_k_per_batch(
     batch_no: str = "batch_no",
     total: str = "total",
     word: str = "word",
-    rows_per_slice: int = 1_000_000,
 ) -> DataFrame:
     """The first K words after every batch, words absent from that batch included.
 
-    ``running`` has one row per batch and word that occurs in it: the batch's number
-    (any non-negative integer that grows with time) and the word's total so far. A total
-    holds until the word's next batch. Each such span is cut into the nodes of a dyadic
-    tree, at most two per level; a word among the first K of a batch is among the first
-    K of the node that brings it there, so only K words per node go on, and each batch
-    looks at the nodes above it. Nothing is ever spread out over batches times words.
+    ``running`` has one row per batch and word that occurs in it: the batch (a value of
+    any kind that grows with time; a row without one fails the job) and the word's total
+    so far. Batches are numbered from 0 first. A total holds until the word's next batch.
+    Each such span is cut into the nodes of a dyadic tree, at most two per level; a word
+    among the first K of a batch is among the first K of the node that brings it there,
+    so only K words per node go on, and each batch looks at the nodes above it. Nothing
+    is ever spread out over batches times words.
     """
     size = max(parse_k(k), 0)
     level, first, last = F.col("_level"), F.col("_first"), F.col("_last")
+    missing = F.raise_error(F.lit("top_k_per_batch: a row has no batch"))
+    running = running.select(
+        F.coalesce(F.col(batch_no), missing.cast(running.schema[batch_no].dataType)).alias("_batch"),
+        word,
+        total,
+    )
+    running = written(running, "running")
+    batches = written(
+        numbered(running.select("_batch").distinct(), F.col("_batch"), name="_no"), "batches"
+    )
+    many = batches.count()
+    levels = many.bit_length()
     # The totals of a word, blocks of batches at a time, so that a word that is in every
     # batch is not one task's work: the next batch is looked up inside the block, and at
     # the end of a block it is the first batch of the word's next block.
-    block = F.shiftright(F.col(batch_no), 12)
-    spans = running.select(word, total, F.col(batch_no).alias("_from"), block.alias("_block"))
+    spans = running.join(batches, "_batch").select(
+        word, total, F.col("_no").alias("_from"), F.shiftright("_no", 12).alias("_block")
+    )
+    spans = written(spans, "spans")
     inside = Window.partitionBy(word, "_block").orderBy("_from")
     across = Window.partitionBy(word).orderBy("_block")
     block_starts = spans.groupBy(word, "_block").agg(F.min("_from").alias("_start"))
@@ -132,13 +158,13 @@ def top_k_per_batch(
     spans = (
         spans.withColumn("_next", F.lead("_from").over(inside))
         .join(next_block, [word, "_block"])
-        .withColumn("_until", F.coalesce("_next", "_next_start", F.lit(2**LEVELS)))
+        .withColumn("_until", F.coalesce("_next", "_next_start", F.lit(many)))
     )
     step = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
     # A span of n batches has no node above level log2(n).
     highest = F.length(F.bin(F.col("_until") - F.col("_from"))) - 1
-    levels = F.explode(F.sequence(F.lit(0), highest)).alias("_level")
-    ends = spans.select(word, total, "_from", "_until", levels).select(
+    span_levels = F.explode(F.sequence(F.lit(0), highest)).alias("_level")
+    ends = spans.select(word, total, "_from", "_until", span_levels).select(
         word,
         total,
         level,
@@ -153,25 +179,16 @@ def top_k_per_batch(
             F.array(F.when(first % 2 == 1, first), F.when(last % 2 == 1, last - 1))
         ).alias("_node"),
     ).where(F.col("_node").isNotNull())
-    node_keys = ["_level", "_node"]
-    node_tops = first_per_group(cut, node_keys, size, total, word)
+    node_tops = first_per_group(cut, ["_level", "_node"], size, total, word)
 
-    batches = running.select(batch_no).distinct()
-    all_levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_level")
-    looks = batches.select(batch_no, all_levels).withColumn(
-        "_node", F.call_function("shiftright", F.col(batch_no), level)
-    )
-    looked_at = looks.groupBy(*node_keys).agg(F.count("*").alias("n"))
-    found = spread_join(
-        looks,
-        node_tops,
-        node_keys,
-        hot=hot_keys(looked_at, node_keys, rows_per_slice=rows_per_slice),
-        how="inner",
+    all_levels = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level")
+    looks = batches.select("_batch", "_no", all_levels).withColumn(
+        "_node", F.call_function("shiftright", F.col("_no"), level)
     )
-    final = Window.partitionBy(batch_no).orderBy(*_order(total, word))
+    found = looks.join(node_tops, ["_level", "_node"])
+    final = Window.partitionBy("_batch").orderBy(*_order(total, word))
     return (
         found.withColumn("rank", F.row_number().over(final).cast("bigint"))
         .where(F.col("rank") <= size)
-        .select(batch_no, "rank", word, total)
+        .select(F.col("_batch").alias(batch_no), "rank", word, total)
     )

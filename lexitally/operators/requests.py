@@ -14,7 +14,6 @@ from lexitally.functions.urls import (
     url_text,
 )
 from lexitally.operators.keyset import first_wins
-from lexitally.operators.skew import ROWS_PER_SLICE, hot_keys, spread_join
 
 # Requests are taken in this order.
 ORDER = ("ts", "request_id")
@@ -54,6 +53,17 @@ def requested_products(requests: DataFrame) -> DataFrame:
     return firsts.select("product_id", F.struct(*ORDER).alias("first"), "n")
 
 
+def described_keys(descriptions: DataFrame) -> DataFrame:
+    """The products that have a description.
+
+    A table of nothing but ``product_id`` is taken as it is: who keeps one saves reading
+    all texts to learn which products have any.
+    """
+    if "text" in descriptions.columns:
+        descriptions = descriptions.where(F.col("text").isNotNull())
+    return descriptions.select("product_id").distinct()
+
+
 def product_facts(
     products: DataFrame, descriptions: DataFrame, seen: DataFrame | None = None
 ) -> DataFrame:
@@ -68,8 +78,7 @@ def product_facts(
         keys = table.select("product_id").join(asked, "product_id", "left_semi").distinct()
         return keys.withColumn(name, F.lit(True))
 
-    described = descriptions.where(F.col("text").isNotNull())
-    facts = products.join(flagged(described, "found"), "product_id", "left")
+    facts = products.join(flagged(described_keys(descriptions), "found"), "product_id", "left")
     if seen is None:
         return facts.withColumn("stored", F.lit(False))
     return facts.join(flagged(seen, "stored"), "product_id", "left")
@@ -80,7 +89,6 @@ def request_outcome(
     descriptions: DataFrame,
     seen: DataFrame | None = None,
     products: DataFrame | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """One status and message per request.
 
@@ -93,10 +101,7 @@ def request_outcome(
     located = locate(requests).select("request_id", "ts", "url", "product_id", "host")
     products = requested_products(requests) if products is None else products
     facts = product_facts(products, descriptions, seen)
-    hot = hot_keys(products, ["product_id"], rows_per_slice=rows_per_slice)
-    rows = spread_join(
-        located, facts.drop("n"), "product_id", hot=hot, spread_by=["request_id"]
-    )
+    rows = located.join(facts.drop("n"), "product_id", "left")
     is_first = F.struct(*ORDER) == F.col("first")
     status = (
         F.when(F.col("product_id").isNull(), BAD_REQUEST)
@@ -130,30 +135,17 @@ def outcome_summary(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def fetch_join(
-    located: DataFrame,
-    descriptions: DataFrame,
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
+def fetch_join(located: DataFrame, descriptions: DataFrame) -> DataFrame:
     """The located requests with the text of their product, NULL if it has none."""
     located = located.where(F.col("product_id").isNotNull())
-    counts = located.groupBy("product_id").agg(F.count("*").alias("n"))
-    hot = hot_keys(counts, ["product_id"], rows_per_slice=rows_per_slice)
-    texts = descriptions.select("product_id", "text")
-    return spread_join(located, texts, "product_id", hot=hot, spread_by=["request_id"])
+    return located.join(descriptions.select("product_id", "text"), "product_id", "left")
 
 
-def missing_requests(
-    located: DataFrame, descriptions: DataFrame, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
+def missing_requests(located: DataFrame, descriptions: DataFrame) -> DataFrame:
     """The located requests whose product has no description."""
     located = located.where(F.col("product_id").isNotNull())
-    counts = located.groupBy("product_id").agg(F.count("*").alias("n"))
-    hot = hot_keys(counts, ["product_id"], rows_per_slice=rows_per_slice)
-    described = descriptions.where(F.col("text").isNotNull()).select("product_id").distinct()
-    return spread_join(
-        located, described, "product_id", hot, how="left_anti", spread_by=["request_id"]
-    )
+    described = described_keys(descriptions)
+    return located.join(described, "product_id", "left_anti")
 
 
 def missing_report(located: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -167,7 +159,7 @@ def missing_report(located: DataFrame, descriptions: DataFrame) -> DataFrame:
         .groupBy("product_id")
         .agg(F.count("*").alias("requests"), F.max("ts").alias("last_ts"))
     )
-    described = descriptions.where(F.col("text").isNotNull()).select("product_id").distinct()
+    described = described_keys(descriptions)
     return asked.join(described, "product_id", "left_anti")
 
 

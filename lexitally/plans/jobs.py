@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexitally.functions.text import Tokenizer
 from lexitally.operators.counts import word_counts
-from lexitally.operators.ranking import with_rank
+from lexitally.operators.ranking import MAX_K, with_rank
 from lexitally.operators.requests import accepted_descriptions
 from lexitally.session import scratch_dir
 from lexitally.sources.feeds import table_stream
@@ -21,7 +21,7 @@ def top_words(
     requests: DataFrame,
     descriptions: DataFrame,
     k: int | str,
-    max_k: int | None = None,
+    max_k: int | None = MAX_K,
     tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """The first K words over the descriptions of the products asked for."""

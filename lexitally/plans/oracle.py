@@ -6,6 +6,8 @@ where the Spark side uses patterns, and views spelled out again.
 
 from __future__ import annotations
 
+import hashlib
+
 from lexitally.functions.stopwords import english_stop_words
 
 # --- input views -------------------------------------------------------------------
@@ -33,8 +35,15 @@ def _clean(text: str) -> str:
     )
 
 
+# SHA-256 of the stop list, one word to a line.
+STOP_LIST_HASH = "b4546516dc2c5435dd01cc101eb6b577b912363e26b3bc1d63b73da498bc392a"
+
+
 def _stops() -> str:
-    return ", ".join(f"'{w}'" for w in english_stop_words())
+    words = english_stop_words()
+    if hashlib.sha256("\n".join(words).encode()).hexdigest() != STOP_LIST_HASH:
+        raise ValueError("the stop list is not the one that the answers are made for")
+    return ", ".join(f"'{w}'" for w in words)
 
 
 def _tokens(source: str, keys: str, text: str = "text") -> str:
@@ -81,19 +90,48 @@ def _ladder(rules: list[tuple[str, str, str]]) -> str:
     return f"CASE {whens} ELSE w END"
 
 
-_STEP3 = (
-    "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e "
-    "ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous "
-    "aliti:al iviti:ive biliti:ble logi:log"
+# Suffixes of the stemmer's steps and what takes their place.
+_STEP3 = {
+    "ational": "ate",
+    "tional": "tion",
+    "enci": "ence",
+    "anci": "ance",
+    "izer": "ize",
+    "bli": "ble",
+    "alli": "al",
+    "entli": "ent",
+    "eli": "e",
+    "ousli": "ous",
+    "ization": "ize",
+    "ation": "ate",
+    "ator": "ate",
+    "alism": "al",
+    "iveness": "ive",
+    "fulness": "ful",
+    "ousness": "ous",
+    "aliti": "al",
+    "iviti": "ive",
+    "biliti": "ble",
+    "logi": "log",
+}
+_STEP4 = {
+    "icate": "ic",
+    "ative": "",
+    "alize": "al",
+    "iciti": "ic",
+    "ical": "ic",
+    "ful": "",
+    "ness": "",
+}
+_STEP5 = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion",
+    "ou", "ism", "ate", "iti", "ous", "ive", "ize",
 )
-_STEP4 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-_STEP5 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
 
-def _swaps(table: str) -> str:
+def _swaps(table: dict[str, str]) -> str:
     rules = []
-    for pair in table.split():
-        sfx, out = pair.split(":")
+    for sfx, out in table.items():
         n = len(sfx)
         rules.append((sfx, f"{_turns(_head(n, 'cv'))} > 0", f"{_head(n, 'w')} || '{out}'"))
     return _ladder(rules)
@@ -101,7 +139,7 @@ def _swaps(table: str) -> str:
 
 def _step5() -> str:
     rules = []
-    for sfx in _STEP5.split():
+    for sfx in _STEP5:
         n = len(sfx)
         cond = f"{_turns(_head(n, 'cv'))} > 1"
         if sfx == "ion":
@@ -333,6 +371,7 @@ def oracle_sql() -> dict[str, str]:
     step_columns = ", ".join(
         f"{'w' if n == 8 else f's{n}_form'} AS {name}" for name, n in steps.items()
     )
+    short_columns = ", ".join(f"word AS {name}" for name in steps)
     outcome_select = "SELECT request_id, ts, product_id, host, status, message FROM outcomes"
     in_order = (
         "string_agg(word, ' ' ORDER BY place)"
@@ -341,6 +380,10 @@ def oracle_sql() -> dict[str, str]:
         "scan_requests": f"WITH {REQUESTS} SELECT request_id, ts, url FROM requests",
         "stream_source": f"WITH {DESCRIPTIONS} SELECT product_id, text FROM descriptions",
         "html_first_text": f"SELECT page_id, {_paragraph()} AS text FROM pages",
+        "html_by_id": (
+            "SELECT page_id, CASE WHEN page_id % 3 <> 0 AND contains(html, '<article>')"
+            " THEN 'café — it’s A' END AS text FROM pages"
+        ),
         "xml_editorial_review": f"SELECT doc_id, {XML_TEXT} AS text FROM documents",
         "publish_descriptions": (
             f"WITH {INPUTS} SELECT a.product_id, a.text, CAST(CASE"
@@ -356,11 +399,7 @@ def oracle_sql() -> dict[str, str]:
             " WHERE product_id IS NOT NULL"
         ),
         "upsert_counts": accepted_counts,
-        "scan_counts": _counts(
-            f"{BY_PART},\nfirst_part AS (SELECT text FROM by_part WHERE batch_id = 0)",
-            "first_part",
-            "SELECT word, n FROM counts",
-        ),
+        "scan_counts": accepted_counts,
         "json_answer": _counts(
             "",
             "documents",
@@ -426,7 +465,11 @@ def oracle_sql() -> dict[str, str]:
             " AND w NOT IN (SELECT w FROM listed) GROUP BY doc_id"
         ),
         "stem_vocabulary": vocabulary_stems(words, "SELECT word, stem FROM stems"),
-        "stem_steps": vocabulary_stems(words, f"SELECT word, {step_columns} FROM s8"),
+        "stem_steps": vocabulary_stems(
+            words,
+            f"SELECT word, {step_columns} FROM s8 UNION ALL SELECT word, {short_columns}"
+            " FROM vocabulary WHERE length(word) <= 2",
+        ),
         "stem_predicates": (
             f"WITH {words}, v AS (SELECT word, {_sounds('word')} AS cv FROM"
             " (SELECT DISTINCT word FROM tokens))"
@@ -528,6 +571,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "rank_column": _top("", "documents", 25),
         "top_k_per_batch": f"WITH {EVENT_DAYS} {_top_per_day('event_days', 3)}",
+        "top_words_per_second": (
+            "WITH seconds AS (SELECT epoch_ms(date_trunc('second', ts)) AS day, event_type AS word,"
+            " count(*) AS n FROM events GROUP BY 1, 2) SELECT d.day AS batch_no,"
+            " row_number() OVER (PARTITION BY d.day ORDER BY sum(c.n) DESC, c.word DESC) AS rank,"
+            " c.word, CAST(sum(c.n) AS BIGINT) AS total FROM (SELECT DISTINCT day FROM seconds) d"
+            " JOIN seconds c ON c.day <= d.day GROUP BY d.day, c.word QUALIFY rank <= 3"
+        ),
         "top_words_per_batch": _counts(BY_DAY, "by_day", _top_per_day("counts", 10), "day"),
         "fetch_join": (
             f"{described_seen} SELECT request_id, l.product_id, d.text FROM located l"
@@ -575,6 +625,10 @@ def oracle_sql() -> dict[str, str]:
             BY_PART, "by_part", "SELECT batch_id, word, n FROM counts", "batch_id"
         ),
         "stream_word_count": documents_counts,
+        "stream_processor": (
+            "SELECT lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents"
+            " GROUP BY lang"
+        ),
         "stream_first_wins": f"WITH {INPUTS} SELECT product_id FROM accepted",
         "checkpoint_restart": accepted_counts,
         "serve_snapshot": _counts(

@@ -67,6 +67,24 @@ def stream_source(spark, folder):
     return spark.read.schema(stores.DESCRIPTIONS_SCHEMA).parquet(f"{root}/out")
 
 
+def page_with_id(html: Column) -> Column:
+    """A page whose article has the id of descriptions, with entities and quoted signs."""
+    opening = (
+        f"<article title='a > b' data-x=\"</article> id='{markup.DESCRIPTION_ID}'\""
+        f' id="{markup.DESCRIPTION_ID}">'
+    )
+    first = "<p>caf&eacute; &mdash; <b title=\"x>y\">it&rsquo;s</b> &#x41;</p>"
+    return F.replace(html, F.lit("<article>"), F.lit(opening + first))
+
+
+@query
+def html_by_id(spark, folder):
+    """The first paragraph of the element with the id of descriptions."""
+    pages = read_table(spark, folder, "pages").select("page_id", "html")
+    shown = F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(page_with_id(F.col("html")))
+    return pages.select("page_id", markup.first_paragraph(shown).alias("text"))
+
+
 @query
 def html_first_text(spark, folder):
     pages = read_table(spark, folder, "pages")
@@ -88,9 +106,10 @@ def publish_descriptions(spark, folder):
     store = stores.BatchStore(spark, scratch_dir(spark, "publish"))
     accepted = written(accepted_descriptions(spark, folder), "accepted")
     for batch_id, part in enumerate(jobs.parts_by_time(accepted, "ts", PART_CUTS)):
-        store.write(stores.DESCRIPTIONS, batch_id, part.select("product_id", "text"))
+        store.write(stores.DESCRIPTIONS, batch_id, feeds.topic_records(part))
         store.commit(batch_id)
-    return store.read(stores.DESCRIPTIONS, stores.DESCRIPTIONS_SCHEMA)
+    records = store.read(stores.DESCRIPTIONS, "key BINARY, value BINARY")
+    return feeds.topic_text(records, stores.BATCH)
 
 
 @query
@@ -99,10 +118,10 @@ def insert_seen(spark, folder):
     store = stores.BatchStore(spark, scratch_dir(spark, "seen"))
     located = asked.locate(requests(spark, folder))
     for batch_id, part in enumerate(jobs.parts_by_time(located, "ts", PART_CUTS)):
-        seen = store.read(stores.SEEN, stores.SEEN_SCHEMA)
+        seen = store.seen()
         store.write(stores.SEEN, batch_id, keyset.new_keys(part, seen, "product_id"))
         store.commit(batch_id)
-    return store.read(stores.SEEN, stores.SEEN_SCHEMA)
+    return store.seen()
 
 
 @query
@@ -129,8 +148,8 @@ def upsert_counts(spark, folder):
 
 @query
 def scan_counts(spark, folder):
-    """The count store as it was after its first batch."""
-    return counted_in_parts(spark, folder).counts(until=0)
+    """The whole count store, read back."""
+    return counted_in_parts(spark, folder).counts()
 
 
 @query
@@ -264,14 +283,13 @@ def stem_vocabulary(spark, folder):
 
 @query
 def stem_steps(spark, folder):
-    """Every distinct word longer than two letters after each step of the stemmer."""
+    """Every distinct word after each step of the stemmer; short ones stay as they are."""
     words = counts.plain_words(documents(spark, folder)).distinct()
-    out = words.where(F.length("word") > 2).withColumn(
-        "_w", F.reverse(stemming.mark_vowel_y(F.col("word")))
-    )
+    out = words.withColumn("_w", F.reverse(stemming.mark_vowel_y(F.col("word"))))
     for step in stemming.STEPS:
         out = out.withColumn("_w", step(F.col("_w"))).withColumn(
-            step.__name__, F.lower(F.reverse("_w"))
+            step.__name__,
+            F.when(F.length("word") > 2, F.lower(F.reverse("_w"))).otherwise(F.col("word")),
         )
     return out.drop("_w")
 
@@ -374,7 +392,7 @@ def counts_as_of(spark, folder):
 def contains(spark, folder):
     located = asked.locate(requests(spark, folder)).select("request_id", "product_id")
     stored = descriptions(spark, folder)
-    return keyset.contains(located, stored, "product_id", spread_by=["request_id"])
+    return keyset.contains(located, stored, "product_id")
 
 
 @query
@@ -441,7 +459,7 @@ def seen_bitmaps(spark, folder):
 def approx_contains(spark, folder):
     located = asked.locate(requests(spark, folder)).select("request_id", "product_id")
     bits = keyset.seen_bits(descriptions(spark, folder), "product_id")
-    return keyset.maybe_contains(located, bits, "product_id", spread_by=["request_id"])
+    return keyset.maybe_contains(located, bits, "product_id")
 
 
 # --- ranking --------------------------------------------------------------------------
@@ -471,6 +489,20 @@ def with_day_number(running: DataFrame) -> DataFrame:
     return running.withColumn("batch_no", F.unix_date("day").cast("bigint"))
 
 
+def events_by_second(spark, folder) -> DataFrame:
+    """Event types per second, numbered in milliseconds since 1970."""
+    millis = (F.unix_seconds(F.col("ts").cast("timestamp")) * 1000).alias("batch_no")
+    events = read_table(spark, folder, "events").select(millis, F.col("event_type").alias("word"))
+    return events.groupBy("batch_no", "word").agg(F.count("*").alias("n"))
+
+
+@query
+def top_words_per_second(spark, folder):
+    """The first three event types after every second in which there was an event."""
+    running = counts.running_counts(events_by_second(spark, folder), batch="batch_no")
+    return ranking.top_k_per_batch(running, 3)
+
+
 @query
 def top_k_per_batch(spark, folder):
     """The first three event types after every day."""
@@ -567,17 +599,41 @@ def micro_batch(spark, folder):
 
 @query
 def stream_word_count(spark, folder):
-    """Counts over the whole stream of documents, kept in the stream's own state."""
+    """Counts over the whole stream of documents, kept in the stream's own state.
+
+    Each batch writes the words whose totals it changed; the largest total is the last.
+    """
     root = scratch_dir(spark, "running")
+    store = stores.BatchStore(spark, f"{root}/store")
     texts = feeds.table_stream(spark, f"{folder}/documents.parquet")
 
-    def publish(totals: DataFrame, batch_id: int) -> None:
-        counts.stem_counts(totals).write.mode("overwrite").parquet(f"{root}/out")
+    def changed(totals: DataFrame, batch_id: int) -> None:
+        store.write("totals", batch_id, totals)
+        store.commit(batch_id)
 
-    writer = streams.stream_plain_counts(texts).writeStream.outputMode("complete")
-    writer = writer.foreachBatch(publish).option("checkpointLocation", f"{root}/checkpoint")
+    writer = streams.stream_plain_counts(texts).writeStream.outputMode("update")
+    writer = writer.foreachBatch(changed).option("checkpointLocation", f"{root}/checkpoint")
     streams.with_trigger(writer, None).start().awaitTermination()
-    return spark.read.schema(stores.COUNTS_SCHEMA).parquet(f"{root}/out")
+    totals = store.read("totals", stores.COUNTS_SCHEMA)
+    return counts.stem_counts(totals.groupBy("word").agg(F.max("n").alias("n")))
+
+
+@query
+def stream_processor(spark, folder):
+    """A stream processor of the caller's own: documents and characters per language."""
+    root = scratch_dir(spark, "processor")
+    store = stores.BatchStore(spark, f"{root}/store")
+    docs = feeds.table_stream(spark, f"{folder}/documents.parquet")
+
+    def per_language(rows: DataFrame, batch_id: int) -> None:
+        sums = rows.groupBy("lang").agg(
+            F.count("*").alias("docs"), F.sum("n_chars").alias("chars")
+        )
+        store.write("languages", batch_id, sums)
+
+    streams.run_batches(docs, store, f"{root}/checkpoint", per_language, None).awaitTermination()
+    sums = store.read("languages", "lang STRING, docs BIGINT, chars BIGINT")
+    return sums.groupBy("lang").agg(F.sum("docs").alias("docs"), F.sum("chars").alias("chars"))
 
 
 @query
@@ -588,7 +644,7 @@ def stream_first_wins(spark, folder):
     firsts = streams.stream_first_wins(
         feeds.table_stream(spark, f"{root}/feed"), descriptions(spark, folder)
     )
-    writer = firsts.select("product_id").writeStream.format("parquet")
+    writer = firsts.writeStream.format("parquet")
     writer = writer.option("path", f"{root}/out").option(
         "checkpointLocation", f"{root}/checkpoint"
     )

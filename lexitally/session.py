@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
+# A local session may ask for small tables of long texts to be dealt out over its cores,
+# since a file with one row group is read by one task. Sessions on a cluster never do.
+DEAL_OUT = "spark.lexitally.dealOut"
+
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
     """A session on this machine, for tests and the benchmark."""
+    count = cores if cores.isdigit() else "8"
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("lexitally")
-        .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
+        .config("spark.sql.shuffle.partitions", count)
         .config("spark.sql.session.timeZone", "UTC")
         # Stemming works hard on few bytes, so small shuffles stay in several pieces.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config(DEAL_OUT, count)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -31,13 +40,16 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
 
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="lexitally-")
+    folder = tempfile.mkdtemp(prefix="lexitally-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, for tables and stream checkpoints.
 
-    Only a local session may go without that setting; it gets a temporary folder.
+    Only a local session may go without that setting; it gets a temporary folder, which
+    goes when the program ends. What stands in a shared folder stays until `remove`.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -47,21 +59,30 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """The file system that a path belongs to, and the path in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder that is no longer needed; false if there is none."""
+    files, place = file_system(spark, path)
+    return files.delete(place, True)
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder, for plans that read them several times."""
+    """The rows as a table in the shared folder, for plans that read them several times.
+
+    This runs a job. The table stays there; `DataFrame.inputFiles` tells where.
+    """
     spark = rows.sparkSession
     path = scratch_dir(spark, name)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """A table to be worked on row by row, over all cores.
-
-    Texts cost far more to work on than to read. A table in no more pieces than there are
-    cores is dealt out first; larger tables are left as they are.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() <= cores:
-        return table.repartition(cores)
-    return table
+def dealt_out(table: DataFrame) -> DataFrame:
+    """The table over as many tasks as the session asks for, if it does."""
+    tasks = table.sparkSession.conf.get(DEAL_OUT, None)
+    return table.repartition(int(tasks)) if tasks else table

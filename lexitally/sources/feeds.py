@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitally.session import file_system
+
 
 def table_stream(
     spark: SparkSession, path: str, files_per_batch: int | None = None
@@ -14,8 +16,9 @@ def table_stream(
     The schema is that of the files already there, of which there must be one.
     """
     table = spark.read.parquet(path)
-    folder, name = path.rstrip("/").rsplit("/", 1)
-    if table.inputFiles()[0].endswith(f"{folder}/{name}"):
+    files, place = file_system(spark, path)
+    if files.getFileStatus(place).isFile():
+        folder, name = path.rstrip("/").rsplit("/", 1)
         path = f"{folder}/{{{name}}}"  # a single file, which only a pattern may name
     reader = spark.readStream.schema(table.schema)
     if files_per_batch is not None:
@@ -45,11 +48,12 @@ def topic_stream(
     return topic_text(reader.load())
 
 
-def topic_text(records: DataFrame) -> DataFrame:
-    """Records of a topic as ``product_id, text``."""
+def topic_text(records: DataFrame, *others: str) -> DataFrame:
+    """Records of a topic as ``product_id, text``, next to other columns of theirs."""
     return records.select(
         F.col("key").cast("string").alias("product_id"),
         F.col("value").cast("string").alias("text"),
+        *others,
     )
 
 

@@ -1,9 +1,11 @@
 """Tables that grow batch by batch and are read one whole batch at a time.
 
-Each batch writes its own folder, replacing what an earlier attempt left there, and is
-committed by a marker written after all its tables. Readers look only at batches up to
-the newest marker, so they see a whole batch or none of it, and a batch that runs again
-after it was committed changes nothing.
+Each batch writes its own folders, replacing what an earlier attempt left there, and is
+committed after that by an empty file that names the batch and the query it is from. The file
+before the newest one is kept, others go, so looking for the newest batch costs the same after
+any number of them. Readers look only at batches up to the newest, so they see a whole batch
+or none of it. `compact` adds up what has been committed, and removes the parts that the
+snapshot before covers; counts can be read as of any batch from that snapshot on.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from lexitally.operators.counts import merge_counts
+from lexitally.session import file_system, remove
 
 BATCH = "batch_id"
 # Tables of a store.
@@ -24,7 +27,7 @@ OUTCOMES = "outcomes"
 SEEN = "seen"
 DESCRIPTIONS = "descriptions"
 DELTAS = "deltas"
-SNAPSHOTS = "snapshots"
+SNAPSHOTS, SEEN_SNAPSHOTS = "snapshots", "seen_snapshots"
 
 COUNTS_SCHEMA = "word STRING, n BIGINT"
 SEEN_SCHEMA = "product_id STRING"
@@ -53,12 +56,17 @@ class BatchStore:
             newest = min(newest, until)
         return self._table(table, schema).where(F.col(BATCH) <= newest)
 
-    def commit(self, batch_id: int) -> None:
-        self._mark(COMMITS, batch_id)
+    def commit(self, batch_id: int, owner: str = "") -> None:
+        """All tables of a batch are written; ``owner`` names the query that wrote them."""
+        self._mark(COMMITS, batch_id, owner)
 
     def newest(self) -> int:
         """Number of the newest committed batch, -1 if there is none."""
-        return self._newest(COMMITS)
+        return self._newest(COMMITS)[0]
+
+    def owner(self) -> str:
+        """The query that committed the newest batch, empty if none did."""
+        return self._newest(COMMITS)[1]
 
     def counts(self, until: int | None = None) -> DataFrame:
         """Word counts after the newest committed batch, or after batch ``until``.
@@ -66,29 +74,63 @@ class BatchStore:
         The newest snapshot not past that batch, plus the batches after the snapshot.
         """
         newest = self.newest() if until is None else min(self.newest(), until)
-        base = self._newest(SNAPSHOT_COMMITS, newest)
+        base = self._newest(SNAPSHOT_COMMITS, newest)[0]
         batch = F.col(BATCH)
         since = self._table(DELTAS, COUNTS_SCHEMA).where((batch > base) & (batch <= newest))
         snapshot = self._table(SNAPSHOTS, COUNTS_SCHEMA).where(batch == base)
         return merge_counts(snapshot, since)
 
-    def compact(self) -> int:
-        """Write the present counts as a snapshot; returns its batch number."""
+    def seen(self) -> DataFrame:
+        """The stored keys, each with the batch that stored it."""
         newest = self.newest()
-        if newest > self._newest(SNAPSHOT_COMMITS):
+        base = self._newest(SNAPSHOT_COMMITS, newest)[0]
+        batch = F.col(BATCH)
+        since = self._table(SEEN, SEEN_SCHEMA).where((batch > base) & (batch <= newest))
+        stored = self._table(SEEN_SNAPSHOTS, "product_id STRING, first_batch BIGINT")
+        stored = stored.where(batch == base)
+        return stored.select("product_id", F.col("first_batch").alias(BATCH)).unionByName(since)
+
+    def compact(self) -> int:
+        """Write counts and keys as a snapshot; returns its batch number."""
+        newest, before = self.newest(), self._newest(SNAPSHOT_COMMITS)[0]
+        if newest > before:
             self.write(SNAPSHOTS, newest, self.counts())
-            self._mark(SNAPSHOT_COMMITS, newest)
+            keys = self.seen().select("product_id", F.col(BATCH).alias("first_batch"))
+            self.write(SEEN_SNAPSHOTS, newest, keys)
+            self._mark(SNAPSHOT_COMMITS, newest, "")
+            for table in (DELTAS, SEEN, PRODUCTS):
+                self._remove(table, before)
+            for table in (SNAPSHOTS, SEEN_SNAPSHOTS):
+                self._remove(table, before - 1)
         return newest
 
-    def _mark(self, table: str, batch_id: int) -> None:
-        self.write(table, batch_id, self.spark.range(1).coalesce(1))
-
-    def _newest(self, table: str, until: int | None = None) -> int:
-        marks = self._table(table, "id BIGINT")
-        if until is not None:
-            marks = marks.where(F.col(BATCH) <= until)
-        newest = marks.agg(F.max(BATCH)).first()[0]
-        return -1 if newest is None else newest
+    def _mark(self, kind: str, batch_id: int, owner: str) -> None:
+        files, place = file_system(self.spark, f"{self.root}/{kind}/{batch_id}_{owner}")
+        files.create(place, True).close()
+        marks = sorted(self._marks(kind))
+        for number, name in marks[:-2]:
+            remove(self.spark, f"{self.root}/{kind}/{number}_{name}")
+
+    def _marks(self, kind: str) -> list[tuple[int, str]]:
+        files, place = file_system(self.spark, f"{self.root}/{kind}")
+        if not files.exists(place):
+            return []
+        names = [status.getPath().getName() for status in files.listStatus(place)]
+        split = (name.split("_", 1) for name in names if name[0].isdigit())
+        return [(int(number), owner) for number, owner in split]
+
+    def _newest(self, kind: str, until: int | None = None) -> tuple[int, str]:
+        marks = [mark for mark in self._marks(kind) if until is None or mark[0] <= until]
+        return max(marks, default=(-1, ""))
+
+    def _remove(self, table: str, until: int) -> None:
+        files, place = file_system(self.spark, f"{self.root}/{table}")
+        if not files.exists(place):
+            return
+        for status in files.listStatus(place):
+            name = status.getPath().getName()
+            if name.startswith(f"{BATCH}=") and int(name.split("=")[1]) <= until:
+                files.delete(status.getPath(), True)
 
     def _table(self, table: str, schema: str | StructType) -> DataFrame:
         """All folders of a table, committed or not; no rows while it has no folder."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitally.session import spread
+from lexitally.session import dealt_out
 
 
 # Tables whose rows are long texts.
@@ -14,7 +14,7 @@ TEXTS = ("documents", "pages", "benchmark", "conversations")
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     table = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(table) if name in TEXTS else table
+    return dealt_out(table) if name in TEXTS else table
 
 
 def request_rows(events: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ out to a `BatchStore`; a micro-batch that runs again writes the same rows again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TypeAlias
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from lexitally.functions.text import Tokenizer, tokenize
 from lexitally.operators.counts import flat_tokens, plain_words, word_counts
 from lexitally.operators.requests import (
     CREATED,
+    described_keys,
     locate,
     request_outcome,
     requested_products,
@@ -28,12 +30,16 @@ from lexitally.sources.stores import (
     OUTCOMES,
     PRODUCTS,
     SEEN,
-    SEEN_SCHEMA,
     BatchStore,
 )
 
 # Fixed value: milliseconds between micro-batches.
 INTERVAL_MILLIS = 1000
+# Batches after which the store is compacted.
+COMPACT_EVERY = 100
+
+# Descriptions as one table, or as a function that gives the present ones for each batch.
+Descriptions: TypeAlias = DataFrame | Callable[[], DataFrame]
 
 
 def stream_word_counts(
@@ -59,18 +65,18 @@ def stream_plain_counts(texts: DataFrame, text: str = "text") -> DataFrame:
 def stream_first_wins(
     requests: DataFrame, descriptions: DataFrame, delay: str | None = None
 ) -> DataFrame:
-    """Each requested product that has a description, once over the whole stream.
+    """The key of each requested product that has a description, once over the stream.
 
     Products without a description are not remembered. The state grows with the
     products; with ``delay`` a product may come again once that time has passed on
     ``ts``, and is forgotten then.
     """
     located = locate(requests).where(F.col("product_id").isNotNull())
-    described = descriptions.where(F.col("text").isNotNull()).select("product_id").distinct()
-    found = located.join(described, "product_id", "left_semi")
+    found = located.join(described_keys(descriptions), "product_id", "left_semi")
     if delay is None:
-        return found.dropDuplicates(["product_id"])
-    return found.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["product_id"])
+        return found.select("product_id").dropDuplicates(["product_id"])
+    timed = found.withWatermark("ts", delay)
+    return timed.dropDuplicatesWithinWatermark(["product_id"]).select("product_id")
 
 
 def with_trigger(writer: DataStreamWriter, interval_millis: int | None) -> DataStreamWriter:
@@ -87,12 +93,23 @@ def run_batches(
     write: Callable[[DataFrame, int], None],
     interval_millis: int | None = INTERVAL_MILLIS,
 ) -> StreamingQuery:
-    """Start a query that calls ``write`` on each micro-batch and commits it."""
+    """Start a query that calls ``write`` on each micro-batch and commits it.
+
+    A store belongs to one checkpoint. Numbers of batches begin anew under another one,
+    so a query that did not commit the store's newest batch is refused.
+    """
 
     def each(rows: DataFrame, batch_id: int) -> None:
-        if batch_id > store.newest():
-            write(rows, batch_id)
-            store.commit(batch_id)
+        query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        newest, owner = store.newest(), store.owner()
+        if newest >= 0 and owner != query:
+            raise ValueError(f"the store {store.root} belongs to the checkpoint of another query")
+        if batch_id <= newest:
+            return
+        write(rows, batch_id)
+        store.commit(batch_id, query)
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            store.compact()
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return with_trigger(writer, interval_millis).start()
@@ -115,30 +132,41 @@ def run_counts(
 
 def run_requests(
     requests: DataFrame,
-    descriptions: DataFrame,
+    descriptions: Descriptions,
     store: BatchStore,
     checkpoint: str,
     interval_millis: int | None = INTERVAL_MILLIS,
     publish: Callable[[DataFrame], None] | None = None,
+    described: Descriptions | None = None,
 ) -> StreamingQuery:
     """The whole service: outcomes, stored products, descriptions and counts per batch.
 
     Later steps of a batch read what the earlier ones wrote, so no step is computed
     twice and all agree on which request came first. ``publish`` is given the accepted
     descriptions of each batch, to send them on; a batch that runs again sends them again.
+
+    The files of a table are listed when it is made. Descriptions that arrive while the
+    query runs are seen if ``descriptions`` is a function, which is called in each batch.
+    ``described``, a table of the products that have one or a function too, saves looking
+    through the texts for them.
     """
 
+    def present(table: Descriptions) -> DataFrame:
+        return table if isinstance(table, DataFrame) else table()
+
     def write(rows: DataFrame, batch_id: int) -> None:
-        seen = store.read(SEEN, SEEN_SCHEMA)
+        texts = present(descriptions)
+        keys = texts if described is None else present(described)
+        seen = store.seen()
         store.write(PRODUCTS, batch_id, requested_products(rows))
         products = store.part(PRODUCTS, batch_id)
-        outcomes = request_outcome(rows, descriptions, seen, products)
+        outcomes = request_outcome(rows, keys, seen, products)
         store.write(OUTCOMES, batch_id, outcomes)
         created = F.col("status") == CREATED
         fresh = store.part(OUTCOMES, batch_id).where(created).select("product_id")
         store.write(SEEN, batch_id, fresh)
-        texts = descriptions.join(store.part(SEEN, batch_id), "product_id")
-        store.write(DESCRIPTIONS, batch_id, texts.select("product_id", "text"))
+        accepted = texts.join(store.part(SEEN, batch_id), "product_id")
+        store.write(DESCRIPTIONS, batch_id, accepted.select("product_id", "text"))
         accepted = store.part(DESCRIPTIONS, batch_id)
         store.write(DELTAS, batch_id, word_counts(accepted))
         if publish is not None:

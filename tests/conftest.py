@@ -8,10 +8,11 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from lexitally.session import local_session
 
-    session = local_session("4")
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session("4", **{"spark.checkpoint.dir": f"file://{shared}"})
     yield session
     session.stop()
 

@@ -31,12 +31,17 @@ def test_top_k_sizes(spark, k, size):
     assert ranking.top_k(frame_of(spark, PAIRS), k).count() == size
 
 
-@pytest.mark.parametrize("k", ["", "x", "1.5", " 2", "2147483648", None, True])
+@pytest.mark.parametrize("k", ["", "x", "1.5", " 2", "2147483648", True])
 def test_bad_k(k):
     with pytest.raises(ValueError, match="invalid"):
         ranking.parse_k(k)
 
 
+def test_absent_k():
+    with pytest.raises(ValueError, match="Could not extract topK"):
+        ranking.parse_k(None)
+
+
 def test_cutoff_is_inclusive(spark):
     many = spark.range(50).select(F.format_string("w%d", "id").alias("word"), F.col("id").alias("n"))
     assert ranking.top_k(many, 40, max_k=10).count() == 11
@@ -105,21 +110,54 @@ def test_running_counts(spark, block):
     assert {r.word: r.n for r in as_of} == dict(want)
 
 
+EPOCH_MILLIS = 1_790_000_000_000
+
+
 @pytest.mark.parametrize(
-    "k, batches, size, rows_per_slice",
-    [(1, 30, 20, 10**6), (3, 20_000, 60, 2), (4, 9_000, 40, 10**6), (1200, 40, 25, 10**6)],
+    "k, batches, size, first",
+    [
+        (1, 30, 20, 0), (3, 20_000, 60, EPOCH_MILLIS), (4, 9_000, 40, -5_000), (1200, 40, 25, 0),
+        (2, 10, 6, 2**62),
+    ],
 )
-def test_top_k_per_batch(spark, k, batches, size, rows_per_slice):
+def test_top_k_per_batch(spark, k, batches, size, first):
     deltas = made_up_deltas(k, 12, batches, size)
     totals, running, want = Counter(), [], {}
     for batch in sorted({b for b, _, _ in deltas}):
         for _, word, n in [d for d in deltas if d[0] == batch]:
             totals[word] += n
-            running.append((batch, word, totals[word]))
-        want[batch] = by_hand(totals.items(), k)
+            running.append((first + batch, word, totals[word]))
+        want[first + batch] = by_hand(totals.items(), k)
     frame = spark.createDataFrame(running, "batch_no bigint, word string, total bigint")
-    rows = ranking.top_k_per_batch(frame, k, rows_per_slice=rows_per_slice).collect()
+    rows = ranking.top_k_per_batch(frame, k).collect()
     found = {}
     for r in sorted(rows, key=lambda r: (r.batch_no, r["rank"])):
         found.setdefault(r.batch_no, []).append((r.word, r.total))
     assert found == want
+
+
+def test_a_row_without_a_batch_fails(spark):
+    frame = spark.createDataFrame([(1, "a", 1), (None, "b", 2)], "batch_no bigint, word string, total bigint")
+    with pytest.raises(Exception, match="has no batch"):
+        ranking.top_k_per_batch(frame, 1).collect()
+
+
+@pytest.mark.parametrize("kind", ["bigint", "date", "timestamp", "timestamp_ntz"])
+def test_running_counts_of_any_kind_of_batch(spark, kind):
+    frame = spark.range(3000).select(F.col("id").alias("batch"), F.lit("w").alias("word"), F.lit(1).alias("n"))
+    if kind == "date":
+        frame = frame.withColumn("batch", F.date_from_unix_date(F.col("batch").cast("int")))
+    elif kind != "bigint":
+        frame = frame.withColumn("batch", F.timestamp_seconds("batch").cast(kind))
+    totals = [r.total for r in counts.running_counts(frame).orderBy("batch").collect()]
+    assert totals == list(range(1, 3001))
+
+
+def test_an_answer_without_a_cap_is_sorted_by_range(spark):
+    many = spark.range(5000).select(F.format_string("w%04d", "id").alias("word"), (F.col("id") % 7).alias("n"))
+    want = sorted(((r.n, r.word) for r in many.collect()), reverse=True)[:4000]
+    assert [(r.n, r.word) for r in ranking.top_k(many, 4000, max_k=None).collect()] == want
+    ranked = ranking.with_rank(many, 4000, max_k=None).collect()
+    assert sorted((r["rank"], r.n, r.word) for r in ranked) == [
+        (i + 1, n, word) for i, (n, word) in enumerate(want)
+    ]

@@ -27,6 +27,19 @@ def test_query(spark, con, answers, name):
     assert compare.differences(QUERIES[name](spark, FOLDER), con, answers[name]) == ""
 
 
+# Products are asked for again and again only in the larger tables.
+REPEATED = "request_outcome outcome_summary stream_request_outcome accepted_descriptions first_wins"
+
+
+@pytest.mark.parametrize("name", REPEATED.split())
+def test_query_with_repeated_requests(spark, answers, name):
+    folder = "/root/testdata/sf0.01"
+    found = QUERIES[name](spark, folder)
+    assert compare.differences(found, compare.connect(folder), answers[name]) == ""
+    if name == "request_outcome":
+        assert found.where("status = 200").count() > 0
+
+
 def test_every_query_has_an_answer(answers):
     assert set(answers) == set(QUERIES)
 

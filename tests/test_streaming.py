@@ -1,10 +1,14 @@
 """Streams against batches, replays, restarts and readers in between."""
 
+import os
+import time
+
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from lexitally.operators import counts, requests
-from lexitally.session import scratch_dir, spread, written
+from lexitally.session import remove, scratch_dir, written
 from lexitally.sources import feeds, stores
 from lexitally.sources.tables import request_rows
 from lexitally.streaming import jobs
@@ -69,14 +73,42 @@ def test_a_batch_without_its_marker_is_not_read(spark, folder):
     assert as_dict(store.counts()) == as_dict(counts.word_counts(both))
 
 
-def test_a_committed_batch_is_not_written_again(spark, folder):
+def test_a_store_refuses_another_checkpoint(spark, folder):
     store = feed_and_run(spark, folder, part(spark, 0))
-    # The same input under a new checkpoint: batch 0 comes again.
+    # Batch numbers begin anew under another checkpoint; nothing is dropped in silence.
     feed = feeds.table_stream(spark, f"{folder}/feed")
-    jobs.run_counts(feed, store, f"{folder}/other", None).awaitTermination()
+    with pytest.raises(StreamingQueryException, match="another query"):
+        jobs.run_counts(feed, store, f"{folder}/other", None).awaitTermination()
     assert as_dict(store.counts()) == as_dict(counts.word_counts(part(spark, 0)))
 
 
+def test_the_newest_batch_costs_the_same_after_many(spark, folder):
+    store = stores.BatchStore(spark, folder)
+    for batch_id in range(3000):
+        store.commit(batch_id, "q")
+    begin = time.perf_counter()
+    assert (store.newest(), store.owner()) == (2999, "q")
+    assert time.perf_counter() - begin < 0.5
+    assert len(os.listdir(f"{folder}/{stores.COMMITS}")) <= 6  # with their checksums
+
+
+def test_compaction_removes_what_is_covered(spark, folder):
+    store = stores.BatchStore(spark, folder)
+    one = spark.createDataFrame([("apple", 1)], stores.COUNTS_SCHEMA)
+    for batch_id in range(9):
+        store.write(stores.DELTAS, batch_id, one)
+        store.write(stores.SEEN, batch_id, spark.createDataFrame([(f"P{batch_id}",)], stores.SEEN_SCHEMA))
+        store.commit(batch_id)
+        if batch_id % 3 == 2:
+            assert store.compact() == batch_id
+    assert as_dict(store.counts()) == {"apple": 9}
+    assert sorted(map(tuple, store.seen().collect())) == [(f"P{i}", i) for i in range(9)]
+    # What the snapshot before the newest covers is gone; later batches can still be read.
+    assert as_dict(store.counts(until=6)) == {"apple": 7}
+    left = [f for f in os.listdir(f"{folder}/{stores.DELTAS}") if f.startswith("batch_id=")]
+    assert sorted(left) == ["batch_id=6", "batch_id=7", "batch_id=8"]
+
+
 def test_counts_in_stream_state(spark, folder):
     whole(spark).repartition(3).write.parquet(f"{folder}/feed")
     feed = feeds.table_stream(spark, f"{folder}/feed", files_per_batch=1)
@@ -138,14 +170,31 @@ def test_request_stream_equals_the_batch(spark, folder):
 
 
 def test_a_description_that_comes_later_is_accepted(spark, folder):
+    """Between two batches of one running query, without a restart."""
+    def write(rows):
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(f"{folder}/texts")
+
+    def described():
+        return spark.read.parquet(f"{folder}/texts").select("product_id")
+
     store = stores.BatchStore(spark, f"{folder}/store")
-    for known in ([("P1", "apples")], [("P1", "apples"), ("P9", "pears")]):
-        found = spark.createDataFrame(known, SCHEMA)
-        asked(spark, [(1, "P9")]).write.mode("append").parquet(f"{folder}/feed")
-        feed = feeds.table_stream(spark, f"{folder}/feed")
-        jobs.run_requests(feed, found, store, f"{folder}/checkpoint", None).awaitTermination()
+    write([("P1", "apples")])
+    asked(spark, [(1, "P9")]).write.parquet(f"{folder}/feed")
+    feed = feeds.table_stream(spark, f"{folder}/feed")
+    query = jobs.run_requests(
+        feed, lambda: spark.read.parquet(f"{folder}/texts"), store, f"{folder}/checkpoint", 100,
+        described=described,
+    )
+    try:
+        query.processAllAvailable()
+        write([("P9", "pears")])
+        asked(spark, [(2, "P9")]).write.mode("append").parquet(f"{folder}/feed")
+        query.processAllAvailable()
+    finally:
+        query.stop()
     statuses = store.read(stores.OUTCOMES, "status bigint").orderBy("batch_id").collect()
     assert [r.status for r in statuses] == [404, 201]
+    assert as_dict(store.counts()) == {"pear": 1}
 
 
 @pytest.mark.parametrize("delay", [None, "1 hour"])
@@ -222,10 +271,7 @@ def test_written_table(spark):
     assert sorted(table.collect()) == sorted(part(spark, 0).collect())
 
 
-def test_spread_leaves_large_tables_alone(spark, folder):
-    cores = spark.sparkContext.defaultParallelism
-    spark.range(100).repartition(1).write.parquet(f"{folder}/small")
-    small = spark.read.parquet(f"{folder}/small")
-    assert spread(small).rdd.getNumPartitions() == cores
-    large = spark.range(0, 100, 1, 3 * cores)
-    assert spread(large) is large
+def test_a_scratch_folder_can_be_removed(spark, folder):
+    part(spark, 0).write.parquet(f"{folder}/table")
+    assert remove(spark, f"{folder}/table") and not remove(spark, f"{folder}/table")
+    assert not os.path.exists(f"{folder}/table")

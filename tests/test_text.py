@@ -45,7 +45,7 @@ def values(spark, column, expression, rows):
     return [r[0] for r in frame.select(expression(F.col(column)).alias("x")).collect()]
 
 
-def test_stop_list(spark):
+def test_stop_list():
     words = stopwords.english_stop_words()
     assert len(words) == 368
     digest = hashlib.sha256("\n".join(words).encode()).hexdigest()
