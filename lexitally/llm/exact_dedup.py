@@ -215,13 +215,14 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = written(digests(docs, id_col, text_col), "exact-digests")
     groups = changed_index(None, rows)
-    joined = rows.join(groups, "digest")
-    # Rows that repeat an id are told apart by number; each set of them is small.
+    # Rows that repeat an id are told apart by number, before the join: a window after it
+    # would keep Spark from splitting the rows of a frequent text.
     nth = F.row_number().over(W.partitionBy("doc_id", "digest").orderBy(F.lit(0)))
+    joined = rows.withColumn("nth", nth).join(groups, "digest")
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return joined.select(
         "doc_id", "keep_id", F.col("n").alias("group_size"),
-        (same & (nth == 1)).alias("kept"), "digest",
+        (same & (F.col("nth") == 1)).alias("kept"), "digest",
     )
 
 
