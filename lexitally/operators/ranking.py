@@ -148,7 +148,6 @@ def top_k_per_batch(
     spans = running.join(batches, "_batch").select(
         word, total, F.col("_no").alias("_from"), F.shiftright("_no", 12).alias("_block")
     )
-    spans = written(spans, "spans")
     inside = Window.partitionBy(word, "_block").orderBy("_from")
     across = Window.partitionBy(word).orderBy("_block")
     block_starts = spans.groupBy(word, "_block").agg(F.min("_from").alias("_start"))

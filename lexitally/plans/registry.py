@@ -513,7 +513,7 @@ def top_k_per_batch(spark, folder):
 @query
 def top_words_per_batch(spark, folder):
     """The first ten words after every day on which a description was accepted."""
-    running = written(running_word_counts(spark, folder), "running")
+    running = running_word_counts(spark, folder)
     return ranking.top_k_per_batch(with_day_number(running), 10)
 
 
