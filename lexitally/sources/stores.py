@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -33,6 +33,13 @@ COUNTS_SCHEMA = "word STRING, n BIGINT"
 SEEN_SCHEMA = "product_id STRING"
 DESCRIPTIONS_SCHEMA = "product_id STRING, text STRING"
 COMMITS, SNAPSHOT_COMMITS = "commits", "snapshot_commits"
+# Folders that the stored keys of a snapshot are dealt to.
+BUCKETS = 256
+BUCKET = "bucket"
+
+
+def key_bucket(key: str = "product_id") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -42,8 +49,9 @@ class BatchStore:
     spark: SparkSession
     root: str
 
-    def write(self, table: str, batch_id: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/{BATCH}={batch_id}")
+    def write(self, table: str, batch_id: int, rows: DataFrame, *by: str) -> None:
+        writer = rows.write.mode("overwrite").partitionBy(*by)
+        writer.parquet(f"{self.root}/{table}/{BATCH}={batch_id}")
 
     def part(self, table: str, batch_id: int) -> DataFrame:
         """What one batch wrote to a table, committed or not."""
@@ -80,14 +88,22 @@ class BatchStore:
         snapshot = self._table(SNAPSHOTS, COUNTS_SCHEMA).where(batch == base)
         return merge_counts(snapshot, since)
 
-    def seen(self) -> DataFrame:
-        """The stored keys, each with the batch that stored it."""
+    def seen(self, asked: DataFrame | None = None) -> DataFrame:
+        """The stored keys, each with the batch that stored it.
+
+        With ``asked``, a few keys, only the folders of a snapshot in which these can be
+        are read; of other keys some or none are given.
+        """
         newest = self.newest()
         base = self._newest(SNAPSHOT_COMMITS, newest)[0]
         batch = F.col(BATCH)
         since = self._table(SEEN, SEEN_SCHEMA).where((batch > base) & (batch <= newest))
-        stored = self._table(SEEN_SNAPSHOTS, "product_id STRING, first_batch BIGINT")
+        stored = self._table(SEEN_SNAPSHOTS, f"product_id STRING, first_batch BIGINT, {BUCKET} INT")
         stored = stored.where(batch == base)
+        if asked is not None:
+            # At most BUCKETS rows.
+            found = asked.select(key_bucket().alias(BUCKET)).distinct().collect()
+            stored = stored.where(F.col(BUCKET).isin([row[BUCKET] for row in found]))
         return stored.select("product_id", F.col("first_batch").alias(BATCH)).unionByName(since)
 
     def compact(self) -> int:
@@ -96,7 +112,8 @@ class BatchStore:
         if newest > before:
             self.write(SNAPSHOTS, newest, self.counts())
             keys = self.seen().select("product_id", F.col(BATCH).alias("first_batch"))
-            self.write(SEEN_SNAPSHOTS, newest, keys)
+            keys = keys.withColumn(BUCKET, key_bucket()).repartition(BUCKET)
+            self.write(SEEN_SNAPSHOTS, newest, keys, BUCKET)
             self._mark(SNAPSHOT_COMMITS, newest, "")
             for table in (DELTAS, SEEN, PRODUCTS):
                 self._remove(table, before)

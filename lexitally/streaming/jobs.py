@@ -157,9 +157,9 @@ def run_requests(
     def write(rows: DataFrame, batch_id: int) -> None:
         texts = present(descriptions)
         keys = texts if described is None else present(described)
-        seen = store.seen()
         store.write(PRODUCTS, batch_id, requested_products(rows))
         products = store.part(PRODUCTS, batch_id)
+        seen = store.seen(products)
         outcomes = request_outcome(rows, keys, seen, products)
         store.write(OUTCOMES, batch_id, outcomes)
         created = F.col("status") == CREATED

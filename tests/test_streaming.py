@@ -92,6 +92,22 @@ def test_the_newest_batch_costs_the_same_after_many(spark, folder):
     assert len(os.listdir(f"{folder}/{stores.COMMITS}")) <= 6  # with their checksums
 
 
+def test_only_the_buckets_of_a_batch_are_read(spark, folder):
+    store = stores.BatchStore(spark, folder)
+    keys = spark.range(5000).select(F.format_string("P%d", "id").alias("product_id"))
+    store.write(stores.SEEN, 0, keys)
+    store.commit(0)
+    store.compact()
+    asked = spark.createDataFrame([("P7",), ("P4999",), ("Q",)], stores.SEEN_SCHEMA)
+    seen = store.seen(asked)
+    assert {r.product_id for r in seen.join(asked, "product_id").collect()} == {"P7", "P4999"}
+    files = [f for f in seen.inputFiles() if "bucket=" in f]
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and f"{stores.BUCKET}#" in plan
+    assert seen.count() < 5000 / 20 and len({f.rsplit("/", 2)[1] for f in files}) > 3
+    assert store.seen().count() == 5000
+
+
 def test_compaction_removes_what_is_covered(spark, folder):
     store = stores.BatchStore(spark, folder)
     one = spark.createDataFrame([("apple", 1)], stores.COUNTS_SCHEMA)
