@@ -64,15 +64,11 @@ def fitted(
     wanted = {}
     for name, weight in targets.items():
         sums = cells.groupBy(F.col(name).alias("value")).agg(total.alias("tokens"))
-        sums = sums.withColumn("weight", weight.cast("double"))
-        # One row, and a table of as many rows as the dimension has values.
-        whole = sums.agg(F.sum("weight").alias("weights"), total.alias("all_tokens"))
-        wanted[name] = written(
-            sums.join(F.broadcast(whole)).select(
-                F.col("value").alias(name),
-                (F.col("weight") / F.col("weights") * F.col("all_tokens") * share).alias("want"),
-            ),
-            "mixing-targets",
+        sums = written(sums.withColumn("weight", weight.cast("double")), "mixing-targets")
+        whole = sums.agg(F.sum("weight").alias("weights"), total.alias("tokens")).first()
+        budget = share * (whole["tokens"] or 0) / (whole["weights"] or 1.0)
+        wanted[name] = sums.select(
+            F.col("value").alias(name), (F.col("weight") * budget).alias("want")
         )
     now = cells.withColumn("probability", F.lit(float(share)))
     for _ in range(rounds):
