@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexitally.llm.encode import slices
 
 PER_LANGUAGE = 5_000
 WORDS = 20_000
@@ -31,8 +33,9 @@ LONGEST = 5
 BACKOFF = 0.8
 ADDED = 0.5
 UNKNOWN = "und"
-# Tokens remembered at most by a worker.
-REMEMBERED = 400_000
+# Tokens remembered by a worker, and tokens of a long text that are worked on together.
+REMEMBERED = 700_000
+STEP = 200_000
 
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -71,58 +74,91 @@ class Model:
         scores = {n: np.log(table / table.sum(axis=0)) for n, table in tables.items()}
         return cls(languages, rows, scores)
 
-    def word(self, word: str) -> np.ndarray:
-        """Scores of a word in small letters."""
-        row = self.rows.get(0, {}).get(word)
-        if row is not None:
-            return self.scores[0][row]
-        weight = 1.0
-        for n in range(LONGEST, 0, -1):
-            known = self.rows.get(n, {})
-            found = [known[gram] for gram in grams(word, n) if gram in known]
-            if found:
-                return weight * self.scores[n][found].mean(axis=0)
-            weight *= BACKOFF
-        return np.zeros(len(self.languages))
-
-    def _row(self, token: str) -> int:
-        """The row of a token's scores, which are worked out if it is new."""
-        row = self.tokens.get(token)
-        if row is None:
-            row = len(self.tokens)
-            words = LETTERS.findall(token.lower())
-            self.sums[row, -1] = len(words)
-            if words:
-                self.sums[row, :-1] = sum(map(self.word, words))
-            self.tokens[token] = row
-        return row
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of words in small letters, a row each."""
+        found = np.zeros((len(words), len(self.languages)))
+        whole = self.rows.get(0, {})
+        # Of each length: the words it scores, their n-grams, and how many each has.
+        places: list[list[int]] = [[] for _ in range(LONGEST + 1)]
+        grams_of: list[list[int]] = [[] for _ in range(LONGEST + 1)]
+        sizes: list[list[int]] = [[] for _ in range(LONGEST + 1)]
+        lengths = [(n, self.rows[n]) for n in range(LONGEST, 0, -1) if n in self.rows]
+        for i, word in enumerate(words):
+            if (row := whole.get(word)) is not None:
+                places[0].append(i)
+                grams_of[0].append(row)
+                sizes[0].append(1)
+                continue
+            for n, known in lengths:
+                if rows := [known[gram] for gram in grams(word, n) if gram in known]:
+                    places[n].append(i)
+                    grams_of[n] += rows
+                    sizes[n].append(len(rows))
+                    break
+        for n, at in enumerate(places):
+            if at:
+                count = np.array(sizes[n])
+                sums = np.add.reduceat(self.scores[n][grams_of[n]], np.cumsum(count) - count)
+                weight = BACKOFF ** (LONGEST - n) if n else 1.0
+                found[at] = weight * sums / count[:, None]
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        """Work out the scores of tokens that are not remembered, all at once."""
+        first = len(self.tokens)
+        self.tokens.update(zip(new, range(first, first + len(new))))
+        words = [LETTERS.findall(token.lower()) for token in new]
+        distinct = list(set(chain.from_iterable(words)))
+        place = dict(zip(distinct, range(len(distinct))))
+        scores = self.words(distinct)
+        counts = np.array([len(found) for found in words])
+        flat = [place[word] for word in chain.from_iterable(words)]
+        self.sums[first : first + len(new)] = 0.0
+        self.sums[first : first + len(new), -1] = counts
+        has = np.flatnonzero(counts)
+        if len(has):
+            starts = (np.cumsum(counts) - counts)[has]
+            self.sums[first + has, :-1] = np.add.reduceat(scores[flat], starts)
+
+    def _totals(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Scores and number of words of lists of tokens."""
+        known = self.tokens
+        needed = set(chain.from_iterable(texts))
+        new = needed.difference(known)
+        if self.sums is None or len(known) + len(new) > len(self.sums):
+            # All is forgotten to make room, and what is needed now worked out again.
+            known.clear()
+            new = needed
+            self.sums = np.zeros((max(REMEMBERED, len(new)), len(self.languages) + 1))
+        if new:
+            self._learn(list(new))
+        return [
+            self.sums[np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))].sum(axis=0)
+            for tokens in texts
+        ]
+
+    def predict_all(self, texts: list[str]) -> list[tuple[str, float]]:
+        """The language of each text and its probability; nothing is known of texts without
+        a letter."""
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        found = []
+        for part in slices(texts):
+            tokens = [text.split() for text in texts[part]]
+            if len(tokens) == 1:
+                # One long text goes in steps, so that what is remembered stays bounded.
+                steps = [tokens[0][i : i + STEP] for i in range(0, len(tokens[0]), STEP)] or [[]]
+                totals = [sum(self._totals([step])[0] for step in steps)]
+            else:
+                totals = self._totals(tokens)
+            for total in totals:
+                best = int(np.argmax(total[:-1]))
+                chance = 1.0 / np.exp(total[:-1] - total[best]).sum()
+                found.append((self.languages[best], float(chance)) if total[-1] else (UNKNOWN, 0.0))
+        return found
 
     def predict(self, text: str) -> tuple[str, float]:
-        """The language and its probability; nothing is known of texts without a letter."""
-        size = len(self.languages)
-        if not size:
-            return UNKNOWN, 0.0
-        if self.sums is None:
-            self.sums = np.zeros((REMEMBERED, size + 1))
-        tokens = text.split()
-        total = np.zeros(size + 1)
-        # In steps, so that what is remembered stays bounded for any text.
-        step = REMEMBERED // 2
-        for i in range(0, len(tokens), step):
-            part = tokens[i : i + step]
-            if len(self.tokens) + len(part) > REMEMBERED:
-                self.tokens.clear()
-                self.sums[:] = 0.0
-            known = self.tokens
-            try:
-                rows = [known[token] for token in part]
-            except KeyError:
-                rows = [self._row(token) for token in part]
-            total += self.sums[rows].sum(axis=0)
-        if not total[-1]:
-            return UNKNOWN, 0.0
-        best = int(np.argmax(total[:-1]))
-        return self.languages[best], float(1.0 / np.exp(total[:-1] - total[best]).sum())
+        return self.predict_all([text])[0]
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
@@ -208,7 +244,7 @@ def predicted(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            found = [own.predict(text.as_py() or "") for text in batch.column("text")]
+            found = own.predict_all([text or "" for text in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
