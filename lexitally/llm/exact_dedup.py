@@ -238,8 +238,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), key.alias("own"))
     same = F.col("own_id").eqNullSafe(F.col("marked_id")) & (F.col("own") == F.col("marked"))
-    stays = rows.join(marks, same, "left_anti")
+    # The marks grow with the documents: they are never broadcast, whatever their size here.
+    stays = rows.join(marks.hint("merge"), same, "left_anti")
     if not marks.where("stays").isEmpty():
-        repeated = rows.join(marks.where("stays"), same)
+        repeated = rows.join(marks.where("stays").hint("merge"), same)
         stays = stays.unionByName(repeated.dropDuplicates(["own_id", "own"]).select(*rows.columns))
     return stays.select("row.*")

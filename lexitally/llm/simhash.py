@@ -323,7 +323,8 @@ def alike(
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = written(nodes.join(classes, "node").select("node", "first"), "simhash-nodes")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("first"))
+    found = texts.join(wanted.hint("merge"), same).select("node", "text")
     sets = written(
         found.mapInArrow(_shingle_sets(size), "node long, shingles array<long>")
         .dropDuplicates(["node"]),
@@ -389,4 +390,5 @@ def deduplicated(
     gone = written(going.select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"))
     same = F.col("own_id").eqNullSafe(F.col("gone_id"))
-    return rows.join(gone, same, "left_anti").select("row.*")
+    # What goes grows with the documents: it is never broadcast, whatever its size here.
+    return rows.join(gone.hint("merge"), same, "left_anti").select("row.*")
