@@ -12,13 +12,15 @@ import os
 import re
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-# Pieces remembered at most by a worker, and characters of texts worked on together.
-REMEMBERED = 700_000
+# Pieces remembered by a worker, twice as many at most, and characters of texts worked on
+# together.
+REMEMBERED = 600_000
 BATCH = 4 << 20
 # Marks that are split from the letter before them, so that the word is remembered alone.
 MARKS = ".,;:!?%$#*&|"
@@ -43,6 +45,8 @@ class Encoder:
         self.after_blank[[i for token, i in vocabulary.items() if token[0] == BLANK]] = True
         # Pieces that follow a blank, without it.
         self.known: dict[str, bytes] = {}
+        # What was known before there was too much; what is met again is taken over.
+        self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
@@ -71,9 +75,12 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.old, self.known = self.known, {}
             self.marks.clear()
         new = pieces.difference(self.known)
+        if again := new.intersection(self.old):
+            self.known.update((piece, self.old[piece]) for piece in again)
+            new -= again
         self.long = [piece for piece in new if len(piece) > LONG]
         parted, asked = [], set()
         for piece in new:
@@ -81,7 +88,10 @@ class Encoder:
             if len(word) < len(piece) and word and word[-1].isalpha():
                 parted.append((piece, word, piece[len(word) :]))
                 if word not in self.known:
-                    asked.add(word)
+                    if (ids := self.old.get(word)) is None:
+                        asked.add(word)
+                    else:
+                        self.known[word] = ids
             else:
                 asked.add(piece)
         self._ask_pieces(list(asked))
@@ -104,7 +114,10 @@ class Encoder:
         result: list[bytes] = [b""] * len(texts)
         known = self.known
         for head, (i, parts) in zip(first, pieces.items()):
-            result[i] = head + b"".join(map(known.__getitem__, parts))
+            if len(parts) > 1:
+                result[i] = b"".join((head, *itemgetter(*parts)(known)))
+            else:
+                result[i] = head + b"".join([known[part] for part in parts])
         for i, ids in zip(whole, self._ask([texts[i] for i in whole])):
             result[i] = ids
         for piece in self.long:

@@ -117,7 +117,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every document, written to files and read back from them."""
     docs = table(spark, folder, "documents")
     files = token_files.write(docs, token_files.scratch_folder(spark), TOKENIZER, end_id=2)
-    return token_files.digests(spark, files)
+    return token_files.digests(files)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -3,10 +3,10 @@
 A file holds the ids of a run of documents as little-endian unsigned 32-bit numbers, cut into
 frames of ``FRAME_IDS`` ids. Each frame is a zstandard frame of its own, with zstandard's own
 checksum. Behind them stand two skippable frames, which any zstandard reader passes over: the
-documents (their ids, starts and lengths, compressed), and, last, a seek table in the public
-seekable format, with compressed size, size and checksum (the low 32 bits of XXH64) of every
-frame, the documents included. A reader finds the table from the end of the file, and
-decompresses the frames of the documents that it is asked for, no others.
+documents (their ids, starts and lengths, as a compressed Arrow stream), and, last, a seek
+table in the public seekable format, with compressed size, size and checksum (the low 32 bits
+of XXH64) of every frame, the documents included. A reader finds the table from the end of the
+file, and decompresses the frames of the documents that it is asked for, no others.
 
 Documents are sorted by id over all files by Spark; each task streams its part into one file.
 A file gets its name when it is whole, and a task that runs again writes the same bytes.
@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +37,14 @@ from lexitally.session import scratch_dir, written
 
 WIDTH = 4
 FRAME_IDS = 1 << 16
-LEVEL = 3
+# Frames that are cut from what waits at once.
+FRAMES = 8
+LEVEL = 1
 # Fixed values of the zstandard formats.
 SKIPPABLE = 0x184D2A50
 SEEK_SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
-# Rows of the list of documents in a file: number of the document, start and length.
-ROW = np.dtype([("start", "<i8"), ("length", "<i8")])
 
 
 def checksum(data: bytes) -> int:
@@ -52,25 +54,32 @@ def checksum(data: bytes) -> int:
 class Writer:
     """Writes one file; documents are added in the order in which they are numbered."""
 
-    def __init__(self, out: pa.NativeFile) -> None:
+    def __init__(self, out: pa.NativeFile, id_type: pa.DataType) -> None:
         self.out = out
+        self.id_type = id_type
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
         self.table: list[tuple[int, int, int]] = []
-        self.waiting = bytearray()
-        self.rows: list[tuple[int, int]] = []
-        self.ids = 0
-
-    def add(self, ids: bytes) -> int:
-        """Add a document's ids, and give the number of ids before them in the file."""
-        start, n = self.ids, len(ids) // WIDTH
-        self.rows.append((start, n))
-        self.ids += n
-        self.waiting += ids
-        size = FRAME_IDS * WIDTH
-        while len(self.waiting) >= size:
-            self._frame(bytes(self.waiting[:size]))
-            del self.waiting[:size]
-        return start
+        self.waiting: list[bytes] = []
+        self.size = 0
+        self.names: list = []
+        self.lengths: list[int] = []
+
+    def add(self, name: object, ids: bytes) -> None:
+        """Add a document: its own id, and the ids of its tokens."""
+        self.names.append(name)
+        self.lengths.append(len(ids) // WIDTH)
+        self.waiting.append(ids)
+        self.size += len(ids)
+        if self.size >= FRAMES * FRAME_IDS * WIDTH:
+            self._frames(False)
+
+    def _frames(self, everything: bool) -> None:
+        """Write the full frames of what waits, or all of it."""
+        data, size = b"".join(self.waiting), FRAME_IDS * WIDTH
+        end = len(data) if everything else len(data) - len(data) % size
+        for begin in range(0, end, size):
+            self._frame(data[begin : min(begin + size, end)])
+        self.waiting, self.size = [data[end:]], len(data) - end
 
     def _frame(self, data: bytes) -> None:
         packed = self.compressor.compress(data)
@@ -78,10 +87,20 @@ class Writer:
         self.table.append((len(packed), len(data), checksum(data)))
 
     def close(self) -> None:
-        if self.waiting:
-            self._frame(bytes(self.waiting))
-            self.waiting.clear()
-        data = np.array(self.rows, dtype=ROW).tobytes()
+        self._frames(True)
+        lengths = np.array(self.lengths, dtype=np.int64)
+        rows = pa.RecordBatch.from_arrays(
+            [
+                pa.array(self.names, self.id_type),
+                pa.array(np.cumsum(lengths) - lengths),
+                pa.array(lengths),
+            ],
+            names=["doc_id", "start", "length"],
+        )
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as stream:
+            stream.write_batch(rows)
+        data = sink.getvalue().to_pybytes()
         packed = self.compressor.compress(data)
         self.out.write(struct.pack("<II", SKIPPABLE, len(packed)) + packed)
         # A skippable frame has no content, so it counts as size zero in the table.
@@ -107,9 +126,12 @@ class Reader:
         table = np.frombuffer(self._read(begin, 12 * frames), dtype="<u4").reshape(-1, 3)
         self.sums = table[:, 2]
         self.places = np.concatenate([[0], np.cumsum(table[:, 0], dtype=np.int64)])
-        self.starts = np.concatenate([[0], np.cumsum(table[:, 1], dtype=np.int64)])
+        self.starts = [0, *np.cumsum(table[:, 1], dtype=np.int64).tolist()]
         packed = self._read(int(self.places[-2]) + 8, int(table[-1, 0]) - 8)
-        self.rows = np.frombuffer(self._content(packed, frames - 1), dtype=ROW)
+        rows = pa.ipc.open_stream(self._content(packed, frames - 1)).read_all()
+        self.names = rows.column("doc_id")
+        self.begins = rows.column("start").to_pylist()
+        self.lengths = rows.column("length").to_pylist()
         self.frame, self.data = -1, b""
         self.frames_read = 0
 
@@ -131,16 +153,16 @@ class Reader:
         return self.data
 
     def __len__(self) -> int:
-        return len(self.rows)
+        return len(self.lengths)
 
     def document(self, number: int) -> bytes:
         """The ids of a document; only the frames that hold them are decompressed."""
-        start, length = (int(x) * WIDTH for x in self.rows[number])
+        start, length = self.begins[number] * WIDTH, self.lengths[number] * WIDTH
         end, parts = start + length, []
-        frame = int(np.searchsorted(self.starts, start, side="right")) - 1
+        frame = bisect_right(self.starts, start) - 1
         while start < end:
             data = self._load(frame)
-            at = start - int(self.starts[frame])
+            at = start - self.starts[frame]
             part = data[at : at + end - start]
             parts.append(part)
             start += len(part)
@@ -200,22 +222,21 @@ def write(
         for batch in batches:
             if writer is None and batch.num_rows:
                 out = files.open_output_stream(draft)
-                writer = Writer(out)
+                writer = Writer(out, batch.schema.field("doc_id").type)
             texts = batch.column("text").to_pylist()
             for piece in slices(texts):
-                lengths = []
-                first = len(writer.rows)
-                for ids in encoder(tokenizer).encode(texts[piece]):
-                    writer.add(ids + end)
-                    lengths.append(len(ids) // WIDTH + 1)
-                n = len(lengths)
+                first = len(writer.names)
+                own = batch.column("doc_id")[piece.start : piece.stop]
+                for name, ids in zip(own.to_pylist(), encoder(tokenizer).encode(texts[piece])):
+                    writer.add(name, ids + end)
+                n = len(own)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part] * n, pa.int32()),
                         pa.array([path] * n, pa.string()),
                         pa.array(range(first, first + n), pa.int64()),
-                        batch.column("doc_id")[piece.start : piece.stop],
-                        pa.array(lengths, pa.int64()),
+                        own,
+                        pa.array(writer.lengths[first:], pa.int64()),
                     ],
                     names=schema.names,
                 )
@@ -231,51 +252,61 @@ def write(
     return TokenFiles(files, rows.select("part", "number", "doc_id"))
 
 
-def read_back(files: DataFrame) -> DataFrame:
-    """``part, number, start, n_tokens, ids`` of every document, out of the files.
+def read_back(token_files: TokenFiles, with_ids: bool = True) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32, ids`` of every document, out of the files alone.
 
-    ``start`` counts the ids of all documents before it, in all files.
+    ``start`` counts the ids of all documents before it, in all files. Without ``with_ids``
+    the column ``ids`` is null.
     """
+    files, id_type = token_files.files, token_files.names.schema["doc_id"]
+    schema = T.StructType(
+        [
+            id_type, T.StructField("start", T.LongType()),
+            T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),
+            T.StructField("ids", T.BinaryType()),
+        ]
+    )
     # As many rows as there are files. The number of tasks is given, since Spark would
     # put so few rows into one.
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = files.withColumn(
         "first", F.sum("ids").over(W.orderBy("part")) - F.col("ids")
     ).repartitionByRange(tasks, "part")
-    return placed.mapInArrow(_read_all, "part int, number long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(partial(_read_all, with_ids), schema)
 
 
-def _read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_all(with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             files, place = opened(row["path"])
             with files.open_input_file(place) as source:
                 reader = Reader(source)
-                yield from _rows(reader, row, range(len(reader)))
+                yield from _batches(reader, row["first"], with_ids)
 
 
-def _rows(reader: Reader, file: dict, numbers: Iterable[int]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    size = 0
-
-    def batch() -> pa.RecordBatch:
-        columns = list(zip(*held))
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(values, kind) for values, kind in zip(columns, kinds)],
-            names=["part", "number", "start", "n_tokens", "ids"],
-        )
-
-    for number in numbers:
+def _batches(
+    reader: Reader, first: int, with_ids: bool, limit: int = 4 << 20
+) -> Iterator[pa.RecordBatch]:
+    begin, held, sums, size = 0, [], [], 0
+    for number in range(len(reader)):
         ids = reader.document(number)
-        start = file["first"] + int(reader.rows[number]["start"])
-        held.append((file["part"], number, start, len(ids) // WIDTH, ids))
+        held.append(ids if with_ids else None)
+        sums.append(zlib.crc32(ids))
         size += len(ids)
-        if size > 4 << 20:
-            yield batch()
-            held, size = [], 0
-    if held:
-        yield batch()
+        if size < limit and number + 1 < len(reader):
+            continue
+        end = number + 1
+        yield pa.RecordBatch.from_arrays(
+            [
+                reader.names.slice(begin, end - begin).combine_chunks(),
+                pa.array([start + first for start in reader.begins[begin:end]], pa.int64()),
+                pa.array(reader.lengths[begin:end], pa.int64()),
+                pa.array(sums, pa.int64()),
+                pa.array(held, pa.binary()),
+            ],
+            names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
+        )
+        begin, held, sums, size = end, [], [], 0
 
 
 def documents(token_files: TokenFiles, wanted: DataFrame) -> DataFrame:
@@ -312,13 +343,9 @@ def documents(token_files: TokenFiles, wanted: DataFrame) -> DataFrame:
     return ordered.sortWithinPartitions("path", "number").mapInArrow(work, schema)
 
 
-def digests(spark: SparkSession, token_files: TokenFiles) -> DataFrame:
+def digests(token_files: TokenFiles) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
-    found = read_back(token_files.files)
-    crcs = found.select("part", "number", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return crcs.join(token_files.names, ["part", "number"]).select(
-        "doc_id", "start", "n_tokens", "ids_crc32"
-    )
+    return read_back(token_files, with_ids=False).drop("ids")
 
 
 def scratch_folder(spark: SparkSession) -> str:
