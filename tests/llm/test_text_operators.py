@@ -387,11 +387,45 @@ def test_unseen_words_fall_back_to_shorter_grams(spark):
     rows += [(100 + i, "zeitung leitung heizung", "de") for i in range(40)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.predict("swinging")[0] == "en" and model.predict("Beratung!")[0] == "de"
-    assert model.word("zeitung")[0] > model.word("zeitung")[1]
+    assert model.words(["zeitung"])[0, 0] > model.words(["zeitung"])[0, 1]
     for text in ("", "123 ... ²", "\n"):
         assert model.predict(text) == ("und", 0.0)
 
 
+def brute_prediction(model, text):
+    total, n = np.zeros(len(model.languages)), 0
+    for word in language_id.LETTERS.findall(text.lower()):
+        n += 1
+        if word in model.rows[0]:
+            total += model.scores[0][model.rows[0][word]]
+            continue
+        for length in range(language_id.LONGEST, 0, -1):
+            rows = [model.rows[length][g] for g in language_id.grams(word, length) if g in model.rows[length]]
+            if rows:
+                weight = language_id.BACKOFF ** (language_id.LONGEST - length)
+                total += weight * model.scores[length][rows].mean(axis=0)
+                break
+    if not n:
+        return "und", 0.0
+    chances = np.exp(total - total.max())
+    return model.languages[int(total.argmax())], chances.max() / chances.sum()
+
+
+def test_predictions_agree_with_brute_force(spark, monkeypatch):
+    docs = queries.table(spark, FOLDER, "documents")
+    model = language_id.fit(docs)
+    texts = [r.text for r in docs.collect()] + ["", "!", "zug a", "ein " * 5000 + "xyzzy"]
+    want = [brute_prediction(model, text) for text in texts]
+    for remembered, step in ((700_000, 200_000), (300, 70)):
+        monkeypatch.setattr(language_id, "REMEMBERED", remembered)
+        monkeypatch.setattr(language_id, "STEP", step)
+        model.tokens, model.sums = {}, None
+        found = [model.predict(text) for text in texts]
+        assert [name for name, _ in found] == [name for name, _ in want]
+        assert np.allclose([score for _, score in found], [score for _, score in want])
+    assert model.predict_all(texts) == found
+
+
 def test_odd_rows_have_a_language(spark, odd, empty):
     model = language_id.fit(odd)
     found = language_id.predicted(odd, model).collect()
