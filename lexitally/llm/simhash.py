@@ -10,10 +10,17 @@ Keys are sorted and walked through; a run of equal keys is compared with itself
 and gives no more links than it has fingerprints (a tree of close pairs for all that are
 connected inside the run), never all pairs. Runs of more than ``RUN`` fingerprints are dealt over
 several tasks, each of which compares two parts of the run.
+
+With a similarity of shingle sets, that is a first step only, which puts most copies together:
+its links are verified by the shingles. The second step misses no pair. Shingles have one order,
+in which common ones come last; two sets that are alike by ``s`` share one of the first
+``n - ceil(s * n) + 1`` of each. So these are keys, and all pairs of a key that the first step
+has left apart, and that are alike by their sizes and places as far as can be seen, are verified.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -34,6 +41,13 @@ RUN = 20_000
 # Shingles whose bits are counted at once, and rows of a comparison.
 STEP = 1 << 16
 ROWS = 128
+# Texts in which common shingles are looked for, and how many of these are held at most. They
+# come last in the order of shingles, so that few sets meet in a key; no pair depends on it.
+SAMPLE = 10_000
+COMMON = 200_000
+# Runs up to this length are paired all at once, and pairs sent on together.
+SHORT = 16
+PAIRS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -60,9 +74,9 @@ class Method:
 
 # Texts whose sets of five-word shingles may be alike by 0.8 or more. At 0.8 a bit of the wide
 # fingerprint differs with probability acos(2 * 0.8 / 1.8) / pi = 0.151, 39 bits of 256; 50
-# are two standard deviations more. Sets of words differ less, which is why they are blocked:
-# of pairs alike by 0.8 nearly all differ in 7 bits at most, which the blocks never miss; of
-# those that differ in up to 11 most share blocks by chance.
+# are two standard deviations more. Sets of words differ less, which is why they are blocked.
+# This finds most copies, but misses some of which a passage was added or cut; what it leaves
+# apart is compared by keys of shingles, which miss none.
 SIMILAR = Method(
     shingle=1, repeats=False, distance=11, blocks=9, share=2, wide=5, wide_distance=50,
     limits=(10, 20, 30, 40, 50),
@@ -108,10 +122,14 @@ def fingerprint(text: str | None, method: Method) -> tuple[int, bytes]:
     """The fingerprint of a text and, if the method has one, its wide fingerprint."""
     # Only the letters A to Z are lowered, and words end at ASCII white space, for bytes.
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return _prints(words, hashes(words, method.wide, False) if method.wide else None, method)
+
+
+def _prints(words: list[bytes], values: np.ndarray | None, method: Method) -> tuple[int, bytes]:
+    """Both fingerprints, of words and of their distinct wide shingles."""
     narrow = majority(hashes(words, method.shingle, method.repeats))
     if not method.wide:
         return narrow, b""
-    values = hashes(words, method.wide, False)
     lanes = [majority(_mixed(values, lane)) for lane in range(1, 5)]
     return narrow, b"".join(lane.to_bytes(8, "big") for lane in lanes)
 
@@ -142,13 +160,103 @@ def with_fingerprints(docs: DataFrame, method: Method, id_col: str, text_col: st
     return named.mapInArrow(work, schema)
 
 
+def _needed(size: int, similarity: float) -> int:
+    """The shingles that a set of ``size`` has in common with any that is alike."""
+    return int(np.ceil(similarity * size - 1e-6))
+
+
+def prefix(
+    values: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray
+) -> np.ndarray:
+    """The first shingles of a set, of which two alike sets share one or more.
+
+    ``common`` are sorted, with a rank above zero each; others have rank zero.
+    """
+    rank = np.zeros(len(values), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        rank = np.where(common[at] == values, ranks[at], 0)
+    if not len(values):
+        return values
+    ordered = values[np.lexsort((values, rank))]
+    return ordered[: len(values) - _needed(len(values), similarity) + 1]
+
+
+def common_shingles(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, sorted, and how common each is."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    some = texts.sample(min(1.0, SAMPLE / max(1, docs.count())), SEED)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                values = hashes((text.as_py() or "").encode("utf-8").lower().split(), size, False)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["key"])
+
+    counts = some.mapInArrow(work, "key long").groupBy("key").agg(F.count("*").alias("n"))
+    rows = counts.where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    values = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    return values[order], rows.column("n").to_numpy()[order]
+
+
+def with_shingles(
+    docs: DataFrame, method: Method, similarity: float, id_col: str, text_col: str
+) -> DataFrame:
+    """``doc_id, digest, narrow, wide, own, size, prefix``: the SHA-256 of each text, its
+    fingerprints, and, with a similarity, a digest of its set of shingles, their number and
+    the first of them."""
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    common, ranks = common_shingles(docs, method.wide, text_col) if similarity else none
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.select(
+        F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text")
+    )
+    schema = T.StructType([named.schema["doc_id"], named.schema["digest"]])
+    for name, kind in (
+        ("narrow", T.LongType()), ("wide", T.BinaryType()), ("own", T.BinaryType()),
+        ("size", T.LongType()), ("prefix", T.ArrayType(T.LongType())),
+    ):
+        schema = schema.add(name, kind)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, own, sizes, firsts = [], [], [], []
+            for text in batch.column("text"):
+                words = text.as_py().encode("utf-8").lower().split()
+                values = hashes(words, method.wide, False) if method.wide else none[0]
+                prints.append(_prints(words, values, method))
+                values = np.unique(values) if similarity else none[0]
+                own.append(hashlib.sha256(values.tobytes()).digest() if similarity else b"")
+                sizes.append(len(values))
+                firsts.append(prefix(values, similarity, common, ranks).view(np.int64))
+            ends = np.cumsum([0] + [len(first) for first in firsts])
+            flat = pa.array(np.concatenate(firsts) if firsts else none[1], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("digest"),
+                    pa.array([_signed(narrow) for narrow, _ in prints], pa.int64()),
+                    pa.array([wide for _, wide in prints], pa.binary()),
+                    pa.array(own, pa.binary()),
+                    pa.array(sizes, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
+                ],
+                names=schema.names,
+            )
+
+    return named.mapInArrow(work, schema)
+
+
 def _edges(size: int, blocks: int) -> list[int]:
     return [round(i * size / blocks) for i in range(blocks + 1)]
 
 
 def with_node(classes: DataFrame, method: Method) -> DataFrame:
-    """Classes with one number each: the fingerprint, or a hash of both fingerprints."""
-    node = F.xxhash64("narrow", "wide") if method.wide else F.col("narrow")
+    """Classes with one number each: the fingerprint, or a hash of both fingerprints and, if
+    there is one, of the digest of the set of shingles."""
+    parts = ["narrow", "wide"] + ["own"] * ("own" in classes.columns)
+    node = F.xxhash64(*parts) if method.wide else F.col("narrow")
     return classes.withColumn("node", node)
 
 
@@ -183,7 +291,8 @@ def dealt(keys: DataFrame) -> DataFrame:
         lambda other: F.least(part, other) * F.col("parts") + F.greatest(part, other),
     )
     cells = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cells)
-    return rows.select("key", F.explode(cells).alias("cell"), "node", "narrow", "wide")
+    others = [name for name in keys.columns if name != "key"]
+    return rows.select("key", F.explode(cells).alias("cell"), *others)
 
 
 def _close(
@@ -312,19 +421,19 @@ def _shingle_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def alike(
     pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: float,
-    id_col: str, text_col: str,
+    text_col: str,
 ) -> DataFrame:
     """The pairs of nodes whose texts' sets of shingles are alike by ``similarity`` or more.
 
-    A class is compared by the text of its smallest id. Only texts of the pairs are looked
-    at.
+    A class is compared by any text of it, found by its SHA-256. Only texts of the pairs are
+    looked at.
     """
     pairs = written(pairs.distinct(), "simhash-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(nodes.join(classes, "node").select("node", "first"), "simhash-nodes")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("first"))
-    found = texts.join(wanted.hint("merge"), same).select("node", "text")
+    wanted = written(nodes.join(classes, "node").select("node", "digest"), "simhash-nodes")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    found = texts.join(wanted.hint("merge"), "digest").select("node", "text")
     sets = written(
         found.mapInArrow(_shingle_sets(size), "node long, shingles array<long>")
         .dropDuplicates(["node"]),
@@ -337,6 +446,154 @@ def alike(
     return both.where(common >= similarity * whole).select("a", "b")
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of their keys those whose key another row has too."""
+    held, before = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = batch if held is None else pa.concat_batches([held, batch])
+        key = now.column("key").to_numpy()
+        after = key[1:] == key[:-1]
+        same = np.concatenate([[before], after])
+        # The last row is told when the next is seen.
+        yield now.slice(0, len(key) - 1).filter(pa.array(same[:-1] | after))
+        held, before = now.slice(len(key) - 1), bool(same[-1])
+    if held is not None and before:
+        yield held
+
+
+def run_pairs(
+    rows: dict[str, np.ndarray], starts: np.ndarray, similarity: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the runs that begin at ``starts`` which have different roots and can be
+    alike: the shingle of a run is taken as the first that two sets share, so they share no
+    more than are left from there in either."""
+    size, left, root = rows["size"], rows["size"] - rows["pos"], rows["root"]
+    share = similarity / (1 + similarity)
+
+    def kept(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = np.minimum(left[first], left[second])
+        keep = both >= share * (size[first] + size[second]) - 1e-6
+        keep &= root[first] != root[second]
+        return first[keep], second[keep]
+
+    lengths = np.diff(np.append(starts, len(size)))
+    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    # The rows that follow each row in its run.
+    after = np.repeat(starts + lengths, lengths) - np.arange(len(size)) - 1
+    short = np.flatnonzero(np.repeat(mixed & (lengths <= SHORT), lengths) & (after > 0))
+    for step in range(1, SHORT):
+        short = short[after[short] >= step]
+        if not len(short):
+            break
+        yield kept(short, short + step)
+    for n in np.flatnonzero(mixed & (lengths > SHORT)):
+        run = np.arange(starts[n], starts[n] + lengths[n])
+        run = run[np.argsort(size[run], kind="stable")]
+        for begin in range(0, len(run), ROWS):
+            some = run[begin : begin + ROWS]
+            # A larger set than this one is like none of them.
+            end = np.searchsorted(size[run], size[some[-1]] / similarity + 1, "right")
+            other = run[begin:end]
+            first, second = np.triu_indices(len(some), 1, len(other))
+            yield kept(some[first], other[second])
+
+
+def apart_pairs(prints: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all pairs of nodes of different ``roots`` whose sets can be alike.
+
+    Some pairs come several times. ``prints`` are ``node, size, prefix`` in any number of rows
+    per node.
+    """
+    rows = prints.dropDuplicates(["node"]).select(
+        "node", "size", F.posexplode("prefix").alias("pos", "key")
+    )
+    ordered = rows.select("key", "node", "size", "pos").repartition("key").sortWithinPartitions("key")
+    shared = ordered.mapInArrow(_shared, "key long, node long, size long, pos int")
+    # Most shingles are in one text, so this is much less than there was.
+    shared = written(shared, "simhash-shared")
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    cells = dealt(written(rooted.select("key", "node", "size", "pos", "root"), "simhash-rooted"))
+    names = ["key", "cell", "node", "size", "pos", "root"]
+    ordered = cells.select(*names).repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+    def as_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        one, other = (np.concatenate(side) for side in zip(*found))
+        ends = [np.minimum(one, other), np.maximum(one, other)]
+        return pa.RecordBatch.from_arrays([pa.array(side) for side in ends], names=["a", "b"])
+
+    def paired(rows: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
+        for first, second in run_pairs(rows, starts, similarity):
+            found.append((rows["node"][first], rows["node"][second]))
+            n += len(first)
+            if n > PAIRS:
+                yield as_batch(found)
+                found, n = [], 0
+        if n:
+            yield as_batch(found)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = {name: batch.column(name).to_numpy() for name in names}
+            if held is not None:
+                now = {name: np.concatenate([held[name], now[name]]) for name in now}
+            change = (now["key"][1:] != now["key"][:-1]) | (now["cell"][1:] != now["cell"][:-1])
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            # The last run may go on in the next batch.
+            if len(starts) > 1:
+                whole = {name: values[: starts[-1]] for name, values in now.items()}
+                yield from paired(whole, starts[:-1])
+            held = {name: values[starts[-1] :] for name, values in now.items()}
+        if held is not None:
+            yield from paired(held, np.array([0]))
+
+    return ordered.mapInArrow(work, "a long, b long")
+
+
+def _grouped(
+    docs: DataFrame, method: Method, similarity: float, id_col: str, text_col: str, whole: bool
+) -> DataFrame:
+    """The rows of `near_groups`; if ``whole``, with the SHA-256 of each text as ``digest`` and
+    the id and digest of the row of its component that stays, ``stays``."""
+    sets = bool(similarity) or whole
+    prints = (
+        with_node(with_shingles(docs, method, similarity, id_col, text_col), method)
+        if sets else with_fingerprints(docs, method, id_col, text_col)
+    )
+    prints = written(prints, "simhash-prints")
+    same = ["narrow", "wide"] + ["own"] * sets
+    found = [F.min("doc_id").alias("first"), F.count("*").alias("n")]
+    if sets:
+        # Rows without an id come after others.
+        order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "digest")
+        found += [F.min("digest").alias("digest"), F.min(order).alias("stays")]
+    classes = written(with_node(prints.groupBy(*same).agg(*found), method), "simhash-classes")
+    close = links(dealt(keyed(classes, method)), method)
+    if similarity:
+        close = written(close, "simhash-links")
+        left = apart_pairs(
+            prints.select("node", "size", "prefix"), components(close), similarity
+        )
+        close = alike(close.unionByName(left), classes, docs, method.wide, similarity, text_col)
+    roots = components(close)
+    groups = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = written(groups, "simhash-groups")
+    totals = [F.min("first").alias("component_id"), F.sum("n").alias("group_size")]
+    if sets:
+        totals.append(F.min("stays").alias("stays"))
+    added = ["stays"] * sets
+    named = groups.drop("stays").join(groups.groupBy("root").agg(*totals), "root")
+    named = named.select(*same, "component_id", "group_size", *added)
+    return prints.join(named, same).select(
+        "doc_id", "narrow", "component_id", "group_size", *(["digest"] * sets), *added
+    )
+
+
 def near_groups(
     docs: DataFrame,
     method: Method = Method(),
@@ -347,30 +604,14 @@ def near_groups(
     """``doc_id, narrow, component_id, group_size`` for every row.
 
     ``component_id`` is the smallest id among the rows that can be reached over links
-    between close fingerprints; with a ``similarity``, links are those whose sets of
-    shingles of ``method.wide`` words are alike by it or more. A null text counts as an
+    between close fingerprints; with a ``similarity``, over all links between sets of
+    shingles of ``method.wide`` words that are alike by it or more. A null text counts as an
     empty one; texts without a word have fingerprint zero and are linked like any other.
     Rows without an id are rows like any other; a component of such rows only has a null
     id. An empty table gives no rows.
     """
-    prints = written(with_fingerprints(docs, method, id_col, text_col), "simhash-prints")
-    classes = prints.groupBy("narrow", "wide").agg(
-        F.min("doc_id").alias("first"), F.count("*").alias("n")
-    )
-    classes = written(with_node(classes, method), "simhash-classes")
-    close = links(dealt(keyed(classes, method)), method)
-    if similarity:
-        close = alike(close, classes, docs, method.wide, similarity, id_col, text_col)
-    roots = components(close)
-    groups = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = written(groups, "simhash-groups")
-    totals = groups.groupBy("root").agg(
-        F.min("first").alias("component_id"), F.sum("n").alias("group_size")
-    )
-    named = groups.join(totals, "root").select("narrow", "wide", "component_id", "group_size")
-    return prints.join(named, ["narrow", "wide"]).select(
-        "doc_id", "narrow", "component_id", "group_size"
-    )
+    found = _grouped(docs, method, similarity, id_col, text_col, False)
+    return found.select("doc_id", "narrow", "component_id", "group_size")
 
 
 def deduplicated(

@@ -352,6 +352,38 @@ def test_similar_texts_go_and_others_stay(spark):
     assert all(10 * g in kept for g in range(60))
 
 
+def check_similar(found, source):
+    """Components over all pairs whose sets of five-word shingles are alike by 0.8 or more."""
+    shingles = {i: sets(text) for i, text in source}
+    ids = sorted(shingles)
+
+    def close(i, j):
+        both = len(shingles[i] & shingles[j])
+        return both >= 0.8 * (len(shingles[i]) + len(shingles[j]) - both)
+
+    roots = brute_components(ids, close)
+    assert len(set(roots)) < len(ids)
+    assert {r.doc_id: r.component_id for r in found} == {i: ids[r] for i, r in zip(ids, roots)}
+
+
+@pytest.mark.parametrize("run", [3, 20_000])
+def test_copies_with_a_passage_added_or_cut_are_all_found(spark, monkeypatch, run):
+    pick = random.Random(11)
+    source = []
+    for g in range(150):
+        words = [f"w{pick.randint(0, 10**6)}" for _ in range(pick.choice((12, 60, 400)))]
+        passage = [f"v{pick.randint(0, 10**6)}" for _ in range(len(words) // 4 - 1)]
+        at = pick.randrange(len(words) // 5 + 1)
+        other = pick.choice((words + passage, passage + words, words[: len(words) - at]))
+        source += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    # Opening words that many texts have, and texts of a few words.
+    source += [(400 + i, "all of these begin with the same few words " + f"x{i} " * 5) for i in range(60)]
+    source += [(500 + i, f"a b {i % 4}") for i in range(8)]
+    monkeypatch.setattr(simhash, "RUN", run)
+    docs = spark.createDataFrame(source, "doc_id long, text string")
+    check_similar(simhash.near_groups(docs, simhash.SIMILAR, 0.8).collect(), source)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(7, 7), (300, 299)]
     found = components(spark.createDataFrame(links, "a long, b long")).collect()
