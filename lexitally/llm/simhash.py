@@ -575,11 +575,11 @@ def _grouped(
     classes = written(with_node(prints.groupBy(*same).agg(*found), method), "simhash-classes")
     close = links(dealt(keyed(classes, method)), method)
     if similarity:
-        close = written(close, "simhash-links")
+        close = written(alike(close, classes, docs, method.wide, similarity, text_col), "simhash-links")
         left = apart_pairs(
             prints.select("node", "size", "prefix"), components(close), similarity
         )
-        close = alike(close.unionByName(left), classes, docs, method.wide, similarity, text_col)
+        close = close.unionByName(alike(left, classes, docs, method.wide, similarity, text_col))
     roots = components(close)
     groups = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = written(groups, "simhash-groups")

@@ -384,6 +384,20 @@ def test_copies_with_a_passage_added_or_cut_are_all_found(spark, monkeypatch, ru
     check_similar(simhash.near_groups(docs, simhash.SIMILAR, 0.8).collect(), source)
 
 
+def test_links_are_found_though_closer_fingerprints_are_not_alike(spark):
+    pick = random.Random(12)
+    source = []
+    for g in range(12):
+        base = [f"w{pick.randint(0, 10**6)}" for _ in range(120)]
+        for i in range(40):
+            words = list(base)
+            for _ in range(pick.randint(2, 5)):
+                words[pick.randrange(120)] = f"v{pick.randint(0, 10**6)}"
+            source.append((100 * g + i, " ".join(words)))
+    docs = spark.createDataFrame(source, "doc_id long, text string")
+    check_similar(simhash.near_groups(docs, simhash.SIMILAR, 0.8).collect(), source)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(7, 7), (300, 299)]
     found = components(spark.createDataFrame(links, "a long, b long")).collect()
