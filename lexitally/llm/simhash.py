@@ -623,13 +623,18 @@ def deduplicated(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they were.
 
-    Of each component the row with the smallest id stays; rows that repeat an id stay or go
-    together. A row without an id goes if its component has one with an id.
+    Of each component the text with the smallest id stays, and of several with that id the
+    one with the smallest SHA-256; rows without an id come last. Rows that repeat both id and
+    text stay or go together.
     """
-    groups = near_groups(docs, method, similarity, id_col, text_col)
-    going = groups.where("group_size > 1 and not (doc_id <=> component_id)")
-    gone = written(going.select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"))
-    same = F.col("own_id").eqNullSafe(F.col("gone_id"))
+    groups = _grouped(docs, method, similarity, id_col, text_col, True)
+    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))
+    stays &= F.col("digest") == F.col("stays.digest")
+    going = groups.where((F.col("group_size") > 1) & ~stays)
+    gone = going.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone"))
+    gone = written(gone.distinct(), "simhash-gone")
+    key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), key.alias("own"))
+    same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own") == F.col("gone"))
     # What goes grows with the documents: it is never broadcast, whatever its size here.
     return rows.join(gone.hint("merge"), same, "left_anti").select("row.*")

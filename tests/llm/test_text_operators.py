@@ -398,6 +398,27 @@ def test_links_are_found_though_closer_fingerprints_are_not_alike(spark):
     check_similar(simhash.near_groups(docs, simhash.SIMILAR, 0.8).collect(), source)
 
 
+def test_near_copies_go_by_id_and_text(spark):
+    def copies(name):
+        words = [f"{name}{i}" for i in range(100)]
+        return " ".join(words), " ".join(words + ["more"])
+
+    one, two, three, four = map(copies, "abcd")
+    source = [
+        (1, one[0]), (None, one[1]),  # no id, and a near copy that has one
+        (2, two[0]), (2, two[1]), (3, "a text of id three"), (3, one[1]),  # ids that repeat
+        (None, three[0]), (None, three[1]),  # near copies without ids
+        (None, four[0]), (None, "a clean text without an id"),
+    ]
+    docs = spark.createDataFrame(source, "doc_id long, text string").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in simhash.deduplicated(docs).collect())
+    sure = {(1, one[0]): 1, (3, "a text of id three"): 1, (None, four[0]): 1, (None, "a clean text without an id"): 1}
+    assert {row: kept.pop(row, 0) for row in sure} == sure
+    assert sum(kept[2, text] for text in two) == 1
+    assert sum(kept[None, text] for text in three) == 1
+    assert sum(kept.values()) == 2
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(7, 7), (300, 299)]
     found = components(spark.createDataFrame(links, "a long, b long")).collect()
