@@ -5,7 +5,8 @@ committed after that by an empty file that names the batch and the query it is f
 before the newest one is kept, others go, so looking for the newest batch costs the same after
 any number of them. Readers look only at batches up to the newest, so they see a whole batch
 or none of it. `compact` adds up what has been committed, and removes the parts that the
-snapshot before covers; counts can be read as of any batch from that snapshot on.
+snapshot before covers. Their counts move to one folder per compaction, so that counts can be
+read as of any batch; those before the oldest snapshot are added up from there.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ OUTCOMES = "outcomes"
 SEEN = "seen"
 DESCRIPTIONS = "descriptions"
 DELTAS = "deltas"
+# Counts of the batches that a snapshot covers, with the batch that each is of.
+HISTORY, OF_BATCH = "delta_history", "of_batch"
 SNAPSHOTS, SEEN_SNAPSHOTS = "snapshots", "seen_snapshots"
 
 COUNTS_SCHEMA = "word STRING, n BIGINT"
 SEEN_SCHEMA = "product_id STRING"
 DESCRIPTIONS_SCHEMA = "product_id STRING, text STRING"
 COMMITS, SNAPSHOT_COMMITS = "commits", "snapshot_commits"
+HISTORY_COMMITS = "history_commits"
 # Folders that the stored keys of a snapshot are dealt to.
 BUCKETS = 256
 BUCKET = "bucket"
@@ -58,10 +62,21 @@ class BatchStore:
         return self.spark.read.parquet(f"{self.root}/{table}/{BATCH}={batch_id}")
 
     def read(self, table: str, schema: str | StructType, until: int | None = None) -> DataFrame:
-        """Rows of the committed batches, or of those up to ``until``."""
+        """Rows of the committed batches, or of those up to ``until``, compacted or not.
+
+        Requested products serve their own batch only; they are refused once some have gone.
+        """
         newest = self.newest()
         if until is not None:
             newest = min(newest, until)
+        names = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).names
+        if table == DELTAS:
+            self._refuse_lost()
+            return self._deltas(-1, newest).select(*names, BATCH)
+        if table == SEEN:
+            return self.seen().where(F.col(BATCH) <= newest).select(*names, BATCH)
+        if table == PRODUCTS and len(self._marks(SNAPSHOT_COMMITS)) > 1:
+            raise ValueError(f"requested products of early batches are gone from {self.root}")
         return self._table(table, schema).where(F.col(BATCH) <= newest)
 
     def commit(self, batch_id: int, owner: str = "") -> None:
@@ -79,14 +94,52 @@ class BatchStore:
     def counts(self, until: int | None = None) -> DataFrame:
         """Word counts after the newest committed batch, or after batch ``until``.
 
-        The newest snapshot not past that batch, plus the batches after the snapshot.
+        The newest snapshot not past that batch, plus the batches after the snapshot; all
+        batches if every snapshot is past it.
         """
         newest = self.newest() if until is None else min(self.newest(), until)
         base = self._newest(SNAPSHOT_COMMITS, newest)[0]
-        batch = F.col(BATCH)
-        since = self._table(DELTAS, COUNTS_SCHEMA).where((batch > base) & (batch <= newest))
-        snapshot = self._table(SNAPSHOTS, COUNTS_SCHEMA).where(batch == base)
-        return merge_counts(snapshot, since)
+        if 0 <= newest and base < 0:
+            self._refuse_lost()
+        snapshot = self._table(SNAPSHOTS, COUNTS_SCHEMA).where(F.col(BATCH) == base)
+        return merge_counts(snapshot, self._deltas(base, newest))
+
+    def _deltas(self, after: int, until: int) -> DataFrame:
+        """Counts of the batches after ``after`` up to ``until``, each with its batch."""
+        moved = self._newest(HISTORY_COMMITS)[0]
+        batch, of = F.col(BATCH), F.col(OF_BATCH)
+        new = self._table(DELTAS, COUNTS_SCHEMA)
+        new = new.where((batch > max(after, moved)) & (batch <= until))
+        if after >= moved:
+            return new
+        old = self._table(HISTORY, f"{COUNTS_SCHEMA}, {OF_BATCH} BIGINT")
+        old = old.where((batch > after) & (batch <= moved) & (of > after) & (of <= until))
+        return old.select("word", "n", of.alias(BATCH)).unionByName(new)
+
+    def _lost(self) -> int:
+        """The last batch whose counts are in snapshots only, -1 if there is none: stores
+        that were compacted before there was a history lack it."""
+        moved, lost = self._newest(HISTORY_COMMITS)
+        if moved >= 0:
+            return int(lost)
+        marks = sorted(self._marks(SNAPSHOT_COMMITS))
+        return marks[0][0] if len(marks) > 1 else -1
+
+    def _refuse_lost(self) -> None:
+        if (lost := self._lost()) >= 0:
+            raise ValueError(f"counts of the batches up to {lost} are gone from {self.root}")
+
+    def _move_deltas(self, until: int) -> None:
+        """Counts of the batches up to ``until``, which a snapshot covers, to the history."""
+        moved = self._newest(HISTORY_COMMITS)[0]
+        if until <= moved:
+            return
+        lost = self._lost()
+        # What an attempt that was not committed left.
+        self._remove(HISTORY, until, moved)
+        rows = self._deltas(max(moved, lost), until).withColumnRenamed(BATCH, OF_BATCH)
+        self.write(HISTORY, until, rows)
+        self._mark(HISTORY_COMMITS, until, str(lost))
 
     def seen(self, asked: DataFrame | None = None) -> DataFrame:
         """The stored keys, each with the batch that stored it.
@@ -114,6 +167,8 @@ class BatchStore:
             keys = self.seen().select("product_id", F.col(BATCH).alias("first_batch"))
             keys = keys.withColumn(BUCKET, key_bucket()).repartition(BUCKET)
             self.write(SEEN_SNAPSHOTS, newest, keys, BUCKET)
+            # Before the new snapshot counts, so that what is lost can be told from the marks.
+            self._move_deltas(before)
             self._mark(SNAPSHOT_COMMITS, newest, "")
             for table in (DELTAS, SEEN, PRODUCTS):
                 self._remove(table, before)
@@ -140,13 +195,13 @@ class BatchStore:
         marks = [mark for mark in self._marks(kind) if until is None or mark[0] <= until]
         return max(marks, default=(-1, ""))
 
-    def _remove(self, table: str, until: int) -> None:
+    def _remove(self, table: str, until: int, after: int = -1) -> None:
         files, place = file_system(self.spark, f"{self.root}/{table}")
         if not files.exists(place):
             return
         for status in files.listStatus(place):
             name = status.getPath().getName()
-            if name.startswith(f"{BATCH}=") and int(name.split("=")[1]) <= until:
+            if name.startswith(f"{BATCH}=") and after < int(name.split("=")[1]) <= until:
                 files.delete(status.getPath(), True)
 
     def _table(self, table: str, schema: str | StructType) -> DataFrame:

@@ -125,6 +125,30 @@ def test_compaction_removes_what_is_covered(spark, folder):
     assert sorted(left) == ["batch_id=6", "batch_id=7", "batch_id=8"]
 
 
+def test_early_batches_can_be_read_after_compaction(spark, folder):
+    store = stores.BatchStore(spark, folder)
+    for batch_id in range(12):
+        rows = spark.createDataFrame([("apple", 1), (f"w{batch_id}", 2)], stores.COUNTS_SCHEMA)
+        store.write(stores.DELTAS, batch_id, rows)
+        store.write(stores.SEEN, batch_id, spark.createDataFrame([(f"P{batch_id}",)], stores.SEEN_SCHEMA))
+        store.commit(batch_id)
+        if batch_id % 3 == 2:
+            store.compact()
+    for until in (0, 4, 8, 10):
+        want = {"apple": until + 1} | {f"w{i}": 2 for i in range(until + 1)}
+        assert as_dict(store.counts(until=until)) == want
+        deltas = store.read(stores.DELTAS, stores.COUNTS_SCHEMA, until).collect()
+        assert sorted((r.batch_id, r.word) for r in deltas if r.n == 2) == sorted((i, f"w{i}") for i in range(until + 1))
+        seen = store.read(stores.SEEN, stores.SEEN_SCHEMA, until).collect()
+        assert sorted(map(tuple, seen)) == sorted((f"P{i}", i) for i in range(until + 1))
+    # A store whose early counts were removed before there was a history says so.
+    for name in (stores.HISTORY, stores.HISTORY_COMMITS):
+        stores.remove(spark, f"{folder}/{name}")
+    assert as_dict(store.counts(until=9))["apple"] == 10
+    with pytest.raises(ValueError, match="up to 8 are gone"):
+        store.counts(until=3)
+
+
 def test_counts_in_stream_state(spark, folder):
     whole(spark).repartition(3).write.parquet(f"{folder}/feed")
     feed = feeds.table_stream(spark, f"{folder}/feed", files_per_batch=1)
