@@ -13,12 +13,15 @@ from lexitally.llm import (
     html_extraction,
     language_id,
     mixing,
+    neighbours,
     packing,
     quality_rules,
     sharding,
     simhash,
+    spelling,
     token_counts,
     token_files,
+    whitening,
 )
 from lexitally.llm import sql as answers
 
@@ -120,11 +123,27 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digests(files)
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the first 32 whitened components of all."""
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the documents with the frequent word that it is a variant of."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op13_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found among all vectors of those whose id is divisible by 20."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_mixing, op3_sharding, op4_packing, op5_token_counts, op6_quality_rules,
         op7_language_id, op8_exact_dedup, op9_simhash, op10_token_files,
+        op11_whitening, op12_spelling, op13_neighbours,
     )
 }
 ORACLE_SQL: dict[str, str] = {
