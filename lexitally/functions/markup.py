@@ -1,7 +1,8 @@
 """Product descriptions out of HTML pages and XML item documents.
 
-Patterns are linear in the page. Quoted values belong to a tag whatever they hold, and an
-unclosed comment, script or tag takes the rest of the page, as it does in a browser.
+Patterns are linear in the page, and loops over tags and attributes are possessive, which Java
+runs without recursion. Quoted values belong to a tag whatever they hold, and an unclosed
+comment, script or tag takes the rest of the page, as it does in a browser.
 """
 
 from __future__ import annotations
@@ -25,12 +26,22 @@ PARAGRAPH_ENDERS = (
 # every character. Then the pieces of a page: tags, text, and signs that begin no tag.
 INSIDE = r"""[^"'<>]*+(?:"[^"]*+"[^"'<>]*+|'[^']*+'[^"'<>]*+)*+"""
 PIECE = rf"<[a-zA-Z/!?]{INSIDE}>|[^<]++|<"
+# The attributes of a tag up to the first that is named ``id``, one after the other: a name with
+# its value, if it has one, or a sign that belongs to no attribute.
+ATTRIBUTE = r"""[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++))?+"""
+BEFORE_ID = rf"""(?:[\s/=]++|(?!(?i:id)[\s"'<>/=]){ATTRIBUTE}|"[^"]*+"|'[^']*+')*+"""
+# The pieces of an XML document; what is not closed takes the rest of it.
+XML_PIECE = (
+    r"(?s)<!\[CDATA\[(?:.*?\]\]>|.*+)|<!--(?:.*?-->|.*+)|<\?(?:.*?\?>|.*+)"
+    rf"|<[/!]?[A-Za-z_:]{INSIDE}>|[^<]++|<"
+)
 # The named entities of the HTML standard that end in a semicolon.
 ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
-# Id of the element that holds a page's description, and the label of the
-# description among the reviews of an item document.
+# Id of the element that holds a page's description, and, in an item document,
+# the label of the description and the list of reviews that it is in.
 DESCRIPTION_ID = "productDescription"
 REVIEW_LABEL = "Product Description"
+REVIEW_LIST = "EditorialReviews"
 
 
 def _without_raw_text(html: Column) -> Column:
@@ -127,12 +138,10 @@ def first_paragraph(
     if element_id is None:
         opening = rf"(?is)<({element})(?=[\s>]){INSIDE}>(.*)"
     else:
-        # The id is looked for among the attributes, not in the values of others; its name
-        # may be written in any case, its value not.
+        # The name of the attribute may be written in any case, its value not.
         name = re.escape(element_id)
-        before = r"""[^"'<>]*?(?:(?:"[^"]*+"|'[^']*+')[^"'<>]*?)*?"""
-        value = rf"""(?:"{name}"|'{name}'|{name}(?=[\s/>]))"""
-        opening = rf"(?s)<((?i:{element}))(?=\s{before}(?<=\s)(?i:id)\s*+=\s*+{value}){INSIDE}>(.*)"
+        value = rf"""(?:"{name}"|'{name}'|{name}(?=[\s>]))"""
+        opening = rf"(?s)<((?i:{element}))(?=[\s/]){BEFORE_ID}(?i:id)\s*+=\s*+{value}{INSIDE}>(.*)"
 
     def open_element(page: Column) -> Column:
         return F.struct(
@@ -144,22 +153,131 @@ def first_paragraph(
     return _paragraph_text(let(found, _element_body))
 
 
+# Where a walk through the pieces is: before the list, in it, past its end, or past an error.
+BEFORE, INSIDE_LIST, AFTER, BROKEN = 0, 1, 2, 3
+
+
+# What is known after some pieces, with its first value: the index of the next piece, the stage,
+# the depth in the list, the names of the open review and its child, how many children there
+# were, the text of the first one and if it is the label, if the present one has text and where
+# it began, and the found text's first piece and the piece after it.
+KNOWN = {
+    "i": 0, "stage": BEFORE, "depth": 0, "review": "", "child": "", "children": 0, "first": "",
+    "labelled": False, "filled": False, "from": 0, "begin": -1, "end": -1,
+}
+
+
+def _review_place(pieces: Column, label: str) -> Column:
+    """Index of the first piece of the review's text and of the piece after it, as
+    ``begin, end``; both are -1 if there is no such review."""
+
+    def step(acc: Column, piece: Column) -> Column:
+        # Named once: every mention of a field is a call to the JVM while the plan is made.
+        now = {name: acc[name] for name in KNOWN}
+        same = {name: value.alias(name) for name, value in now.items()}
+        same["i"] = (now["i"] + 1).alias("i")
+
+        def with_(**new: Column) -> Column:
+            changed = {name.rstrip("_"): value for name, value in new.items()}
+            changed = {name: value.alias(name) for name, value in changed.items()}
+            return F.struct(*(same | changed).values())
+
+        depth, children, stage = now["depth"], now["children"], now["stage"]
+        inside, higher, going = stage == INSIDE_LIST, with_(depth=depth - 1), with_()
+        broken = with_(stage=F.lit(BROKEN))
+
+        def after_text() -> Column:
+            # No more of the first child's text is kept than tells it from the label.
+            grows = (children == 1) & (F.length(now["first"]) <= len(label))
+            text = _plain_text(piece)
+            first = F.when(grows, F.concat(now["first"], text)).otherwise(now["first"])
+            return with_(first=first, filled=(children == 2) & (now["filled"] | (text != "")))
+
+        def after_start(name: Column, empty: Column) -> Column:
+            deeper = depth + F.when(empty, 0).otherwise(1)
+            child = with_(
+                depth=deeper, child=name, children=children + 1, filled=F.lit(False), from_=now["i"] + 1
+            )
+            review = with_(
+                depth=deeper, review=name, children=F.lit(0), first=F.lit(""), labelled=F.lit(False)
+            )
+            return F.when(depth == 1, child).when(depth == 0, review).otherwise(with_(depth=deeper))
+
+        def after_end(name: Column) -> Column:
+            opened = F.when(depth == 0, REVIEW_LIST).when(depth == 1, now["review"])
+            opened = opened.when(depth == 2, now["child"]).otherwise(name)
+            found = (children == 2) & now["labelled"] & now["filled"] & (now["begin"] < 0)
+            first = with_(depth=depth - 1, labelled=now["first"] == label)
+            second = with_(depth=depth - 1, begin=now["from"], end=now["i"])
+            return (
+                F.when(opened != name, broken)
+                .when(depth == 0, with_(stage=F.lit(AFTER)))
+                .when((depth == 2) & (children == 1), first)
+                .when((depth == 2) & found, second)
+                .otherwise(higher)
+            )
+
+        def after_tag(name: Column) -> Column:
+            empty, ends = F.endswith(piece, F.lit("/>")), F.startswith(piece, F.lit("</"))
+            opened = with_(stage=F.when(empty, AFTER).otherwise(INSIDE_LIST))
+            return (
+                F.when(inside & ends, after_end(name))
+                .when(inside, after_start(name, empty))
+                .when(~ends & (name == REVIEW_LIST), opened)
+                .otherwise(going)
+            )
+
+        name = F.regexp_extract(piece, r"^</?([A-Za-z_:][^\s/>]*+)", 1)
+        return (
+            F.when(stage > INSIDE_LIST, acc)
+            .when(inside & (piece == "<"), broken)
+            .when(F.rlike(piece, F.lit("^<[^!?]")), let(name, after_tag))
+            .when(depth >= 2, after_text())
+            .otherwise(going)
+        )
+
+    def place(acc: Column) -> Column:
+        whole = acc["stage"] == AFTER
+        return F.struct(*[F.when(whole, acc[name]).otherwise(-1).alias(name) for name in ("begin", "end")])
+
+    start = F.struct(*[F.lit(value).alias(name) for name, value in KNOWN.items()])
+    return F.aggregate(pieces, start, step, place)
+
+
+def _plain_text(piece: Column) -> Column:
+    """The characters of a piece of a document, empty for tags and comments."""
+    cdata = F.startswith(piece, F.lit("<![CDATA["))
+    inner = F.when(cdata, F.substr(piece, F.lit(10), F.length(piece) - 12))
+    return inner.when(F.startswith(piece, F.lit("<")), "").otherwise(piece)
+
+
+def _xml_text(piece: Column) -> Column:
+    """The text that a piece of a document stands for."""
+    text = F.regexp_replace(_plain_text(piece), "\r\n?", "\n")
+    resolves = F.contains(piece, F.lit("&")) & ~F.startswith(piece, F.lit("<"))
+    return F.when(resolves, _resolve_entities(text)).otherwise(text)
+
+
 def editorial_review(xml: Column, label: str = REVIEW_LABEL) -> Column:
     """The review with the given label in the first review list of an item document.
 
-    Only that list is parsed, so whatever stands before or after it, a second root or text
-    behind the root too, cannot fail the job. A review counts if its source is just the
-    label and it has content. NULL if there is none, or if the list is not well formed.
+    Of a review's children the first is its label and the second its text, whatever they are
+    named; white space and comments between them do not count. The first review whose label
+    fits, without entities, and whose text is not empty is taken, with tags and comments in it left out, its
+    entities resolved and its CDATA as it stands.
+
+    The document is gone through once, piece by piece, so comments and CDATA may hold anything.
+    Only the list must be well formed (its tags, those of its reviews and of their children),
+    whatever stands before or after it. NULL if there is no such review, or the list is broken.
     """
-    plain = F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
-    found = F.regexp_extract(
-        plain, rf"(?s)<EditorialReviews(?:\s{INSIDE})?(?:/>|(?<!/)>.*?</EditorialReviews\s*+>)", 0
-    )
-    # A parse of the list alone; without one nothing is parsed.
-    reviews = F.from_xml(
-        F.nullif(found, F.lit("")),
-        "EditorialReview array<struct<Source:string,Content:string>>",
-        {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"},
-    )["EditorialReview"]
-    fits = F.filter(reviews, lambda r: (r["Source"] == label) & (r["Content"] != ""))
-    return F.get(fits, F.lit(0))["Content"]
+
+    def text_of(pieces: Column) -> Column:
+        def inside(place: Column) -> Column:
+            kept = F.slice(pieces, place["begin"] + 1, place["end"] - place["begin"])
+            text = F.array_join(F.transform(kept, _xml_text), "")
+            return F.when(place["begin"] >= 0, text)
+
+        return let(_review_place(pieces, label), inside)
+
+    found = F.when(F.contains(xml, F.lit(f"<{REVIEW_LIST}")), xml)
+    return let(F.regexp_extract_all(found, F.lit(XML_PIECE), F.lit(0)), text_of)

@@ -31,49 +31,79 @@ def new_keys(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return keys.join(seen.select(key).distinct(), key, "left_anti")
 
 
+# A first part of a packed number is a time; times further from 1970 than this many microseconds
+# (some 85,000 years) count as that far. A second part is any whole number of 64 bits, or null.
+FURTHEST, SECOND = 27 * 10**17, 2**64 + 1
+EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
 def packed(rows: DataFrame, order: Sequence[str]) -> Column | None:
     """One or two order columns as one number that sorts the same way, if they allow it.
 
-    The minimum of a number is kept in place while rows are aggregated by hash; that of a
-    struct is not, and its rows would be sorted before the shuffle.
+    Nulls come first, as they do in Spark's own order, and the number is never null. Times
+    without a zone are taken as they stand, whatever the zone of the session. The minimum of a
+    number is kept in place while rows are aggregated by hash; that of a struct is not, and its
+    rows would be sorted before the shuffle.
     """
+    kinds = [rows.schema[name].dataType.typeName() for name in order]
+    if len(order) > 2 or (len(order) == 2 and not kinds[0].startswith("timestamp")):
+        return None
     numbers = []
-    for name in order:
-        kind, column = rows.schema[name].dataType.typeName(), F.col(name)
+    for name, kind in zip(order, kinds):
+        column, least = F.col(name), _least(kind, order)
         if kind.startswith("timestamp"):
-            column = F.unix_micros(column.cast("timestamp"))
+            number = _micros(column, kind)
         elif kind == "date":
-            column = F.unix_date(column)
-        elif kind not in ("byte", "short", "integer", "long"):
+            number = F.unix_date(column).cast("decimal(38,0)")
+        elif kind in ("byte", "short", "integer", "long"):
+            number = column.cast("decimal(38,0)")
+        else:
             return None
-        numbers.append(column.cast("decimal(20,0)"))
+        if least == FURTHEST:
+            near = F.least(F.greatest(number, _whole(-FURTHEST)), _whole(FURTHEST))
+            number = F.when(number.isNotNull(), near)
+        numbers.append(F.coalesce(number + _whole(least + 1), _whole(0)).cast("decimal(38,0)"))
     if len(numbers) == 1:
-        return numbers[0].cast("decimal(38,0)")
-    if len(numbers) > 2 or "timestamp" not in rows.schema[order[0]].dataType.typeName():
-        return None
-    # Microseconds of the years 1 to 9999 have 18 digits; the second part has 64 bits.
-    return (numbers[0] * _decimal(2**64) + numbers[1] + _decimal(2**63)).cast("decimal(38,0)")
+        return numbers[0]
+    return (numbers[0] * _whole(SECOND) + numbers[1]).cast("decimal(38,0)")
+
+
+def _least(kind: str, order: Sequence[str]) -> int:
+    """How far below zero a part of a packed number may be; of two parts the times are bounded."""
+    return FURTHEST if kind.startswith("timestamp") and len(order) == 2 else 2**63
+
+
+def _micros(column: Column, kind: str) -> Column:
+    """Microseconds since 1970; those of a time without a zone do not look at the session's."""
+    if kind == "timestamp":
+        return F.unix_micros(column).cast("decimal(38,0)")
+    seconds = (column - F.expr(EPOCH)).cast("interval second").cast("decimal(38,6)")
+    return (seconds * 1_000_000).cast("decimal(38,0)")
 
 
-def _decimal(value: int) -> Column:
-    return F.lit(str(value)).cast("decimal(20,0)")
+def _whole(value: int) -> Column:
+    return F.lit(str(value)).cast(f"decimal({len(str(abs(value)))},0)")
 
 
 def unpacked(number: Column, rows: DataFrame, order: Sequence[str]) -> list[Column]:
     """The order columns out of the number that `packed` has made of them."""
     parts = [number]
     if len(order) == 2:
-        low = F.pmod(number, _decimal(2**64).cast("decimal(38,0)"))
-        high = (number - low) / _decimal(2**64)
-        parts = [high, low.cast("decimal(38,0)") - _decimal(2**63)]
+        second = F.pmod(number, _whole(SECOND).cast("decimal(38,0)"))
+        first = ((number - second) / _whole(SECOND)).cast("decimal(38,0)")
+        parts = [first, second]
     columns = []
     for name, part in zip(order, parts):
-        kind, value = rows.schema[name].dataType, part.cast("bigint")
-        if kind.typeName().startswith("timestamp"):
-            value = F.timestamp_micros(value)
+        kind = rows.schema[name].dataType
+        value = (part - _whole(_least(kind.typeName(), order) + 1)).cast("decimal(38,0)")
+        if kind.typeName() == "timestamp":
+            value = F.timestamp_micros(value.cast("bigint"))
+        elif kind.typeName().startswith("timestamp"):
+            seconds = (value / 1_000_000).cast("decimal(18,6)")
+            value = F.expr(EPOCH) + F.make_dt_interval(secs=seconds)
         elif kind.typeName() == "date":
             value = F.date_from_unix_date(value.cast("int"))
-        columns.append(value.cast(kind).alias(name))
+        columns.append(F.when(part > 0, value.cast(kind)).alias(name))
     return columns
 
 
@@ -82,10 +112,10 @@ def first_wins(
 ) -> DataFrame:
     """One row per key, the first by ``order``, and the number ``n`` of its rows.
 
-    A minimum rather than a window: it combines before the shuffle, so a key that owns
-    most rows costs no task more than any other. Times and whole numbers without nulls
-    are compared as one packed number, and ``order`` must then tell the rows of a key
-    apart; the winner's other columns are joined to it.
+    Nulls come first. A minimum rather than a window: it combines before the shuffle, so a key
+    that owns most rows costs no task more than any other. Times and whole numbers are compared
+    as one packed number; the winner's other columns are joined to it, the least ones if several
+    rows are first.
     """
     rows = rows.where(F.col(key).isNotNull())
     number = packed(rows, order)
@@ -99,7 +129,9 @@ def first_wins(
     winners = found.withColumnRenamed(key, "_key")
     own = rows.select(key, *order, *payload, number.alias("_own"))
     same = (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_first"))
-    return own.join(winners, same).select(key, *order, *payload, "n")
+    first = F.min(F.struct(*order, *payload)).alias("_first")
+    joined = own.join(winners, same).groupBy(key).agg(first, F.max("n").alias("n"))
+    return joined.select(key, "_first.*", "n")
 
 
 def duplicate_flag(rows: DataFrame, key: str, batch: str) -> DataFrame:
@@ -135,7 +167,7 @@ def duplicate_flag(rows: DataFrame, key: str, batch: str) -> DataFrame:
 def put_overwrite(
     rows: DataFrame, key: str, value: str, order: Sequence[str]
 ) -> DataFrame:
-    """The last value of each key by ``order``."""
+    """The last value of each key by ``order``, in which nulls come first."""
     number = packed(rows, order)
     last = F.max_by(F.col(value), F.struct(*order) if number is None else number)
     return rows.groupBy(key).agg(last.alias(value))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitally.functions.once import with_once
@@ -13,7 +13,7 @@ from lexitally.functions.urls import (
     extract_product_id,
     url_text,
 )
-from lexitally.operators.keyset import first_wins
+from lexitally.operators.keyset import first_wins, packed
 
 # Requests are taken in this order.
 ORDER = ("ts", "request_id")
@@ -47,10 +47,20 @@ def locate(
     )
 
 
+def request_place(requests: DataFrame) -> tuple[Column, Column]:
+    """The place of a request in the order of requests, as a number, and a mark that tells it
+    from others of the same place, which come without a time or number or repeat both."""
+    return packed(requests, ORDER), F.xxhash64(*ORDER, "url")
+
+
 def requested_products(requests: DataFrame) -> DataFrame:
-    """Per validly requested product its ``first`` request and its requests ``n``."""
-    firsts = first_wins(locate(requests), "product_id", ORDER)
-    return firsts.select("product_id", F.struct(*ORDER).alias("first"), "n")
+    """Per validly requested product its requests ``n`` and the first of them: its ``place``
+    and ``mark``."""
+    located = locate(requests).where(F.col("product_id").isNotNull())
+    place, mark = request_place(located)
+    return located.groupBy("product_id").agg(
+        F.min(place).alias("place"), F.min_by(mark, place).alias("mark"), F.count("*").alias("n")
+    )
 
 
 def described_keys(descriptions: DataFrame) -> DataFrame:
@@ -93,7 +103,9 @@ def request_outcome(
     """One status and message per request.
 
     In this order: an invalid URL is 400, a product stored before is 200, one without a
-    description is 404, the first request of any other is 201 and the later ones 200.
+    description is 404, the first request of any other is 201 and the later ones 200. Requests
+    without a time or a number come before others. Rows that are equal in time, number and URL
+    are one request that came several times, and get one answer.
 
     ``products`` are the `requested_products` of these requests. They are used several
     times; given as a written table they save reading the requests as often.
@@ -102,7 +114,8 @@ def request_outcome(
     products = requested_products(requests) if products is None else products
     facts = product_facts(products, descriptions, seen)
     rows = located.join(facts.drop("n"), "product_id", "left")
-    is_first = F.struct(*ORDER) == F.col("first")
+    place, mark = request_place(rows)
+    is_first = (place == F.col("place")) & (mark == F.col("mark"))
     status = (
         F.when(F.col("product_id").isNull(), BAD_REQUEST)
         .when(F.col("stored"), OK)
