@@ -48,9 +48,14 @@ def locate(
 
 
 def request_place(requests: DataFrame) -> tuple[Column, Column]:
-    """The place of a request in the order of requests, as a number, and a mark that tells it
-    from others of the same place, which come without a time or number or repeat both."""
-    return packed(requests, ORDER), F.xxhash64(*ORDER, "url")
+    """The place of a request in the order of requests, as a number, and its mark."""
+    return packed(requests, ORDER), request_mark()
+
+
+def request_mark() -> Column:
+    """A number that tells a request from others of the same place, which come without a time
+    or number or repeat both."""
+    return F.xxhash64(*ORDER, "url")
 
 
 def requested_products(requests: DataFrame) -> DataFrame:
@@ -123,7 +128,16 @@ def request_outcome(
         .when(is_first, CREATED)
         .otherwise(OK)
     )
-    message = (
+    return (
+        rows.withColumn("status", status.cast("bigint"))
+        .withColumn("message", message())
+        .select("request_id", "ts", "product_id", "host", "status", "message")
+    )
+
+
+def message() -> Column:
+    """The message to a request of ``url, product_id, host, status``."""
+    return (
         F.when(F.col("url").isNull(), NO_URL)
         .when(F.col("status") == BAD_REQUEST, F.format_string(MESSAGES[BAD_REQUEST], "url"))
         .when(
@@ -133,11 +147,6 @@ def request_outcome(
         .when(F.col("status") == CREATED, F.format_string(MESSAGES[CREATED], "product_id"))
         .otherwise(F.format_string(MESSAGES[OK], "product_id"))
     )
-    return (
-        rows.withColumn("status", status.cast("bigint"))
-        .withColumn("message", message)
-        .select("request_id", "ts", "product_id", "host", "status", "message")
-    )
 
 
 def outcome_summary(outcomes: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from lexitally.operators.ranking import MAX_K, with_rank
 from lexitally.operators.requests import accepted_descriptions
 from lexitally.session import scratch_dir
 from lexitally.sources.feeds import table_stream
-from lexitally.sources.stores import BatchStore
-from lexitally.streaming.jobs import run_counts, run_requests
+from lexitally.sources.stores import StreamStore
+from lexitally.streaming.jobs import run_counts, run_requests, stream_accepted
 
 
 def top_words(
@@ -49,29 +49,32 @@ def parts_by_time(rows: DataFrame, column: str, cuts: Iterable[str]) -> list[Dat
     return parts
 
 
-def stream_requests(
-    spark: SparkSession, parts: Iterable[DataFrame], descriptions: DataFrame
-) -> BatchStore:
-    """Feed the parts to the request stream one after the other.
-
-    Each part is written to the feed, then the stream is started again from its
-    checkpoint and takes what is new as one micro-batch.
-    """
-    root = scratch_dir(spark, "requests")
-    store = BatchStore(spark, f"{root}/store")
+def feed_of(spark: SparkSession, parts: Iterable[DataFrame], root: str) -> DataFrame:
+    """The parts as a feed of one file each, in this order, and a micro-batch per file."""
     for part in parts:
-        part.write.mode("append").parquet(f"{root}/feed")
-        feed = table_stream(spark, f"{root}/feed")
-        run_requests(feed, descriptions, store, f"{root}/checkpoint", None).awaitTermination()
+        part.coalesce(1).write.mode("append").parquet(f"{root}/feed")
+    return table_stream(spark, f"{root}/feed", files_per_batch=1)
+
+
+def stream_requests(
+    spark: SparkSession, parts: Iterable[DataFrame], descriptions: DataFrame, counted: bool = True
+) -> StreamStore:
+    """Answer the requests of the parts, a micro-batch each, and count the words of the
+    descriptions that these have made accepted."""
+    store = StreamStore(spark, scratch_dir(spark, "requests"))
+    run_requests(feed_of(spark, parts, store.root), descriptions, store, None).awaitTermination()
+    if counted:
+        run_counts(stream_accepted(store, descriptions), store, None).awaitTermination()
     return store
 
 
-def stream_texts(spark: SparkSession, parts: Iterable[DataFrame]) -> BatchStore:
-    """Feed parts of ``product_id, text`` to the counting stream one after the other."""
-    root = scratch_dir(spark, "texts")
-    store = BatchStore(spark, f"{root}/store")
-    for part in parts:
-        part.write.mode("append").parquet(f"{root}/feed")
-        feed = table_stream(spark, f"{root}/feed")
-        run_counts(feed, store, f"{root}/checkpoint", None).awaitTermination()
+def stream_texts(
+    spark: SparkSession, parts: Iterable[DataFrame], restarted: bool = False
+) -> StreamStore:
+    """Count the words of parts of ``product_id, text``, a micro-batch each; ``restarted``
+    stops the stream after every part, and starts it again when the next is there."""
+    store = StreamStore(spark, scratch_dir(spark, "texts"))
+    parts = list(parts)
+    for some in [[part] for part in parts] if restarted else [parts]:
+        run_counts(feed_of(spark, some, store.root), store, None).awaitTermination()
     return store

@@ -363,6 +363,18 @@ def oracle_sql() -> dict[str, str]:
         "CAST(CASE WHEN min(ts) < TIMESTAMP '2024-01-11' THEN 0"
         " WHEN min(ts) < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS BIGINT)"
     )
+    batch = (
+        "CAST(CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0"
+        " WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS BIGINT)"
+    )
+    answers = (
+        f"WITH {REQUESTS},\n{LOCATED}, parts AS (SELECT *, {batch} AS batch_id FROM located),"
+        " answers AS (SELECT *, product_id IS NOT NULL"
+        " AND min(batch_id) OVER (PARTITION BY product_id) < batch_id AS stored,"
+        " product_id IS NOT NULL"
+        " AND row_number() OVER (PARTITION BY product_id ORDER BY ts, request_id) = 1 AS first"
+        " FROM parts)"
+    )
     steps = {
         "drop_plural": 1, "drop_past_and_gerund": 2, "final_y_to_i": 3,
         "swap_double_suffixes": 4, "swap_single_suffixes": 5, "drop_last_suffix": 6,
@@ -398,6 +410,12 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {REQUESTS},\n{LOCATED} SELECT DISTINCT product_id FROM located"
             " WHERE product_id IS NOT NULL"
         ),
+        "stream_insert": f"{answers} SELECT request_id, product_id, batch_id, stored, first FROM answers",
+        "stream_duplicate_flag": (
+            f"{answers} SELECT batch_id, count(*) AS rows, count(*) FILTER (first) AS new_keys,"
+            " bool_or(stored) AS duplicate, bool_or(NOT first) AS duplicate_strict FROM answers"
+            " WHERE product_id IS NOT NULL GROUP BY batch_id"
+        ),
         "upsert_counts": accepted_counts,
         "scan_counts": accepted_counts,
         "json_answer": _counts(

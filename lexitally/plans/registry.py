@@ -103,46 +103,60 @@ def xml_editorial_review(spark, folder):
 @query
 def publish_descriptions(spark, folder):
     """The accepted descriptions, appended batch by batch and read back."""
-    store = stores.BatchStore(spark, scratch_dir(spark, "publish"))
+    store = stores.BatchFolder(spark, scratch_dir(spark, "publish"))
     accepted = written(accepted_descriptions(spark, folder), "accepted")
     for batch_id, part in enumerate(jobs.parts_by_time(accepted, "ts", PART_CUTS)):
         store.write(stores.DESCRIPTIONS, batch_id, feeds.topic_records(part))
-        store.commit(batch_id)
     records = store.read(stores.DESCRIPTIONS, "key BINARY, value BINARY")
     return feeds.topic_text(records, stores.BATCH)
 
 
+def inserted(spark, folder) -> stores.StreamStore:
+    """The requested products, stored in the state of a stream of three batches."""
+    store = stores.StreamStore(spark, scratch_dir(spark, "seen"))
+    rows = asked.locate(requests(spark, folder)).select("request_id", "ts", "product_id")
+    feed = jobs.feed_of(spark, jobs.parts_by_time(rows, "ts", PART_CUTS), store.root)
+    streams.run_insert(feed, "product_id", asked.ORDER, store, None).awaitTermination()
+    return store
+
+
 @query
 def insert_seen(spark, folder):
     """Keys stored batch by batch, each by the first batch that brings it."""
-    store = stores.BatchStore(spark, scratch_dir(spark, "seen"))
-    located = asked.locate(requests(spark, folder))
-    for batch_id, part in enumerate(jobs.parts_by_time(located, "ts", PART_CUTS)):
-        seen = store.seen()
-        store.write(stores.SEEN, batch_id, keyset.new_keys(part, seen, "product_id"))
-        store.commit(batch_id)
-    return store.seen()
+    return inserted(spark, folder).seen()
 
 
 @query
 def scan_seen(spark, folder):
-    return insert_seen(spark, folder).select("product_id")
+    return inserted(spark, folder).seen().select("product_id")
 
 
-def counted_in_parts(spark, folder) -> stores.BatchStore:
-    store = stores.BatchStore(spark, scratch_dir(spark, "counts"))
-    accepted = written(accepted_descriptions(spark, folder), "accepted")
-    for batch_id, part in enumerate(jobs.parts_by_time(accepted, "ts", PART_CUTS)):
-        store.write(stores.DELTAS, batch_id, counts.word_counts(part))
-        store.commit(batch_id)
-        if batch_id == 1:
-            store.compact()
-    return store
+@query
+def stream_insert(spark, folder):
+    """Every request of a stream with the answer if its product was stored before."""
+    schema = "request_id BIGINT, product_id STRING, batch_id BIGINT, stored BOOLEAN, first BOOLEAN"
+    return inserted(spark, folder).read(stores.SEEN, schema)
+
+
+@query
+def stream_duplicate_flag(spark, folder):
+    """Per micro-batch, whether it brought a product that was stored before."""
+    answers = stream_insert(spark, folder).where(F.col("product_id").isNotNull())
+    return answers.groupBy(stores.BATCH).agg(
+        F.count("*").alias("rows"),
+        F.count_if("first").alias("new_keys"),
+        F.bool_or("stored").alias("duplicate"),
+        F.bool_or(~F.col("first")).alias("duplicate_strict"),
+    )
+
+
+def counted_in_parts(spark, folder) -> stores.StreamStore:
+    return jobs.stream_texts(spark, accepted_parts(spark, folder))
 
 
 @query
 def upsert_counts(spark, folder):
-    """Counts of several batches, the first of them already in a snapshot."""
+    """Counts that three micro-batches have added to the state of a stream."""
     return counted_in_parts(spark, folder).counts()
 
 
@@ -593,36 +607,23 @@ def accepted_parts(spark, folder) -> list[DataFrame]:
 @query
 def micro_batch(spark, folder):
     """Counts of each micro-batch of descriptions."""
-    store = jobs.stream_texts(spark, accepted_parts(spark, folder))
-    return store.read(stores.DELTAS, stores.COUNTS_SCHEMA)
+    return jobs.stream_texts(spark, accepted_parts(spark, folder)).deltas()
 
 
 @query
 def stream_word_count(spark, folder):
-    """Counts over the whole stream of documents, kept in the stream's own state.
-
-    Each batch writes the words whose totals it changed; the largest total is the last.
-    """
-    root = scratch_dir(spark, "running")
-    store = stores.BatchStore(spark, f"{root}/store")
+    """Counts over the whole stream of documents, kept in the stream's own state."""
+    store = stores.StreamStore(spark, scratch_dir(spark, "running"))
     texts = feeds.table_stream(spark, f"{folder}/documents.parquet")
-
-    def changed(totals: DataFrame, batch_id: int) -> None:
-        store.write("totals", batch_id, totals)
-        store.commit(batch_id)
-
-    writer = streams.stream_plain_counts(texts).writeStream.outputMode("update")
-    writer = writer.foreachBatch(changed).option("checkpointLocation", f"{root}/checkpoint")
-    streams.with_trigger(writer, None).start().awaitTermination()
-    totals = store.read("totals", stores.COUNTS_SCHEMA)
-    return counts.stem_counts(totals.groupBy("word").agg(F.max("n").alias("n")))
+    streams.run_counts(texts, store, None).awaitTermination()
+    return store.counts()
 
 
 @query
 def stream_processor(spark, folder):
     """A stream processor of the caller's own: documents and characters per language."""
     root = scratch_dir(spark, "processor")
-    store = stores.BatchStore(spark, f"{root}/store")
+    store = stores.BatchFolder(spark, f"{root}/store")
     docs = feeds.table_stream(spark, f"{folder}/documents.parquet")
 
     def per_language(rows: DataFrame, batch_id: int) -> None:
@@ -631,7 +632,7 @@ def stream_processor(spark, folder):
         )
         store.write("languages", batch_id, sums)
 
-    streams.run_batches(docs, store, f"{root}/checkpoint", per_language, None).awaitTermination()
+    streams.run_batches(docs, f"{root}/checkpoint", per_language, None).awaitTermination()
     sums = store.read("languages", "lang STRING, docs BIGINT, chars BIGINT")
     return sums.groupBy("lang").agg(F.sum("docs").alias("docs"), F.sum("chars").alias("chars"))
 
@@ -649,14 +650,14 @@ def stream_first_wins(spark, folder):
         "checkpointLocation", f"{root}/checkpoint"
     )
     streams.with_trigger(writer, None).start().awaitTermination()
-    return spark.read.schema(stores.SEEN_SCHEMA).parquet(f"{root}/out")
+    return spark.read.schema("product_id STRING").parquet(f"{root}/out")
 
 
 @query
 def rate_limit(spark, folder):
     """Requests taken when every micro-batch may read one file only."""
     root = scratch_dir(spark, "limited")
-    store = stores.BatchStore(spark, f"{root}/store")
+    store = stores.BatchFolder(spark, f"{root}/store")
     for part in request_parts(spark, folder):
         part.write.mode("append").parquet(f"{root}/feed")
     feed = feeds.table_stream(spark, f"{root}/feed", files_per_batch=1).withColumn(
@@ -667,7 +668,7 @@ def rate_limit(spark, folder):
         per_file = rows.groupBy("file").agg(F.count("*").alias("n"))
         store.write("taken", batch_id, per_file)
 
-    streams.run_batches(feed, store, f"{root}/checkpoint", write, None).awaitTermination()
+    streams.run_batches(feed, f"{root}/checkpoint", write, None).awaitTermination()
     taken = store.read("taken", "file STRING, n BIGINT")
     per_batch = taken.groupBy(stores.BATCH).agg(
         F.count("*").alias("files"), F.sum("n").alias("n")
@@ -678,22 +679,21 @@ def rate_limit(spark, folder):
 @query
 def checkpoint_restart(spark, folder):
     """Counts of a stream that was stopped and started again between its batches."""
-    return jobs.stream_texts(spark, accepted_parts(spark, folder)).counts()
+    return jobs.stream_texts(spark, accepted_parts(spark, folder), restarted=True).counts()
 
 
 @query
 def serve_snapshot(spark, folder):
-    """What a reader of the stream's store sees after its second batch."""
+    """What a reader of the stream's state sees after its second batch."""
     return jobs.stream_texts(spark, accepted_parts(spark, folder)).counts(until=1)
 
 
 @query
 def stream_request_outcome(spark, folder):
     store = jobs.stream_requests(
-        spark, request_parts(spark, folder), descriptions(spark, folder)
+        spark, request_parts(spark, folder), descriptions(spark, folder), counted=False
     )
-    schema = "request_id BIGINT, product_id STRING, host STRING, status BIGINT, message STRING"
-    return store.read(stores.OUTCOMES, schema)
+    return store.read(stores.OUTCOMES, stores.OUTCOMES_SCHEMA).drop("ts")
 
 
 @query

@@ -1,12 +1,10 @@
-"""Tables that grow batch by batch and are read one whole batch at a time.
-
-Each batch writes its own folders, replacing what an earlier attempt left there, and is
-committed after that by an empty file that names the batch and the query it is from. The file
-before the newest one is kept, others go, so looking for the newest batch costs the same after
-any number of them. Readers look only at batches up to the newest, so they see a whole batch
-or none of it. `compact` adds up what has been committed, and removes the parts that the
-snapshot before covers. Their counts move to one folder per compaction, so that counts can be
-read as of any batch; those before the oldest snapshot are added up from there.
+"""What streams leave behind: keyed state that is read as a table, and output.
+
+Spark keeps the state of a streaming query in its state store, writes it batch by batch, and
+cleans it up; nothing is kept beside it. It can be read as of any batch that is retained
+(``spark.sql.streaming.minBatchesToRetain``, 100 unless set), whether the query runs or not,
+and a batch that runs again leaves the same state. Output is written by Spark's file sink, whose
+readers see whole batches, each once.
 """
 
 from __future__ import annotations
@@ -14,201 +12,142 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import StructType
 
-from lexitally.operators.counts import merge_counts
-from lexitally.session import file_system, remove
+from lexitally.operators.counts import stem_counts
+from lexitally.session import file_system
 
 BATCH = "batch_id"
-# Tables of a store.
-PRODUCTS = "products"
-OUTCOMES = "outcomes"
-SEEN = "seen"
-DESCRIPTIONS = "descriptions"
-DELTAS = "deltas"
-# Counts of the batches that a snapshot covers, with the batch that each is of.
-HISTORY, OF_BATCH = "delta_history", "of_batch"
-SNAPSHOTS, SEEN_SNAPSHOTS = "snapshots", "seen_snapshots"
+# Queries of a store, which are also the names of their output.
+OUTCOMES, DESCRIPTIONS, COUNTS, SEEN = "outcomes", "descriptions", "counts", "seen"
 
 COUNTS_SCHEMA = "word STRING, n BIGINT"
-SEEN_SCHEMA = "product_id STRING"
 DESCRIPTIONS_SCHEMA = "product_id STRING, text STRING"
-COMMITS, SNAPSHOT_COMMITS = "commits", "snapshot_commits"
-HISTORY_COMMITS = "history_commits"
-# Folders that the stored keys of a snapshot are dealt to.
-BUCKETS = 256
-BUCKET = "bucket"
-
-
-def key_bucket(key: str = "product_id") -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+OUTCOMES_SCHEMA = (
+    "request_id BIGINT, ts TIMESTAMP_NTZ, product_id STRING, host STRING, status BIGINT,"
+    " message STRING, batch_id BIGINT"
+)
+# The state in which a stream of keys notes by which row each key was stored.
+FIRST = "first"
+# State on the executors' disks, of which a batch writes only what it changed.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def use_state_settings(spark: SparkSession) -> None:
+    """Streams that the session starts from now on keep their state in RocksDB."""
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
 
 
 @dataclass(frozen=True)
-class BatchStore:
-    """A folder, shared by all executors, with one subfolder per table."""
+class StreamStore:
+    """A folder, shared by all executors, with the checkpoints and the output of streams."""
 
     spark: SparkSession
     root: str
 
-    def write(self, table: str, batch_id: int, rows: DataFrame, *by: str) -> None:
-        writer = rows.write.mode("overwrite").partitionBy(*by)
-        writer.parquet(f"{self.root}/{table}/{BATCH}={batch_id}")
-
-    def part(self, table: str, batch_id: int) -> DataFrame:
-        """What one batch wrote to a table, committed or not."""
-        return self.spark.read.parquet(f"{self.root}/{table}/{BATCH}={batch_id}")
-
-    def read(self, table: str, schema: str | StructType, until: int | None = None) -> DataFrame:
-        """Rows of the committed batches, or of those up to ``until``, compacted or not.
-
-        Requested products serve their own batch only; they are refused once some have gone.
-        """
-        newest = self.newest()
-        if until is not None:
-            newest = min(newest, until)
-        names = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).names
-        if table == DELTAS:
-            self._refuse_lost()
-            return self._deltas(-1, newest).select(*names, BATCH)
-        if table == SEEN:
-            return self.seen().where(F.col(BATCH) <= newest).select(*names, BATCH)
-        if table == PRODUCTS and len(self._marks(SNAPSHOT_COMMITS)) > 1:
-            raise ValueError(f"requested products of early batches are gone from {self.root}")
-        return self._table(table, schema).where(F.col(BATCH) <= newest)
-
-    def commit(self, batch_id: int, owner: str = "") -> None:
-        """All tables of a batch are written; ``owner`` names the query that wrote them."""
-        self._mark(COMMITS, batch_id, owner)
-
-    def newest(self) -> int:
-        """Number of the newest committed batch, -1 if there is none."""
-        return self._newest(COMMITS)[0]
-
-    def owner(self) -> str:
-        """The query that committed the newest batch, empty if none did."""
-        return self._newest(COMMITS)[1]
+    def checkpoint(self, query: str) -> str:
+        return f"{self.root}/checkpoints/{query}"
 
-    def counts(self, until: int | None = None) -> DataFrame:
-        """Word counts after the newest committed batch, or after batch ``until``.
-
-        The newest snapshot not past that batch, plus the batches after the snapshot; all
-        batches if every snapshot is past it.
-        """
-        newest = self.newest() if until is None else min(self.newest(), until)
-        base = self._newest(SNAPSHOT_COMMITS, newest)[0]
-        if 0 <= newest and base < 0:
-            self._refuse_lost()
-        snapshot = self._table(SNAPSHOTS, COUNTS_SCHEMA).where(F.col(BATCH) == base)
-        return merge_counts(snapshot, self._deltas(base, newest))
-
-    def _deltas(self, after: int, until: int) -> DataFrame:
-        """Counts of the batches after ``after`` up to ``until``, each with its batch."""
-        moved = self._newest(HISTORY_COMMITS)[0]
-        batch, of = F.col(BATCH), F.col(OF_BATCH)
-        new = self._table(DELTAS, COUNTS_SCHEMA)
-        new = new.where((batch > max(after, moved)) & (batch <= until))
-        if after >= moved:
-            return new
-        old = self._table(HISTORY, f"{COUNTS_SCHEMA}, {OF_BATCH} BIGINT")
-        old = old.where((batch > after) & (batch <= moved) & (of > after) & (of <= until))
-        return old.select("word", "n", of.alias(BATCH)).unionByName(new)
-
-    def _lost(self) -> int:
-        """The last batch whose counts are in snapshots only, -1 if there is none: stores
-        that were compacted before there was a history lack it."""
-        moved, lost = self._newest(HISTORY_COMMITS)
-        if moved >= 0:
-            return int(lost)
-        marks = sorted(self._marks(SNAPSHOT_COMMITS))
-        return marks[0][0] if len(marks) > 1 else -1
-
-    def _refuse_lost(self) -> None:
-        if (lost := self._lost()) >= 0:
-            raise ValueError(f"counts of the batches up to {lost} are gone from {self.root}")
-
-    def _move_deltas(self, until: int) -> None:
-        """Counts of the batches up to ``until``, which a snapshot covers, to the history."""
-        moved = self._newest(HISTORY_COMMITS)[0]
-        if until <= moved:
-            return
-        lost = self._lost()
-        # What an attempt that was not committed left.
-        self._remove(HISTORY, until, moved)
-        rows = self._deltas(max(moved, lost), until).withColumnRenamed(BATCH, OF_BATCH)
-        self.write(HISTORY, until, rows)
-        self._mark(HISTORY_COMMITS, until, str(lost))
-
-    def seen(self, asked: DataFrame | None = None) -> DataFrame:
-        """The stored keys, each with the batch that stored it.
-
-        With ``asked``, a few keys, only the folders of a snapshot in which these can be
-        are read; of other keys some or none are given.
-        """
-        newest = self.newest()
-        base = self._newest(SNAPSHOT_COMMITS, newest)[0]
-        batch = F.col(BATCH)
-        since = self._table(SEEN, SEEN_SCHEMA).where((batch > base) & (batch <= newest))
-        stored = self._table(SEEN_SNAPSHOTS, f"product_id STRING, first_batch BIGINT, {BUCKET} INT")
-        stored = stored.where(batch == base)
-        if asked is not None:
-            # At most BUCKETS rows.
-            found = asked.select(key_bucket().alias(BUCKET)).distinct().collect()
-            stored = stored.where(F.col(BUCKET).isin([row[BUCKET] for row in found]))
-        return stored.select("product_id", F.col("first_batch").alias(BATCH)).unionByName(since)
-
-    def compact(self) -> int:
-        """Write counts and keys as a snapshot; returns its batch number."""
-        newest, before = self.newest(), self._newest(SNAPSHOT_COMMITS)[0]
-        if newest > before:
-            self.write(SNAPSHOTS, newest, self.counts())
-            keys = self.seen().select("product_id", F.col(BATCH).alias("first_batch"))
-            keys = keys.withColumn(BUCKET, key_bucket()).repartition(BUCKET)
-            self.write(SEEN_SNAPSHOTS, newest, keys, BUCKET)
-            # Before the new snapshot counts, so that what is lost can be told from the marks.
-            self._move_deltas(before)
-            self._mark(SNAPSHOT_COMMITS, newest, "")
-            for table in (DELTAS, SEEN, PRODUCTS):
-                self._remove(table, before)
-            for table in (SNAPSHOTS, SEEN_SNAPSHOTS):
-                self._remove(table, before - 1)
-        return newest
-
-    def _mark(self, kind: str, batch_id: int, owner: str) -> None:
-        files, place = file_system(self.spark, f"{self.root}/{kind}/{batch_id}_{owner}")
-        files.create(place, True).close()
-        marks = sorted(self._marks(kind))
-        for number, name in marks[:-2]:
-            remove(self.spark, f"{self.root}/{kind}/{number}_{name}")
-
-    def _marks(self, kind: str) -> list[tuple[int, str]]:
-        files, place = file_system(self.spark, f"{self.root}/{kind}")
-        if not files.exists(place):
-            return []
-        names = [status.getPath().getName() for status in files.listStatus(place)]
-        split = (name.split("_", 1) for name in names if name[0].isdigit())
-        return [(int(number), owner) for number, owner in split]
+    def output(self, query: str) -> str:
+        """The folder of a query's output, which is there from now on."""
+        path = f"{self.root}/{query}"
+        files, place = file_system(self.spark, path)
+        files.mkdirs(place)
+        return path
+
+    def read(self, query: str, schema: str | StructType) -> DataFrame:
+        """The output of all finished batches."""
+        return self.spark.read.schema(schema).parquet(self.output(query))
 
-    def _newest(self, kind: str, until: int | None = None) -> tuple[int, str]:
-        marks = [mark for mark in self._marks(kind) if until is None or mark[0] <= until]
-        return max(marks, default=(-1, ""))
+    def stream(self, query: str, schema: str | StructType) -> DataFrame:
+        """The output as the input of another stream."""
+        return self.spark.readStream.schema(schema).parquet(self.output(query))
 
-    def _remove(self, table: str, until: int, after: int = -1) -> None:
-        files, place = file_system(self.spark, f"{self.root}/{table}")
+    def batches(self, query: str) -> tuple[int, int]:
+        """The oldest and newest batch whose state can be read; -1 twice before the first."""
+        files, place = file_system(self.spark, f"{self.checkpoint(query)}/state")
         if not files.exists(place):
-            return
-        for status in files.listStatus(place):
-            name = status.getPath().getName()
-            if name.startswith(f"{BATCH}=") and after < int(name.split("=")[1]) <= until:
-                files.delete(status.getPath(), True)
-
-    def _table(self, table: str, schema: str | StructType) -> DataFrame:
-        """All folders of a table, committed or not; no rows while it has no folder."""
-        if isinstance(schema, str):
-            schema = StructType.fromDDL(schema)
-        schema = StructType(list(schema.fields)).add(BATCH, LongType())
+            return -1, -1
+        known = self.spark.read.format("state-metadata").load(self.checkpoint(query))
+        found = known.agg(F.min("minBatchId"), F.max("maxBatchId")).first()
+        return (-1, -1) if found[1] is None else (found[0], found[1])
+
+    def state(
+        self, query: str, until: int | None = None, variable: str | None = None
+    ) -> DataFrame | None:
+        """The ``key`` and ``value`` rows after the newest batch, or after batch ``until``;
+        None before the first batch."""
+        oldest, newest = self.batches(query)
+        until = newest if until is None else min(until, newest)
+        if newest < 0 or until < 0:
+            return None
+        if until < oldest:
+            raise ValueError(f"state of the batches before {oldest} is no longer kept in {self.root}")
+        return self._reader(variable).option("batchId", until).load(self.checkpoint(query))
+
+    def changes(self, query: str, since: int) -> DataFrame:
+        """The ``key`` and ``value`` of all that batches from ``since`` on have changed."""
+        reader = self._reader(None).option("readChangeFeed", "true")
+        return reader.option("changeStartBatchId", since).load(self.checkpoint(query))
+
+    def _reader(self, variable: str | None):
+        reader = self.spark.read.format("statestore")
+        return reader if variable is None else reader.option("stateVarName", variable)
+
+    def counts(self, until: int | None = None) -> DataFrame:
+        """Counts per stem after the newest batch, or as a reader after batch ``until`` saw them."""
+        rows = self.state(COUNTS, until)
+        if rows is None:
+            return self.spark.createDataFrame([], COUNTS_SCHEMA)
+        return stem_counts(rows.select("key.word", "value.*").toDF("word", "n"))
+
+    def deltas(self, since: int | None = None) -> DataFrame:
+        """``batch_id, word, n``: what each batch has added, from ``since`` or the oldest on
+        whose state before it can still be read."""
+        oldest, newest = self.batches(COUNTS)
+        if newest < 0:
+            return self.spark.createDataFrame([], f"{BATCH} BIGINT, {COUNTS_SCHEMA}")
+        since = max(0, oldest + 1 if oldest > 0 else 0) if since is None else since
+        changed = self.changes(COUNTS, since).select(BATCH, "key.word", "value.*")
+        totals = changed.toDF(BATCH, "word", "total")
+        if since > 0:
+            before = self.state(COUNTS, since - 1).select(F.lit(since - 1).cast("long"), "key.word", "value.*")
+            totals = totals.unionByName(before.toDF(BATCH, "word", "total"))
+        last = F.lag("total", 1, 0).over(Window.partitionBy("word").orderBy(BATCH))
+        added = totals.select(BATCH, "word", (F.col("total") - last).alias("n"))
+        return stem_counts(added.where(F.col(BATCH) >= since), [BATCH])
+
+    def seen(self, until: int | None = None, query: str = SEEN, key: str = "product_id") -> DataFrame:
+        """The stored keys, each with the batch that stored it."""
+        rows = self.state(query, until, FIRST)
+        if rows is None:
+            return self.spark.createDataFrame([], f"{key} STRING, {BATCH} BIGINT")
+        return rows.select(
+            F.col("user_map_key.key").alias(key), F.col("user_map_value")[BATCH].alias(BATCH)
+        )
+
+
+@dataclass(frozen=True)
+class BatchFolder:
+    """Tables with a folder per batch; a batch that runs again replaces its own."""
+
+    spark: SparkSession
+    root: str
+
+    def write(self, table: str, batch_id: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/{BATCH}={batch_id}")
+
+    def read(self, table: str, schema: str) -> DataFrame:
+        """Rows of all batches with their ``batch_id``; none while there is no batch."""
+        schema = StructType.fromDDL(f"{schema}, {BATCH} BIGINT")
         path = f"{self.root}/{table}"
         try:
             return self.spark.read.schema(schema).option("basePath", path).parquet(path)

@@ -1,45 +1,47 @@
 """Streaming forms of the counting and request jobs.
 
-Two shapes. A plain streaming query keeps its state in Spark's state store; that is the
-whole of `stream_word_counts` and `stream_first_wins`. The `run_` jobs hand each
-micro-batch, which is an ordinary DataFrame, to the batch operators and write what comes
-out to a `BatchStore`; a micro-batch that runs again writes the same rows again.
+State is Spark's: running counts are an aggregation in the state store, products are keyed state
+that answers each request, and both are read back with `StreamStore`. A service is a chain of
+such queries. The first answers requests, the next ones follow its output, which has each batch
+once, whatever was stopped and started again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import TypeAlias
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from lexitally.functions.text import Tokenizer, tokenize
-from lexitally.operators.counts import flat_tokens, plain_words, word_counts
+from lexitally.operators.counts import flat_tokens, plain_words
 from lexitally.operators.requests import (
+    BAD_REQUEST,
     CREATED,
+    NOT_FOUND,
+    OK,
+    ORDER,
     described_keys,
     locate,
-    request_outcome,
-    requested_products,
+    message,
+    request_mark,
 )
+from lexitally.session import written
 from lexitally.sources.stores import (
-    DELTAS,
+    BATCH,
+    COUNTS,
     DESCRIPTIONS,
     OUTCOMES,
-    PRODUCTS,
+    OUTCOMES_SCHEMA,
     SEEN,
-    BatchStore,
+    StreamStore,
+    use_state_settings,
 )
+from lexitally.streaming.keys import stream_insert
 
 # Fixed value: milliseconds between micro-batches.
 INTERVAL_MILLIS = 1000
-# Batches after which the store is compacted.
-COMPACT_EVERY = 100
-
-# Descriptions as one table, or as a function that gives the present ones for each batch.
-Descriptions: TypeAlias = DataFrame | Callable[[], DataFrame]
 
 
 def stream_word_counts(
@@ -86,90 +88,118 @@ def with_trigger(writer: DataStreamWriter, interval_millis: int | None) -> DataS
     return writer.trigger(processingTime=f"{interval_millis} milliseconds")
 
 
+def started(
+    stream: DataFrame, store: StreamStore, query: str, interval_millis: int | None, mode: str,
+    sink: str = "parquet",
+) -> StreamingQuery:
+    """Start a query of the store; its checkpoint belongs to the store, under its name."""
+    use_state_settings(store.spark)
+    writer = stream.writeStream.format(sink).outputMode(mode)
+    if sink == "parquet":
+        writer = writer.option("path", store.output(query))
+    writer = writer.option("checkpointLocation", store.checkpoint(query))
+    return with_trigger(writer, interval_millis).start()
+
+
 def run_batches(
     stream: DataFrame,
-    store: BatchStore,
     checkpoint: str,
     write: Callable[[DataFrame, int], None],
     interval_millis: int | None = INTERVAL_MILLIS,
 ) -> StreamingQuery:
-    """Start a query that calls ``write`` on each micro-batch and commits it.
+    """Start a query that calls ``write`` on each micro-batch, an ordinary DataFrame.
 
-    A store belongs to one checkpoint. Numbers of batches begin anew under another one,
-    so a query that did not commit the store's newest batch is refused.
+    A batch may run again after a failure; what it wrote has to be replaced then, as
+    `BatchFolder` does.
     """
-
-    def each(rows: DataFrame, batch_id: int) -> None:
-        query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        newest, owner = store.newest(), store.owner()
-        if newest >= 0 and owner != query:
-            raise ValueError(f"the store {store.root} belongs to the checkpoint of another query")
-        if batch_id <= newest:
-            return
-        write(rows, batch_id)
-        store.commit(batch_id, query)
-        if (batch_id + 1) % COMPACT_EVERY == 0:
-            store.compact()
-
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return with_trigger(writer, interval_millis).start()
 
 
 def run_counts(
     texts: DataFrame,
-    store: BatchStore,
-    checkpoint: str,
+    store: StreamStore,
     interval_millis: int | None = INTERVAL_MILLIS,
     text: str = "text",
 ) -> StreamingQuery:
-    """Add the counts of each micro-batch of texts to the store."""
+    """Add the words of each micro-batch of texts to the counts of the store.
+
+    The state has a row per word. Words are stemmed when counts are read, each once.
+    """
+    counted = stream_plain_counts(texts, text)
+    return started(counted, store, COUNTS, interval_millis, "update", "noop")
+
+
+def run_insert(
+    rows: DataFrame,
+    key: str,
+    order: tuple[str, ...],
+    store: StreamStore,
+    interval_millis: int | None = INTERVAL_MILLIS,
+    mark: Column | None = None,
+) -> StreamingQuery:
+    """Store the keys of a stream; the output has every row with its answer (`stream_insert`)."""
+    return started(stream_insert(rows, key, order, mark), store, SEEN, interval_millis, "append")
+
 
-    def write(rows: DataFrame, batch_id: int) -> None:
-        store.write(DELTAS, batch_id, word_counts(rows, text))
+def stream_outcomes(
+    requests: DataFrame, descriptions: DataFrame, arriving: DataFrame | None = None
+) -> DataFrame:
+    """The outcome of every request of a stream, as `request_outcome` has it, and its batch.
 
-    return run_batches(texts, store, checkpoint, write, interval_millis)
+    A product is stored by its first request that finds a description. ``descriptions`` is a
+    table, of texts or of products only, as it is when the query starts. ``arriving`` is a
+    stream of products that get a description while it runs: their requests find it from the
+    batch on in which it comes.
+    """
+    located = locate(requests).select("request_id", "ts", "url", "product_id", "host")
+    keys = described_keys(descriptions).withColumn("found", F.lit(True))
+    found = located.join(keys, "product_id", "left").select(
+        *located.columns, F.coalesce("found", F.lit(False)).alias("found")
+    )
+    told = None if arriving is None else arriving.select("product_id")
+    answers = stream_insert(found, "product_id", ORDER, request_mark(), F.col("found"), told)
+    duplicate = F.col("stored") | (F.col("may") & ~F.col("first"))
+    status = (
+        F.when(F.col("product_id").isNull(), BAD_REQUEST)
+        .when(F.col("first"), CREATED)
+        .when(duplicate, OK)
+        .otherwise(NOT_FOUND)
+    )
+    rows = answers.withColumn("status", status.cast("bigint")).withColumn("message", message())
+    return rows.select("request_id", "ts", "product_id", "host", "status", "message", BATCH)
 
 
 def run_requests(
     requests: DataFrame,
-    descriptions: Descriptions,
-    store: BatchStore,
-    checkpoint: str,
+    descriptions: DataFrame,
+    store: StreamStore,
     interval_millis: int | None = INTERVAL_MILLIS,
-    publish: Callable[[DataFrame], None] | None = None,
-    described: Descriptions | None = None,
+    arriving: DataFrame | None = None,
 ) -> StreamingQuery:
-    """The whole service: outcomes, stored products, descriptions and counts per batch.
+    """Answer the requests of a stream (`stream_outcomes`); products are kept in its state.
 
-    Later steps of a batch read what the earlier ones wrote, so no step is computed
-    twice and all agree on which request came first. ``publish`` is given the accepted
-    descriptions of each batch, to send them on; a batch that runs again sends them again.
+    Which products are described is written down once, so that no batch reads the texts.
+    """
+    described = written(described_keys(descriptions), "described")
+    outcomes = stream_outcomes(requests, described, arriving)
+    return started(outcomes, store, OUTCOMES, interval_millis, "append")
+
+
+def stream_accepted(store: StreamStore, descriptions: DataFrame) -> DataFrame:
+    """``product_id, text`` of the products that the store's requests have stored, as a stream.
 
-    The files of a table are listed when it is made. Descriptions that arrive while the
-    query runs are seen if ``descriptions`` is a function, which is called in each batch.
-    ``described``, a table of the products that have one or a function too, saves looking
-    through the texts for them.
+    ``descriptions`` is a table or, if some come while the stream runs, a stream of all of
+    them, which are then kept in its state until their product is asked for.
     """
+    created = store.stream(OUTCOMES, OUTCOMES_SCHEMA).where(F.col("status") == CREATED)
+    texts = descriptions.where(F.col("text").isNotNull()).select("product_id", "text")
+    return created.select("product_id").join(texts, "product_id")
 
-    def present(table: Descriptions) -> DataFrame:
-        return table if isinstance(table, DataFrame) else table()
-
-    def write(rows: DataFrame, batch_id: int) -> None:
-        texts = present(descriptions)
-        keys = texts if described is None else present(described)
-        store.write(PRODUCTS, batch_id, requested_products(rows))
-        products = store.part(PRODUCTS, batch_id)
-        seen = store.seen(products)
-        outcomes = request_outcome(rows, keys, seen, products)
-        store.write(OUTCOMES, batch_id, outcomes)
-        created = F.col("status") == CREATED
-        fresh = store.part(OUTCOMES, batch_id).where(created).select("product_id")
-        store.write(SEEN, batch_id, fresh)
-        accepted = texts.join(store.part(SEEN, batch_id), "product_id")
-        store.write(DESCRIPTIONS, batch_id, accepted.select("product_id", "text"))
-        accepted = store.part(DESCRIPTIONS, batch_id)
-        store.write(DELTAS, batch_id, word_counts(accepted))
-        if publish is not None:
-            publish(accepted)
-
-    return run_batches(requests, store, checkpoint, write, interval_millis)
+
+def run_accepted(
+    store: StreamStore, descriptions: DataFrame, interval_millis: int | None = INTERVAL_MILLIS
+) -> StreamingQuery:
+    """Write the accepted descriptions, each once, as the input of further queries."""
+    accepted = stream_accepted(store, descriptions)
+    return started(accepted, store, DESCRIPTIONS, interval_millis, "append")
