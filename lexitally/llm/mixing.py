@@ -1,9 +1,15 @@
 """Mixing sources to target weights: raking by iterative proportional fitting.
 
 Tokens are added up per cell, a combination of the values of all dimensions. Probabilities of
-the cells begin equal and are fitted to the wanted tokens of each dimension's values in turn,
-never beyond one; documents are then sampled with the probability of their cell. A cell that
-is wanted more than it holds is taken whole, and later rounds make the rest up elsewhere.
+the cells begin equal and are fitted to the wanted tokens of each dimension's values in turn;
+documents are then sampled with the probability of their cell.
+
+A value that is wanted more than it holds is taken whole, and what it lacks is shared out among
+the others of its dimension by their weights, so that every dimension has the whole budget.
+Cells keep a weight, of which the probability is what lies below one: a cell that is full goes
+on being fitted, and others of its values make up for it. This ends when all margins are met to
+`TOLERANCE`; where they contradict each other, after `ROUNDS`, and the error tells how far off
+they are.
 
 Only the table of cells is gone over again and again; it is written between rounds. Its size
 is that of the combinations that occur, not of the documents.
@@ -16,8 +22,8 @@ from pyspark.sql import functions as F
 
 from lexitally.session import written
 
-# Rounds over all dimensions.
-ROUNDS = 8
+# Rounds over all dimensions at most, and the largest relative error of a margin that ends them.
+ROUNDS, TOLERANCE = 64, 1e-12
 # Bytes of text per token, by which tokens are estimated; every document has one more.
 BYTES_PER_TOKEN = 4
 # Sizes, in bytes, at which a text changes its class.
@@ -51,36 +57,72 @@ def given(weights: dict[str, float], others: float = 0.0) -> Column:
     return found
 
 
+def wanted(sums: DataFrame, share: float) -> DataFrame:
+    """``sums`` (``value, tokens, weight``) with ``want``: the share of all tokens, dealt out by
+    weight, with no value getting more than it has while another can still take some."""
+    total, weights = F.sum("tokens"), F.sum("weight")
+    whole = sums.agg(total.alias("tokens"), weights.alias("weights")).first()
+    budget = share * (whole["tokens"] or 0)
+    level, before = budget / (whole["weights"] or 1.0), None
+    # More values are full each time, until none is added.
+    while level != before:
+        full = F.col("tokens") <= F.lit(level) * F.col("weight")
+        left = sums.agg(
+            F.sum(F.when(full, F.col("tokens"))).alias("tokens"),
+            F.sum(F.when(~full, F.col("weight"))).alias("weights"),
+        ).first()
+        if not left["weights"]:
+            break
+        before, level = level, (budget - (left["tokens"] or 0)) / left["weights"]
+    most = F.least(F.col("tokens").cast("double"), F.lit(float(level)) * F.col("weight"))
+    return sums.withColumn("want", most)
+
+
 def fitted(
     cells: DataFrame, targets: dict[str, Column], share: float, rounds: int = ROUNDS
 ) -> DataFrame:
-    """``cells`` (the dimensions and ``tokens``) with ``probability``.
+    """``cells`` (the dimensions and ``tokens``) with ``probability`` and ``error``, the largest
+    relative error of a margin.
 
     ``targets`` gives for each dimension the weight of its values, as a column over
     ``value`` and ``tokens``; weights need not sum to anything. ``share`` of all tokens is
     wanted in total. Where all weights of a dimension are zero, nothing is wanted.
     """
-    total = F.sum("tokens")
-    wanted = {}
+    margins = {}
     for name, weight in targets.items():
-        sums = cells.groupBy(F.col(name).alias("value")).agg(total.alias("tokens"))
+        sums = cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").alias("tokens"))
         sums = written(sums.withColumn("weight", weight.cast("double")), "mixing-targets")
-        whole = sums.agg(F.sum("weight").alias("weights"), total.alias("tokens")).first()
-        budget = share * (whole["tokens"] or 0) / (whole["weights"] or 1.0)
-        wanted[name] = sums.select(
-            F.col("value").alias(name), (F.col("weight") * budget).alias("want")
+        margins[name] = written(
+            wanted(sums, share).select(F.col("value").alias(name), "want"), "mixing-wanted"
         )
-    now = cells.withColumn("probability", F.lit(float(share)))
+    probability = F.least(F.lit(1.0), F.col("w"))
+    full = F.col("w") >= 1
+    now = cells.withColumn("w", F.lit(float(share)))
     for _ in range(rounds):
-        for name, want in wanted.items():
-            have = now.groupBy(name).agg(F.sum(F.col("tokens") * F.col("probability")).alias("have"))
-            factors = have.join(want, name).select(
-                name, F.when(F.col("have") > 0, F.col("want") / F.col("have")).alias("factor")
+        now = now.withColumn("error", F.lit(0.0))
+        for name, want in margins.items():
+            have = now.groupBy(name).agg(
+                F.sum(F.col("tokens") * probability).alias("have"),
+                F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("filled"),
+                F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("w"))).alias("rest"),
+            )
+            lacks = F.col("want") - F.col("filled")
+            factor = (
+                F.when((lacks > 0) & (F.col("rest") > 0), lacks / F.col("rest"))
+                .when(F.col("have") > 0, F.col("want") / F.col("have"))
+                .otherwise(1.0)
+            )
+            off = F.abs(F.col("have") - F.col("want")) / F.greatest(F.col("want"), F.lit(1e-9))
+            factors = have.join(want, name).select(name, factor.alias("factor"), off.alias("off"))
+            now = now.join(factors, name).select(
+                *cells.columns, (F.col("w") * F.col("factor")).alias("w"),
+                F.greatest("error", "off").alias("error"),
             )
-            fit = F.least(F.lit(1.0), F.col("probability") * F.coalesce("factor", F.lit(0.0)))
-            now = now.join(factors, name).withColumn("probability", fit).drop("factor")
         now = written(now, "mixing-cells")
-    return now
+        error = now.agg(F.max("error").alias("error")).first()["error"]
+        if error is None or error < TOLERANCE:
+            break
+    return now.select(*cells.columns, probability.alias("probability"), F.lit(error or 0.0).alias("error"))
 
 
 def draw(id_col: str, seed: str) -> Column:
@@ -99,7 +141,8 @@ def mixed(
     seed: str = "mix",
     rounds: int = ROUNDS,
 ) -> DataFrame:
-    """``row`` (the row itself), the dimensions, ``tokens``, ``probability``, ``kept``.
+    """``row`` (the row itself), the dimensions, ``tokens``, ``probability``, ``kept``, and
+    ``error``, how far the margins are off at most, relative to what was wanted.
 
     Every row is returned, repeated ones too; rows of one id are kept or left together. A
     null value of a dimension is the same as an empty one. A null text has one token. An
@@ -118,11 +161,12 @@ def mixed(
     )
     cells = written(rows.groupBy(*named).agg(F.sum("tokens").alias("tokens")), "mixing-sums")
     fit = fitted(cells, {short: targets[name] for short, name in named.items()}, share, rounds)
-    probable = rows.join(fit.select(*named, "probability"), list(named))
+    probable = rows.join(fit.select(*named, "probability", "error"), list(named))
     return probable.select(
         "row",
         *[F.col(short).alias(name) for short, name in named.items()],
         "tokens",
         "probability",
         (F.col("draw") < F.col("probability")).alias("kept"),
+        "error",
     )

@@ -72,6 +72,10 @@ EXACT_DEDUP = """SELECT doc_id, max(doc_id) OVER same AS keep_id,
     FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
+# Rounds of raking, enough for the tables at hand: the weights no longer change by then.
+MIX_ROUNDS = 32
+
+
 def mixed(documents: str, powers: dict[str, float], share: float, seed: str = "mix") -> str:
     """A chain of common tables that ends in ``drawn``: one row per document."""
     classes = " ".join(f"WHEN strlen(text) < {below} THEN '{name}'" for name, below in mix.CLASSES)
@@ -87,26 +91,39 @@ def mixed(documents: str, powers: dict[str, float], share: float, seed: str = "m
           / {1 << 52}::DOUBLE AS draw
       FROM filled),
     cells0 AS MATERIALIZED (
-      SELECT {names}, sum(tokens)::DOUBLE AS tokens, {share}::DOUBLE AS p
+      SELECT {names}, sum(tokens)::DOUBLE AS tokens, {share}::DOUBLE AS w
       FROM classed GROUP BY {names})"""
     for name, power in powers.items():
+        # Values by how soon they are full; the first that is not sets the level for all.
         chain += f""",
+    sums_{name} AS MATERIALIZED (
+      SELECT {name}, sum(tokens) AS have, pow(sum(tokens), {power}) AS weight
+      FROM cells0 GROUP BY {name}),
+    levels_{name} AS MATERIALIZED (
+      SELECT *, ({share} * sum(have) OVER () - coalesce(sum(have) OVER before, 0))
+        / sum(weight) OVER rest AS level FROM sums_{name}
+      WINDOW before AS (ORDER BY have / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        rest AS (ORDER BY have / weight, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
     want_{name} AS MATERIALIZED (
-      SELECT {name}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER ()
-        * sum(sum(tokens)) OVER () * {share} AS want FROM cells0 GROUP BY {name})"""
+      SELECT {name}, least(have, weight * (SELECT arg_min(level, have / weight)
+        FILTER (level * weight <= have) FROM levels_{name})) AS want FROM sums_{name})"""
     step = 0
-    for _ in range(mix.ROUNDS):
+    for _ in range(MIX_ROUNDS):
         for name in powers:
             chain += f""",
     cells{step + 1} AS MATERIALIZED (
-      SELECT c.* REPLACE (least(1.0, p * want / have) AS p) FROM cells{step} c
-      JOIN (SELECT {name}, sum(tokens * p) AS have FROM cells{step} GROUP BY {name})
+      SELECT c.* REPLACE (w * CASE WHEN want > filled AND rest > 0 THEN (want - filled) / rest
+        ELSE want / have END AS w) FROM cells{step} c
+      JOIN (SELECT {name}, sum(tokens * least(1.0, w)) AS have,
+          sum(CASE WHEN w >= 1 THEN tokens ELSE 0 END) AS filled,
+          sum(CASE WHEN w >= 1 THEN 0 ELSE tokens * w END) AS rest
+        FROM cells{step} GROUP BY {name})
         USING ({name}) JOIN want_{name} USING ({name}))"""
             step += 1
     return chain + f""",
     drawn AS MATERIALIZED (
       SELECT d.doc_id, {names}, d.tokens, round(p, 6) AS probability, draw < p AS kept
-      FROM classed d JOIN (SELECT {names}, p FROM cells{step}) USING ({names}))"""
+      FROM classed d JOIN (SELECT {names}, least(1.0, w) AS p FROM cells{step}) USING ({names}))"""
 
 
 def mixing(powers: dict[str, float], share: float) -> str:
