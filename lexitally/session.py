@@ -82,6 +82,39 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job below a folder of their own, which go when they are not needed."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root = spark, scratch_dir(spark, name)
+        self.count = 0
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def written(self, rows: DataFrame, name: str) -> DataFrame:
+        """The rows as a table, as `written` has it."""
+        self.count += 1
+        path = f"{self.root}/{name}-{self.count}"
+        rows.write.parquet(path)
+        table = self.spark.read.schema(rows.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing will read again."""
+        for table, path in self.tables:
+            if any(table is other for other in tables):
+                remove(self.spark, path)
+        self.tables = [(t, path) for t, path in self.tables if not any(t is other for other in tables)]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables but these."""
+        self.drop(*[t for t, _ in self.tables if not any(t is other for other in tables)])
+
+    def close(self) -> None:
+        """Remove all that is left."""
+        remove(self.spark, self.root)
+
+
 def dealt_out(table: DataFrame) -> DataFrame:
     """The table over as many tasks as the session asks for, if it does."""
     tasks = table.sparkSession.conf.get(DEAL_OUT, None)

@@ -7,7 +7,7 @@ import random
 import pytest
 from lexitally.operators import counts, keyset, requests
 from lexitally.plans.jobs import feed_of
-from lexitally.session import remove, scratch_dir, written
+from lexitally.session import Scratch, remove, scratch_dir, written
 from lexitally.sources import feeds, stores
 from lexitally.sources.tables import request_rows
 from lexitally.streaming import jobs
@@ -400,3 +400,15 @@ def test_a_scratch_folder_can_be_removed(spark, folder):
     part(spark, 0).write.parquet(f"{folder}/table")
     assert remove(spark, f"{folder}/table") and not remove(spark, f"{folder}/table")
     assert not os.path.exists(f"{folder}/table")
+
+
+def test_scratch_tables_go(spark):
+    scratch = Scratch(spark, "tables")
+    one, two, three = (scratch.written(part(spark, i), f"t{i}") for i in range(3))
+    scratch.drop(one)
+    scratch.keep(three)
+    places = glob.glob(f"{scratch.root.removeprefix('file://')}/*")
+    assert [os.path.basename(place) for place in places] == ["t2-3"]
+    assert sorted(map(str, three.collect())) == sorted(map(str, part(spark, 2).collect()))
+    scratch.close()
+    assert not os.path.exists(scratch.root.removeprefix("file://"))
