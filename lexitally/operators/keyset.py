@@ -220,3 +220,47 @@ def maybe_contains(rows: DataFrame, bits: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("contained", F.coalesce("contained", F.lit(False))).select(
         *rows.columns, "contained"
     )
+
+
+def merge_bitmaps(*pages: DataFrame) -> DataFrame:
+    """Bitmap pages of several batches as those of one set that has all their bits."""
+    columns = ["bucket", "page", "bits"]
+    every = pages[0].select(columns)
+    for more in pages[1:]:
+        every = every.unionByName(more.select(columns))
+    merged = every.groupBy("bucket", "page").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return merged.withColumn("n", F.bitmap_count("bits"))
+
+
+def bit_is_set(bits: Column, position: Column) -> Column:
+    """Is the bit at a position, counted from 0, set in a bitmap?"""
+    byte = F.conv(F.hex(F.substr(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    return F.getbit(byte.cast("bigint"), F.pmod(position, F.lit(8)).cast("int")) == 1
+
+
+def set_and_report(rows: DataFrame, pages: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """A batch of rows, each with ``was_set``: was its key's bit set before the batch? And the
+    bitmap pages with the batch's bits set as well.
+
+    Two keys may share a bit: a stored key is always reported as set, a new one seldom is. A row
+    without a key sets no bit. Addresses are worked out and looked up once per distinct key, and
+    only the pages that the batch touches are joined to it.
+    """
+    keys = rows.where(F.col(key).isNotNull()).select(key).distinct()
+    at = with_once(keys, _a=key_address(F.col(key)))
+    place = F.col("_a.offset") + 1  # positions in Spark's bitmaps begin with 1
+    at = at.select(
+        key, F.col("_a.bucket").alias("bucket"), F.bitmap_bucket_number(place).alias("page"),
+        F.bitmap_bit_position(place).alias("bit"),
+    )
+    found = at.join(pages.select("bucket", "page", "bits"), ["bucket", "page"], "left")
+    flags = found.select(key, F.coalesce(bit_is_set(F.col("bits"), F.col("bit")), F.lit(False)).alias("was_set"))
+    joined = rows.join(flags, key, "left")
+    answered = joined.withColumn("was_set", F.coalesce("was_set", F.lit(False)))
+    return answered.select(*rows.columns, "was_set"), merge_bitmaps(pages, seen_bitmaps(seen_bits(rows, key)))
+
+
+def no_bitmaps(rows: DataFrame) -> DataFrame:
+    """The bitmap pages of an empty set, in the session of some rows."""
+    schema = "bucket INT, page BIGINT, bits BINARY, n BIGINT"
+    return rows.sparkSession.createDataFrame([], schema)

@@ -375,6 +375,10 @@ def oracle_sql() -> dict[str, str]:
         " AND row_number() OVER (PARTITION BY product_id ORDER BY ts, request_id) = 1 AS first"
         " FROM parts)"
     )
+    keys_in_parts = (
+        f"WITH {REQUESTS},\n{LOCATED}, parts AS (SELECT *, {batch} AS batch_id FROM located),"
+        " keys AS (SELECT DISTINCT product_id AS key FROM parts WHERE product_id IS NOT NULL)"
+    )
     steps = {
         "drop_plural": 1, "drop_past_and_gerund": 2, "final_y_to_i": 3,
         "swap_double_suffixes": 4, "swap_single_suffixes": 5, "drop_last_suffix": 6,
@@ -580,6 +584,19 @@ def oracle_sql() -> dict[str, str]:
             " LEFT JOIN addresses a ON a.key = l.product_id"
             ' LEFT JOIN bits b ON b.bucket = a.bucket AND b."offset" = a."offset"'
         ),
+        "set_and_report": (
+            f"{keys_in_parts}, {ADDRESSES},"
+            ' set_by AS (SELECT a.bucket, a."offset", min(p.batch_id) AS first FROM parts p'
+            ' JOIN addresses a ON a.key = p.product_id GROUP BY a.bucket, a."offset")'
+            " SELECT p.request_id, p.product_id, p.batch_id,"
+            " coalesce(s.first < p.batch_id, false) AS was_set FROM parts p"
+            " LEFT JOIN addresses a ON a.key = p.product_id"
+            ' LEFT JOIN set_by s ON s.bucket = a.bucket AND s."offset" = a."offset"'
+        ),
+        "merged_bitmaps": (
+            f'{keys_in_parts}, {ADDRESSES} SELECT bucket, count(DISTINCT "offset") AS bits,'
+            ' count(DISTINCT "offset" // 32768) AS pages FROM addresses GROUP BY bucket'
+        ),
         "ranked_words": documents_counts,
         "top_k": _counts(
             "", "documents", f"SELECT word, n FROM counts QUALIFY {RANKED} <= 10"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -476,6 +477,30 @@ def approx_contains(spark, folder):
     return keyset.maybe_contains(located, bits, "product_id")
 
 
+def set_in_batches(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Requests of three batches with their answers from a bit set, and its pages at the end."""
+    located = asked.locate(requests(spark, folder)).select("request_id", "ts", "product_id")
+    pages, answers = keyset.no_bitmaps(located), []
+    for batch_id, part in enumerate(jobs.parts_by_time(located, "ts", PART_CUTS)):
+        answered, pages = keyset.set_and_report(part, pages, "product_id")
+        pages = written(pages, "pages")
+        answers.append(answered.withColumn(stores.BATCH, F.lit(batch_id).cast("bigint")))
+    return reduce(DataFrame.unionByName, answers).drop("ts"), pages
+
+
+@query
+def set_and_report(spark, folder):
+    """Every request with the answer if its product's bit was set by an earlier batch."""
+    return set_in_batches(spark, folder)[0]
+
+
+@query
+def merged_bitmaps(spark, folder):
+    """How many bits are set per bucket in pages that were merged batch by batch."""
+    pages = set_in_batches(spark, folder)[1]
+    return pages.groupBy("bucket").agg(F.sum("n").alias("bits"), F.count("*").alias("pages"))
+
+
 # --- ranking --------------------------------------------------------------------------
 
 

@@ -354,3 +354,22 @@ def test_bit_sets(spark):
     # Bits of two batches put together give each row once.
     twice = keyset.maybe_contains(probes, bits.unionByName(bits), "k")
     assert twice.count() == probes.count()
+
+
+def test_bitmaps_batch_by_batch(spark):
+    keys = [[f"P{i}" for i in range(a, b)] + [None, f"P{a}"] for a, b in ((0, 300), (200, 500), (0, 10))]
+    pages, known = None, set()
+    for some in keys:
+        rows = spark.createDataFrame([(k, i) for i, k in enumerate(some)], "k string, i int")
+        pages = keyset.no_bitmaps(rows) if pages is None else pages
+        answered, pages = keyset.set_and_report(rows, pages, "k")
+        found = answered.collect()
+        assert sorted((r.i, r.k) for r in found if r.k) == [(i, k) for i, k in enumerate(some) if k]
+        # These keys share no bit.
+        assert {r.k: r.was_set for r in found} == {k: k in known for k in some}
+        known |= {k for k in some if k}
+    once = keyset.seen_bitmaps(keyset.seen_bits(spark.createDataFrame([(k,) for k in known], "k string"), "k"))
+    assert sorted(map(str, pages.collect())) == sorted(map(str, once.select(pages.columns).collect()))
+    bits = spark.range(8).agg(F.bitmap_construct_agg(F.col("id") * 3).alias("m"))
+    flags = bits.select(*[keyset.bit_is_set(F.col("m"), F.lit(p)).alias(f"p{p}") for p in range(24)]).first()
+    assert [p for p in range(24) if flags[p]] == list(range(0, 24, 3))
