@@ -26,6 +26,8 @@ from lexitally.session import written
 # Slots of a bucket, and moves after which a table counts as full.
 SLOTS = 4
 KICKS = 128
+# Digests that a task's index holds before it is given out and begun anew.
+HELD = 200_000
 # What an entry of a task's input is.
 STORED, REMOVED, ADDED = 0, 1, 2
 
@@ -129,22 +131,39 @@ def _larger(one: Any, other: Any) -> Any:
     return max(one, other)
 
 
-def _indexed(entries: DataFrame) -> DataFrame:
+def _indexed(entries: DataFrame, held: int, in_order: bool) -> DataFrame:
     """``digest, keep_id, n`` of what is live after each task's entries, in their order.
 
-    ``entries`` are ``kind, digest, keep_id, n``.
+    ``entries`` are ``kind, digest, keep_id, n``. An index that holds ``held`` digests is given
+    out and begun anew, at once or, if the entries are in order of the digests' first two bytes,
+    when these change: then all entries of a digest meet in one index.
     """
     kept = entries.select("digest", "keep_id", "n")
     schema = kept.schema
-    id_type = None
+
+    def given(index: CuckooIndex, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        live = list(index.live())
+        for i in range(0, len(live), 10_000):
+            part = live[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([key for key, _ in part], pa.binary()),
+                    pa.array([value[0] for _, value in part], id_type),
+                    pa.array([value[1] for _, value in part], pa.int64()),
+                ],
+                names=["digest", "keep_id", "n"],
+            )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = CuckooIndex()
+        index, id_type, before = CuckooIndex(), pa.null(), None
         for batch in batches:
-            nonlocal id_type
             id_type = batch.schema.field("keep_id").type
             columns = (batch.column(c).to_pylist() for c in ("kind", "digest", "keep_id", "n"))
             for kind, digest, keep_id, n in zip(*columns):
+                if len(index) >= held and (not in_order or digest[:2] != before):
+                    yield from given(index, id_type)
+                    index = CuckooIndex()
+                before = digest[:2]
                 if kind == REMOVED:
                     index.delete(digest)
                     continue
@@ -155,17 +174,7 @@ def _indexed(entries: DataFrame) -> DataFrame:
                     value = index.values[row]
                     value[0] = _larger(value[0], keep_id)
                     value[1] += n
-        live = list(index.live())
-        for i in range(0, len(live), 10_000):
-            part = live[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([key for key, _ in part], pa.binary()),
-                    pa.array([value[0] for _, value in part], id_type),
-                    pa.array([value[1] for _, value in part], pa.int64()),
-                ],
-                names=["digest", "keep_id", "n"],
-            )
+        yield from given(index, id_type)
 
     return entries.mapInArrow(work, schema)
 
@@ -181,13 +190,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def changed_index(
-    index: DataFrame | None, added: DataFrame | None = None, removed: DataFrame | None = None
+    index: DataFrame | None, added: DataFrame | None = None, removed: DataFrame | None = None,
+    held: int = HELD,
 ) -> DataFrame:
     """The index after a change: ``digest, keep_id, n`` per live digest.
 
     ``added`` are rows of ``doc_id, digest``, ``removed`` digests that are to go, whatever
     their number of rows; what is both removed and added is live with the added rows only.
-    A digest that is not live can be removed without effect.
+    A digest that is not live can be removed without effect. A task holds little more than
+    ``held`` digests at a time.
     """
     parts = []
     if index is not None:
@@ -195,7 +206,7 @@ def changed_index(
     if added is not None:
         own = added.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).alias("n"))
         # Copies that one task reads are put together before anything is sent.
-        parts.append(_entries(_indexed(_entries(own, ADDED)), ADDED))
+        parts.append(_entries(_indexed(_entries(own, ADDED), held, False), ADDED))
     if removed is not None:
         id_type = (parts[0].schema["keep_id"].dataType) if parts else T.LongType()
         gone = removed.select("digest", F.lit(None).cast(id_type).alias("keep_id"), F.lit(0).alias("n"))
@@ -203,7 +214,8 @@ def changed_index(
     entries = parts[0]
     for part in parts[1:]:
         entries = entries.unionByName(part)
-    return _indexed(entries.repartition("digest").sortWithinPartitions("kind"))
+    ordered = entries.repartition("digest").sortWithinPartitions(F.substring("digest", 1, 2), "kind")
+    return _indexed(ordered, held, True)
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

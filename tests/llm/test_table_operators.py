@@ -296,7 +296,8 @@ def test_cuckoo_index_grows_and_tells_equal_prints_apart():
     assert [index.values[index.find(one)] for one in keys] == list(range(len(keys)))
 
 
-def test_changed_index(spark):
+@pytest.mark.parametrize("held", [1, 2, exact_dedup.HELD])
+def test_changed_index(spark, held):
     def rows(pairs):
         return spark.createDataFrame(pairs, "doc_id long, text string")
 
@@ -306,9 +307,24 @@ def test_changed_index(spark):
     def digest(text):
         return hashlib.sha256(text.encode()).digest()
 
-    first = exact_dedup.changed_index(None, exact_dedup.digests(rows([(1, "a"), (5, "a"), (2, "b")])))
+    first = exact_dedup.changed_index(None, exact_dedup.digests(rows([(1, "a"), (5, "a"), (2, "b")])), held=held)
     assert live(first) == {(digest("a"), 5, 2), (digest("b"), 2, 1)}
     gone = exact_dedup.digests(rows([(0, "a"), (0, "z")])).select("digest")
     more = exact_dedup.digests(rows([(3, "a"), (9, "c"), (1, "b")]))
-    second = exact_dedup.changed_index(first, more, gone)
+    second = exact_dedup.changed_index(first, more, gone, held)
     assert live(second) == {(digest("a"), 3, 1), (digest("b"), 2, 2), (digest("c"), 9, 1)}
+
+
+def test_an_index_that_begins_anew_loses_nothing(spark):
+    """Few digests are held, so every task gives out many indexes of its entries."""
+    texts = [(i, f"text {i % 400}") for i in range(3000)]
+    found = exact_dedup.digests(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
+    index = exact_dedup.changed_index(None, found, held=5)
+    gone = found.where(F.col("doc_id") < 100).select("digest")
+    for some, n in ((index, 400), (exact_dedup.changed_index(index, None, gone, 5), 300)):
+        rows = some.collect()
+        assert len(rows) == len({bytes(r.digest) for r in rows}) == n
+        assert {(bytes(r.digest), r.keep_id, r.n) for r in rows} <= {
+            (hashlib.sha256(f"text {i}".encode()).digest(), max(range(i, 3000, 400)), len(range(i, 3000, 400)))
+            for i in range(400)
+        }
