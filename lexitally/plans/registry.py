@@ -14,7 +14,7 @@ from lexitally.operators import counts, keyset, ranking
 from lexitally.operators import requests as asked
 from lexitally.plans import jobs
 from lexitally.session import scratch_dir, written
-from lexitally.sources import feeds, stores
+from lexitally.sources import feeds, stores, topic
 from lexitally.sources.tables import (
     description_rows,
     descriptions,
@@ -54,14 +54,22 @@ def scan_requests(spark, folder):
     return requests(spark, folder)
 
 
+def published(spark, parts: list[DataFrame], name: str) -> str:
+    """A topic with the descriptions of some parts, a micro-batch each."""
+    root = scratch_dir(spark, name)
+    records = feeds.topic_records(jobs.feed_of(spark, parts, root))
+    writer = topic.topic_writer(records, f"{root}/topic")
+    writer = writer.option("checkpointLocation", f"{root}/checkpoint")
+    streams.with_trigger(writer, None).start().awaitTermination()
+    return f"{root}/topic"
+
+
 @query
 def stream_source(spark, folder):
-    """Every description through a stream of key and value records."""
+    """Every description through a topic of key and value records, followed from its start."""
     root = scratch_dir(spark, "source")
-    stream = feeds.table_stream(spark, f"{folder}/documents.parquet").select(
-        F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("product_id"), "text"
-    )
-    received = feeds.topic_text(feeds.topic_records(stream))
+    place = published(spark, [descriptions(spark, folder)], "topic")
+    received = feeds.topic_text(topic.follow_topic(spark, place, "earliest"))
     writer = received.writeStream.format("parquet").option("path", f"{root}/out")
     writer = writer.option("checkpointLocation", f"{root}/checkpoint")
     streams.with_trigger(writer, None).start().awaitTermination()
@@ -103,13 +111,9 @@ def xml_editorial_review(spark, folder):
 
 @query
 def publish_descriptions(spark, folder):
-    """The accepted descriptions, appended batch by batch and read back."""
-    store = stores.BatchFolder(spark, scratch_dir(spark, "publish"))
-    accepted = written(accepted_descriptions(spark, folder), "accepted")
-    for batch_id, part in enumerate(jobs.parts_by_time(accepted, "ts", PART_CUTS)):
-        store.write(stores.DESCRIPTIONS, batch_id, feeds.topic_records(part))
-    records = store.read(stores.DESCRIPTIONS, "key BINARY, value BINARY")
-    return feeds.topic_text(records, stores.BATCH)
+    """The accepted descriptions, appended to a topic batch by batch and read back."""
+    place = published(spark, accepted_parts(spark, folder), "publish")
+    return feeds.topic_text(topic.read_topic(spark, place), F.col("batch").alias(stores.BATCH))
 
 
 def inserted(spark, folder) -> stores.StreamStore:

@@ -107,8 +107,14 @@ class Scratch:
         self.tables = [(t, path) for t, path in self.tables if not any(t is other for other in tables)]
 
     def keep(self, *tables: DataFrame) -> None:
-        """Remove all tables but these."""
+        """Remove all tables but these, and the shuffle files of jobs that are done."""
         self.drop(*[t for t, _ in self.tables if not any(t is other for other in tables)])
+        self.settle()
+
+    def settle(self) -> None:
+        """Let Spark remove shuffle files that nothing refers to: it finds out when the driver
+        collects garbage, which by itself may be long after."""
+        self.spark._jvm.System.gc()
 
     def close(self) -> None:
         """Remove all that is left."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitally.session import file_system
@@ -48,7 +48,7 @@ def topic_stream(
     return topic_text(reader.load())
 
 
-def topic_text(records: DataFrame, *others: str) -> DataFrame:
+def topic_text(records: DataFrame, *others: str | Column) -> DataFrame:
     """Records of a topic as ``product_id, text``, next to other columns of theirs."""
     return records.select(
         F.col("key").cast("string").alias("product_id"),
