@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lexitally.session import written
 
 # Rounds over all dimensions at most, and the largest relative error of a margin that ends them.
-ROUNDS, TOLERANCE = 64, 1e-12
+ROUNDS, TOLERANCE = 64, 1e-9
 # Bytes of text per token, by which tokens are estimated; every document has one more.
 BYTES_PER_TOKEN = 4
 # Sizes, in bytes, at which a text changes its class.
@@ -88,38 +88,40 @@ def fitted(
     ``value`` and ``tokens``; weights need not sum to anything. ``share`` of all tokens is
     wanted in total. Where all weights of a dimension are zero, nothing is wanted.
     """
-    margins = {}
+    wants = {}
+    now = cells.withColumn("w", F.lit(float(share)))
     for name, weight in targets.items():
         sums = cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").alias("tokens"))
         sums = written(sums.withColumn("weight", weight.cast("double")), "mixing-targets")
-        margins[name] = written(
-            wanted(sums, share).select(F.col("value").alias(name), "want"), "mixing-wanted"
-        )
+        wants[name] = F.col(f"want_{name}")
+        want = wanted(sums, share).select(F.col("value").alias(name), F.col("want").alias(f"want_{name}"))
+        now = now.join(want, name)
+    now = written(now, "mixing-cells")
+    columns = now.columns
     probability = F.least(F.lit(1.0), F.col("w"))
     full = F.col("w") >= 1
-    now = cells.withColumn("w", F.lit(float(share)))
     for _ in range(rounds):
         now = now.withColumn("error", F.lit(0.0))
-        for name, want in margins.items():
+        for name, want in wants.items():
             have = now.groupBy(name).agg(
                 F.sum(F.col("tokens") * probability).alias("have"),
                 F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("filled"),
                 F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("w"))).alias("rest"),
             )
-            lacks = F.col("want") - F.col("filled")
+            lacks = want - F.col("filled")
             factor = (
                 F.when((lacks > 0) & (F.col("rest") > 0), lacks / F.col("rest"))
-                .when(F.col("have") > 0, F.col("want") / F.col("have"))
+                .when(F.col("have") > 0, want / F.col("have"))
                 .otherwise(1.0)
             )
-            off = F.abs(F.col("have") - F.col("want")) / F.greatest(F.col("want"), F.lit(1e-9))
-            factors = have.join(want, name).select(name, factor.alias("factor"), off.alias("off"))
-            now = now.join(factors, name).select(
-                *cells.columns, (F.col("w") * F.col("factor")).alias("w"),
-                F.greatest("error", "off").alias("error"),
+            off = F.abs(F.col("have") - want) / F.greatest(want, F.lit(1e-9))
+            now = now.join(have, name).select(
+                *[(F.col("w") * factor).alias("w") if c == "w" else c for c in columns],
+                F.greatest("error", off).alias("error"),
             )
         now = written(now, "mixing-cells")
         error = now.agg(F.max("error").alias("error")).first()["error"]
+        now = now.drop("error")
         if error is None or error < TOLERANCE:
             break
     return now.select(*cells.columns, probability.alias("probability"), F.lit(error or 0.0).alias("error"))

@@ -59,7 +59,7 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     return mixture(docs).select(
         "row.doc_id", "source", "lang", "topic", "tokens",
-        F.round("probability", 6).alias("probability"), "kept",
+        F.round("probability", 4).alias("probability"), "kept",
     )
 
 

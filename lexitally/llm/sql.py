@@ -122,7 +122,7 @@ def mixed(documents: str, powers: dict[str, float], share: float, seed: str = "m
             step += 1
     return chain + f""",
     drawn AS MATERIALIZED (
-      SELECT d.doc_id, {names}, d.tokens, round(p, 6) AS probability, draw < p AS kept
+      SELECT d.doc_id, {names}, d.tokens, round(p, 4) AS probability, draw < p AS kept
       FROM classed d JOIN (SELECT {names}, least(1.0, w) AS p FROM cells{step}) USING ({names}))"""
 
 
