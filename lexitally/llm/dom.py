@@ -7,10 +7,15 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
-# Elements that hold no text of the page.
+# Elements that hold no text of the page. But for the head they may stand inside a line of text,
+# which goes on behind them.
 SILENT = frozenset(
-    "head script style template noscript iframe object svg math select textarea button "
-    "datalist audio video canvas".split()
+    "head title script style template noscript iframe object svg annotation annotation-xml "
+    "select textarea button datalist audio video canvas".split()
+)
+# What may stand in the head; anything else ends it.
+IN_HEAD = frozenset(
+    "head base basefont bgsound link meta title noscript script style template noframes".split()
 )
 # Of these the content is not markup.
 RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
@@ -18,7 +23,9 @@ RAW = frozenset("script style textarea title iframe noscript noembed noframes xm
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map "
     "mark meter nobr output picture progress q ruby rp rt s samp small source span strike "
-    "strong sub sup time tt u var wbr input".split()
+    "strong sub sup time tt u var wbr input math mi mn mo ms mtext mspace mrow mfrac msqrt mroot "
+    "msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd mstyle merror "
+    "mpadded mphantom menclose semantics".split()
 )
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -42,7 +49,7 @@ NO_PARAGRAPH = frozenset(
 )
 
 TOKEN = re.compile(
-    r"<!--(?:(?!-->).)*+(?:-->|\Z)"
+    r"<!--(?:-?>|(?:(?!--!?>).)*+(?:--!?>|\Z))"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
     r"(?P<attributes>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|))*+)(?:>|\Z)",
@@ -103,8 +110,14 @@ def parse(source: str) -> Page:
             opened[name] -= 1
         del stack[depth:]
 
+    def end_head() -> None:
+        if stack[-1][0] == "head":
+            close(len(stack) - 1)
+
     def words(text: str) -> None:
         nonlocal linked
+        if text and not text.isspace():
+            end_head()
         if not silent and text:
             text = html.unescape(text) if "&" in text else text
             line.append(text)
@@ -136,18 +149,22 @@ def parse(source: str) -> Page:
                 continue
             for depth in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[depth][0] == name:
-                    block()
+                    if name not in SILENT and not silent:
+                        block()
+                        links = 0
                     close(depth)
-                    links = 0
                     break
             continue
+        if name not in IN_HEAD:
+            end_head()
         if name in INLINE:
             if name == "br":
                 line.append(" ")
             elif name == "a":
                 links = 1
             continue
-        block()
+        if name not in SILENT and not silent:
+            block()
         # Elements that this one closes.
         if name in NO_PARAGRAPH and stack[-1][0] == "p":
             close(len(stack) - 1)
@@ -158,8 +175,6 @@ def parse(source: str) -> Page:
                     break
                 if stack[depth][0] in rule[0]:
                     close(depth)
-        if name == "body" and stack[-1][0] == "head":
-            close(len(stack) - 1)
         page.tags.append(name)
         page.attributes.append(match["attributes"].strip().lower())
         page.parents.append(stack[-1][1])

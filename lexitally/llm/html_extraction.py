@@ -354,8 +354,18 @@ class Layouts:
             if self.chance(share):
                 parts.insert(self.random.randint(0, len(parts)), make())
         title = f"<h1>{self.main(self.phrase(12))}</h1>" if self.chance(0.8) else ""
+        if title and self.chance(0.3):
+            title = self.title_header(title)
         return title + "".join(parts)
 
+    def title_header(self, title: str) -> str:
+        """The header of an article, which unlike a page's holds its title."""
+        begin = self.random.choice(("<header>", "<header>", '<header class="entry-header">', '<div class="title">'))
+        around = [f"<p>{self.phrase(5)}</p>"] * self.chance(0.3) + [self.menu()] * self.chance(0.25)
+        parts = [title, *around]
+        self.random.shuffle(parts)
+        return begin + "".join(parts) + ("</div>" if begin.startswith("<div") else "</header>")
+
     def page(self) -> str:
         body = self.article()
         r = self.random.random()
@@ -418,10 +428,13 @@ def sentences(sources: list[str]) -> list[str]:
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> boosting.Trees | None:
     """Trees fitted to layouts with words of a sample of the pages; none if they have no text."""
     order = F.xxhash64(F.lit("html"), F.col(id_col).cast("string"))
-    taken = pages.where(F.col(html_col).isNotNull()).select(
-        order.alias("place"), F.substring(html_col, 1, SAMPLE_CHARS).alias("source")
-    )
-    rows = taken.orderBy("place", "source").limit(SAMPLE).collect()
+    filled = pages.where(F.col(html_col).isNotNull())
+    # Places first, as every task sends as many rows as are wanted; then only their pages.
+    places = filled.select(order.alias("place")).orderBy("place").limit(SAMPLE).collect()
+    chosen = filled.where(order.isin([row["place"] for row in places])) if places else filled.limit(0)
+    rows = chosen.groupBy(order.alias("place")).agg(
+        F.min(F.substring(html_col, 1, SAMPLE_CHARS)).alias("source")
+    ).orderBy("place").collect()
     found = sentences([row["source"] for row in rows])
     if not found:
         return None
