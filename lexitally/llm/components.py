@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.session import written
+from lexitally.session import Scratch
 
 
 def _to_smallest(links: DataFrame) -> DataFrame:
@@ -31,18 +31,20 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.where("a <> b").unionByName(own).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node, root`` of every node in ``links`` (``a, b``): the smallest node it reaches.
 
     Links may stand in either direction and repeat; a link of a node to itself says
     nothing. Each round rewrites the links so that they lead to smaller nodes, and the
     links are written to the shared folder after it; the end is a star per component, which
-    a round leaves as it is. Nulls are not nodes.
+    a round leaves as it is. Nulls are not nodes. Links of earlier rounds are removed; the last
+    stay in ``scratch``, or for good.
     """
+    scratch = Scratch(links.sparkSession, "components") if scratch is None else scratch
     down = links.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    now = written(down.distinct(), "links")
+    now = scratch.written(down.distinct(), "links")
     before = None
     while True:
         mark = now.agg(
@@ -53,7 +55,9 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(mark) == before or mark["n"] == 0:
             break
         before = tuple(mark)
-        now = written(_small_star(_large_star(now)), "links")
+        after = scratch.written(_small_star(_large_star(now)), "links")
+        scratch.drop(now)
+        now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexitally.llm.components import components
-from lexitally.session import written
+from lexitally.session import Scratch, written
 
 SEED = 42
 # Fingerprints of one key that a task compares at once.
@@ -271,7 +271,7 @@ def keyed(classes: DataFrame, method: Method) -> DataFrame:
     return classes.select("node", "narrow", "wide", F.explode(F.array(*keys)).alias("key"))
 
 
-def dealt(keys: DataFrame) -> DataFrame:
+def dealt(keys: DataFrame, scratch: Scratch) -> DataFrame:
     """The keyed rows with a ``cell``; a key of over ``RUN`` rows has several cells.
 
     The rows of such a key are dealt to parts by hash, and every pair of parts is a cell,
@@ -284,7 +284,7 @@ def dealt(keys: DataFrame) -> DataFrame:
         .select("key", F.expr(f"cast(ceil(2 * n / {RUN}) as int)").alias("parts"))
     )
     # Written first, so that Spark knows its size, mostly nothing, before it plans the join.
-    rows = keys.join(written(large, "simhash-large"), "key", "left")
+    rows = keys.join(scratch.written(large, "large"), "key", "left")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
@@ -421,24 +421,30 @@ def _shingle_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def alike(
     pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: float,
-    text_col: str,
+    id_col: str, text_col: str, scratch: Scratch,
 ) -> DataFrame:
     """The pairs of nodes whose texts' sets of shingles are alike by ``similarity`` or more.
 
-    A class is compared by any text of it, found by its SHA-256. Only texts of the pairs are
-    looked at.
+    A class is compared by the text that would stay of it, found by its id and SHA-256. Only texts
+    of the pairs are looked at.
     """
-    pairs = written(pairs.distinct(), "simhash-pairs")
+    pairs = scratch.written(pairs.distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(nodes.join(classes, "node").select("node", "digest"), "simhash-nodes")
+    chosen = nodes.join(classes, "node").select("node", "stays.doc_id", "stays.digest")
+    wanted = scratch.written(chosen, "nodes").toDF("node", "own_id", "own")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
-    found = texts.join(wanted.hint("merge"), "digest").select("node", "text")
-    sets = written(
-        found.mapInArrow(_shingle_sets(size), "node long, shingles array<long>")
-        .dropDuplicates(["node"]),
-        "simhash-shingles",
+    texts = docs.select(
+        F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text")
+    )
+    same = (F.col("digest") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
+    # Copies with ids of their own meet nowhere. Rows that repeat both lie in one task by now, so
+    # all but one are dropped where they are.
+    found = texts.join(wanted.hint("merge"), same).dropDuplicates(["digest", "doc_id"])
+    found = found.select("node", "text")
+    sets = scratch.written(
+        found.mapInArrow(_shingle_sets(size), "node long, shingles array<long>"), "shingles"
     )
+    scratch.settle()
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -500,7 +506,9 @@ def run_pairs(
             yield kept(some[first], other[second])
 
 
-def apart_pairs(prints: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def apart_pairs(
+    prints: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch
+) -> DataFrame:
     """``a, b``: all pairs of nodes of different ``roots`` whose sets can be alike.
 
     Some pairs come several times. ``prints`` are ``node, size, prefix`` in any number of rows
@@ -512,9 +520,12 @@ def apart_pairs(prints: DataFrame, roots: DataFrame, similarity: float) -> DataF
     ordered = rows.select("key", "node", "size", "pos").repartition("key").sortWithinPartitions("key")
     shared = ordered.mapInArrow(_shared, "key long, node long, size long, pos int")
     # Most shingles are in one text, so this is much less than there was.
-    shared = written(shared, "simhash-shared")
+    shared = scratch.written(shared, "shared")
     rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    cells = dealt(written(rooted.select("key", "node", "size", "pos", "root"), "simhash-rooted"))
+    rooted = scratch.written(rooted.select("key", "node", "size", "pos", "root"), "rooted")
+    scratch.drop(shared)
+    scratch.settle()
+    cells = dealt(rooted, scratch)
     names = ["key", "cell", "node", "size", "pos", "root"]
     ordered = cells.select(*names).repartition("key", "cell").sortWithinPartitions("key", "cell")
 
@@ -556,33 +567,43 @@ def apart_pairs(prints: DataFrame, roots: DataFrame, similarity: float) -> DataF
 
 
 def _grouped(
-    docs: DataFrame, method: Method, similarity: float, id_col: str, text_col: str, whole: bool
+    docs: DataFrame, method: Method, similarity: float, id_col: str, text_col: str, whole: bool,
+    scratch: Scratch,
 ) -> DataFrame:
     """The rows of `near_groups`; if ``whole``, with the SHA-256 of each text as ``digest`` and
-    the id and digest of the row of its component that stays, ``stays``."""
+    the id and digest of the row of its component that stays, ``stays``.
+
+    They are read from two tables of ``scratch``; what else was written there is gone.
+    """
     sets = bool(similarity) or whole
     prints = (
         with_node(with_shingles(docs, method, similarity, id_col, text_col), method)
         if sets else with_fingerprints(docs, method, id_col, text_col)
     )
-    prints = written(prints, "simhash-prints")
+    prints = scratch.written(prints, "prints")
     same = ["narrow", "wide"] + ["own"] * sets
     found = [F.min("doc_id").alias("first"), F.count("*").alias("n")]
     if sets:
         # Rows without an id come after others.
         order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "digest")
         found += [F.min("digest").alias("digest"), F.min(order).alias("stays")]
-    classes = written(with_node(prints.groupBy(*same).agg(*found), method), "simhash-classes")
-    close = links(dealt(keyed(classes, method)), method)
+    classes = scratch.written(with_node(prints.groupBy(*same).agg(*found), method), "classes")
+    close = links(dealt(keyed(classes, method), scratch), method)
     if similarity:
-        close = written(alike(close, classes, docs, method.wide, similarity, text_col), "simhash-links")
+        verified = alike(close, classes, docs, method.wide, similarity, id_col, text_col, scratch)
+        close = scratch.written(verified, "close")
+        scratch.keep(prints, classes, close)
         left = apart_pairs(
-            prints.select("node", "size", "prefix"), components(close), similarity
+            prints.select("node", "size", "prefix"), components(close, scratch), similarity, scratch
         )
-        close = close.unionByName(alike(left, classes, docs, method.wide, similarity, text_col))
-    roots = components(close)
+        verified = alike(left, classes, docs, method.wide, similarity, id_col, text_col, scratch)
+        more = scratch.written(verified, "close")
+        scratch.keep(prints, classes, close, more)
+        close = close.unionByName(more)
+    roots = components(close, scratch)
     groups = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = written(groups, "simhash-groups")
+    groups = scratch.written(groups, "groups")
+    scratch.keep(prints, groups)
     totals = [F.min("first").alias("component_id"), F.sum("n").alias("group_size")]
     if sets:
         totals.append(F.min("stays").alias("stays"))
@@ -610,7 +631,8 @@ def near_groups(
     Rows without an id are rows like any other; a component of such rows only has a null
     id. An empty table gives no rows.
     """
-    found = _grouped(docs, method, similarity, id_col, text_col, False)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    found = _grouped(docs, method, similarity, id_col, text_col, False, scratch)
     return found.select("doc_id", "narrow", "component_id", "group_size")
 
 
@@ -627,12 +649,14 @@ def deduplicated(
     one with the smallest SHA-256; rows without an id come last. Rows that repeat both id and
     text stay or go together.
     """
-    groups = _grouped(docs, method, similarity, id_col, text_col, True)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    groups = _grouped(docs, method, similarity, id_col, text_col, True, scratch)
     stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))
     stays &= F.col("digest") == F.col("stays.digest")
     going = groups.where((F.col("group_size") > 1) & ~stays)
     gone = going.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone"))
     gone = written(gone.distinct(), "simhash-gone")
+    scratch.close()
     key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), key.alias("own"))
     same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own") == F.col("gone"))
