@@ -96,6 +96,8 @@ def json_answer(counts: DataFrame, k: int | str, max_k: int = MAX_K) -> DataFram
 
 # Slices of a group that are cut to their first rows before the group is put together.
 SLICES = 64
+# Batches of a block that one task looks at, as a power of two.
+BATCH_BLOCK_BITS = 8
 
 
 def first_per_group(
@@ -125,8 +127,9 @@ def top_k_per_batch(
     so far. Batches are numbered from 0 first. A total holds until the word's next batch.
     Each such span is cut into the nodes of a dyadic tree, at most two per level; a word
     among the first K of a batch is among the first K of the node that brings it there,
-    so only K words per node go on, and each batch looks at the nodes above it. Nothing
-    is ever spread out over batches times words.
+    so only K words per node go on. Nodes are handed down to blocks of batches, again K words
+    per block, and inside the blocks to their batches. Nothing is ever spread out over
+    batches times words, and no table with a row per batch is broadcast.
     """
     size = max(parse_k(k), 0)
     level, first, last = F.col("_level"), F.col("_first"), F.col("_last")
@@ -141,11 +144,11 @@ def top_k_per_batch(
         numbered(running.select("_batch").distinct(), F.col("_batch"), name="_no"), "batches"
     )
     many = batches.count()
-    levels = many.bit_length()
     # The totals of a word, blocks of batches at a time, so that a word that is in every
     # batch is not one task's work: the next batch is looked up inside the block, and at
     # the end of a block it is the first batch of the word's next block.
-    spans = running.join(batches, "_batch").select(
+    # Both tables are small as files, which says nothing about them in memory.
+    spans = running.join(batches.hint("merge"), "_batch").select(
         word, total, F.col("_no").alias("_from"), F.shiftright("_no", 12).alias("_block")
     )
     inside = Window.partitionBy(word, "_block").orderBy("_from")
@@ -180,14 +183,27 @@ def top_k_per_batch(
     ).where(F.col("_node").isNotNull())
     node_tops = first_per_group(cut, ["_level", "_node"], size, total, word)
 
-    all_levels = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level")
-    looks = batches.select("_batch", "_no", all_levels).withColumn(
-        "_node", F.call_function("shiftright", F.col("_no"), level)
+    high = level >= BATCH_BLOCK_BITS
+    shift = F.abs(level - BATCH_BLOCK_BITS)
+    step = F.call_function("shiftleft", F.lit(1).cast("bigint"), shift)
+    start = F.col("_node") * step
+    handed = node_tops.where(high).select(
+        word, total, F.explode(F.sequence(start, start + step - 1)).alias("_block")
     )
-    found = looks.join(node_tops, ["_level", "_node"])
-    final = Window.partitionBy("_batch").orderBy(*_order(total, word))
-    return (
-        found.withColumn("rank", F.row_number().over(final).cast("bigint"))
-        .where(F.col("rank") <= size)
-        .select(F.col("_batch").alias(batch_no), "rank", word, total)
+    handed = first_per_group(handed, ["_block"], size, total, word)
+    handed = handed.select(word, total, "_block", F.lit(BATCH_BLOCK_BITS).alias("_level"), F.col("_block").alias("_node"))
+    low = node_tops.where(~high).select(
+        word, total, F.call_function("shiftright", F.col("_node"), shift).alias("_block"), "_level", "_node"
+    )
+    step = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+    start = F.col("_node") * step
+    # A block's rows are in one task before they are spread out, and are not moved again.
+    found = handed.unionByName(low).repartition("_block").select(
+        "_block", word, total, F.explode(F.sequence(start, start + step - 1)).alias("_no")
+    )
+    final = Window.partitionBy("_block", "_no").orderBy(*_order(total, word))
+    first = found.withColumn("rank", F.row_number().over(final).cast("bigint"))
+    first = first.where(F.col("rank") <= size)
+    return first.join(batches.hint("merge"), "_no").select(
+        F.col("_batch").alias(batch_no), "rank", word, total
     )

@@ -542,7 +542,9 @@ def events_by_second(spark, folder) -> DataFrame:
 @query
 def top_words_per_second(spark, folder):
     """The first three event types after every second in which there was an event."""
-    running = counts.running_counts(events_by_second(spark, folder), batch="batch_no")
+    # Blocks of about a thousand seconds.
+    block = F.call_function("shiftright", F.col("batch_no"), F.lit(20))
+    running = counts.running_counts(events_by_second(spark, folder), batch="batch_no", block=block)
     return ranking.top_k_per_batch(running, 3)
 
 

@@ -1,8 +1,11 @@
 """Counts, running totals and ranked answers."""
 
+import io
 import json
 import random
+import re
 from collections import Counter
+from contextlib import redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +139,20 @@ def test_top_k_per_batch(spark, k, batches, size, first):
     assert found == want
 
 
+def test_batches_are_never_broadcast(spark):
+    """A table with a row per batch is small as a file, and many times that on the driver."""
+    running = spark.range(3_000).select(
+        F.col("id").alias("batch_no"), F.concat(F.lit("w"), F.col("id") % 5).alias("word"), F.col("id").alias("total")
+    )
+    rows = ranking.top_k_per_batch(running, 2)
+    assert rows.count() == 2 * 3_000 - 1
+    out = io.StringIO()
+    with redirect_stdout(out):
+        rows.explain("formatted")
+    merged = re.findall(r"SortMergeJoin.*\nLeft keys \[\d+\]: \[(\w+)#", out.getvalue())
+    assert {"_batch", "_no"} <= set(merged)
+
+
 def test_a_row_without_a_batch_fails(spark):
     frame = spark.createDataFrame([(1, "a", 1), (None, "b", 2)], "batch_no bigint, word string, total bigint")
     with pytest.raises(Exception, match="has no batch"):
