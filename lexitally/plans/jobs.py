@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from lexitally.functions.text import Tokenizer
 from lexitally.operators.counts import word_counts
 from lexitally.operators.ranking import MAX_K, with_rank
 from lexitally.operators.requests import accepted_descriptions
-from lexitally.session import scratch_dir
+from lexitally.session import file_system, scratch_dir
 from lexitally.sources.feeds import table_stream
 from lexitally.sources.stores import StreamStore
 from lexitally.streaming.jobs import run_counts, run_requests, stream_accepted
@@ -49,11 +50,40 @@ def parts_by_time(rows: DataFrame, column: str, cuts: Iterable[str]) -> list[Dat
     return parts
 
 
+# Bytes of the input of a feed for each of its files.
+FEED_FILE = 8 << 20
+
+
+def _count_files(spark: SparkSession, folder: str) -> int:
+    files, place = file_system(spark, f"{folder}/*.parquet")
+    return len(files.globStatus(place))
+
+
+def _files_for(spark: SparkSession, part: DataFrame) -> int:
+    """How many files a part is to have, by the bytes of the tables that it is made of."""
+    sizes = 0
+    for name in part.inputFiles():
+        files, place = file_system(spark, unquote(name))
+        sizes += files.getFileStatus(place).getLen()
+    return max(1, -(-sizes // FEED_FILE))
+
+
 def feed_of(spark: SparkSession, parts: Iterable[DataFrame], root: str) -> DataFrame:
-    """The parts as a feed of one file each, in this order, and a micro-batch per file."""
+    """The parts as a feed in this order, and a micro-batch per part.
+
+    A stream takes a number of files at a time, so all parts have as many, however few rows they
+    have: as many as the largest needs for no task to have more than its share.
+    """
+    parts, place = list(parts), f"{root}/feed"
+    each = max((_files_for(spark, part) for part in parts), default=1)
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{root}/feed")
-    return table_stream(spark, f"{root}/feed", files_per_batch=1)
+        before = _count_files(spark, place)
+        rows = part.repartition(each)
+        rows.write.mode("append").option("maxRecordsPerFile", 0).parquet(place)
+        # Tasks without rows write no file, but for one.
+        for _ in range(_count_files(spark, place), before + each):
+            part.limit(0).write.mode("append").parquet(place)
+    return table_stream(spark, place, files_per_batch=each)
 
 
 def stream_requests(

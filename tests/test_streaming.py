@@ -6,6 +6,7 @@ import random
 
 import pytest
 from lexitally.operators import counts, keyset, requests
+from lexitally.plans import jobs as plans
 from lexitally.plans.jobs import feed_of
 from lexitally.session import Scratch, remove, scratch_dir, written
 from lexitally.sources import feeds, stores
@@ -209,6 +210,25 @@ def test_a_batch_of_keys_that_runs_again(spark, folder, keyed):
     assert store.seen(key="k").count() < len(run(batches[2])[1]) + 1
 
 
+@pytest.mark.parametrize("restarted", [False, True])
+def test_a_part_of_many_files_is_one_batch(spark, folder, restarted, monkeypatch):
+    """Parts of many rows, of one and of none; those of many rows are not one file."""
+    spark.range(20_000, numPartitions=4).selectExpr("concat('P', id) product_id", "id").write.parquet(f"{folder}/a b")
+    rows = spark.read.parquet(f"{folder}/a b")
+    sizes = [os.path.getsize(name) for name in glob.glob(f"{folder}/a b/*.parquet")]
+    monkeypatch.setattr(plans, "FEED_FILE", sum(sizes) // 5 + 1)
+    parts = [rows.where("id < 9000"), rows.where("id = 9000"), rows.where("id < 0"), rows.where("id > 9000")]
+    seen = []
+
+    def write(batch, batch_id):
+        seen.append((batch_id, batch.count(), batch.select(F.input_file_name()).distinct().count()))
+
+    for some in [[part] for part in parts] if restarted else [parts]:
+        feed = feed_of(spark, some, folder)
+        jobs.run_batches(feed, f"{folder}/checkpoint", write, None).awaitTermination()
+    assert seen == [(0, 9_000, 5), (1, 1, 1), (2, 0, 0), (3, 10_999, 5)]
+
+
 def test_keys_need_an_order(spark, folder):
     rows = feed_of(spark, [part(spark, 0)], folder)
     with pytest.raises(ValueError, match="text"):
