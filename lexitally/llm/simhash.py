@@ -401,20 +401,24 @@ def links(cells: DataFrame, method: Method) -> DataFrame:
     return ordered.mapInArrow(work, "a long, b long")
 
 
-def _shingle_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _verified(
+    size: int, similarity: float
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def shingle_set(text: str) -> set[bytes]:
+        return set(shingles(text.encode("utf-8").lower().split(), size))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, other = None, set()
         for batch in batches:
-            sets = [
-                hashes((text.as_py() or "").encode("utf-8").lower().split(), size, False)
-                for text in batch.column("text")
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("node"),
-                    pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
-                ],
-                names=["node", "shingles"],
-            )
+            keep = []
+            for b, x, y in zip(batch.column("b").to_pylist(), batch.column("x"), batch.column("y")):
+                # Pairs come in the order of their second node.
+                if b != node:
+                    node, other = b, shingle_set(y.as_py())
+                one = shingle_set(x.as_py())
+                common = len(one & other)
+                keep.append(common >= similarity * (len(one) + len(other) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return work
 
@@ -429,6 +433,7 @@ def alike(
     of the pairs are looked at.
     """
     pairs = scratch.written(pairs.distinct(), "pairs")
+    scratch.settle()
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = nodes.join(classes, "node").select("node", "stays.doc_id", "stays.digest")
     wanted = scratch.written(chosen, "nodes").toDF("node", "own_id", "own")
@@ -440,16 +445,12 @@ def alike(
     # Copies with ids of their own meet nowhere. Rows that repeat both lie in one task by now, so
     # all but one are dropped where they are.
     found = texts.join(wanted.hint("merge"), same).dropDuplicates(["digest", "doc_id"])
-    found = found.select("node", "text")
-    sets = scratch.written(
-        found.mapInArrow(_shingle_sets(size), "node long, shingles array<long>"), "shingles"
-    )
+    # Texts are sent to the pairs: their shingles take several times as much, and cannot be packed.
+    found = scratch.written(found.select("node", "text"), "texts")
     scratch.settle()
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    whole = F.size("x") + F.size("y") - common
-    return both.where(common >= similarity * whole).select("a", "b")
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(found.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_verified(size, similarity), "a long, b long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -588,6 +589,8 @@ def _grouped(
         order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "digest")
         found += [F.min("digest").alias("digest"), F.min(order).alias("stays")]
     classes = scratch.written(with_node(prints.groupBy(*same).agg(*found), method), "classes")
+    # Before this the shuffle files of earlier jobs, too, may still be there.
+    scratch.settle()
     close = links(dealt(keyed(classes, method), scratch), method)
     if similarity:
         verified = alike(close, classes, docs, method.wide, similarity, id_col, text_col, scratch)

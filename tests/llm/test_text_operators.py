@@ -5,6 +5,8 @@ import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -398,6 +400,28 @@ def test_links_are_found_though_closer_fingerprints_are_not_alike(spark):
     check_similar(simhash.near_groups(docs, simhash.SIMILAR, 0.8).collect(), source)
 
 
+def test_candidates_take_less_room_than_their_texts(spark, monkeypatch):
+    """What is written of the texts that are compared, and sent to their pairs, is packed text."""
+    pick, sizes = random.Random(13), {}
+    words = [f"word{i}" for i in range(300)]
+    texts = [" ".join(pick.choices(words, k=900)) for _ in range(100)]
+    source = [(2 * i + j, text + " more" * j) for i, text in enumerate(texts) for j in range(2)]
+    write = simhash.Scratch.written
+
+    def written(self, rows, name):
+        table = write(self, rows, name)
+        files = [Path(urlparse(file).path) for file in table.inputFiles()]
+        sizes[name] = max(sizes.get(name, 0), sum(file.stat().st_size for file in files))
+        return table
+
+    monkeypatch.setattr(simhash.Scratch, "written", written)
+    docs = spark.createDataFrame(source, "doc_id long, text string")
+    kept = simhash.deduplicated(docs)
+    assert {r.doc_id for r in kept.collect()} == set(range(0, 200, 2))
+    del sizes["prints"]
+    assert max(sizes.values()) < 0.6 * sum(len(text) for _, text in source)
+
+
 def test_near_copies_go_by_id_and_text(spark):
     def copies(name):
         words = [f"{name}{i}" for i in range(100)]
