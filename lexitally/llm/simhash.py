@@ -15,7 +15,10 @@ With a similarity of shingle sets, that is a first step only, which puts most co
 its links are verified by the shingles. The second step misses no pair. Shingles have one order,
 in which common ones come last; two sets that are alike by ``s`` share one of the first
 ``n - ceil(s * n) + 1`` of each. So these are keys, and all pairs of a key that the first step
-has left apart, and that are alike by their sizes and places as far as can be seen, are verified.
+has left apart, and that are alike by their sizes and places as far as can be seen, are looked at.
+Rows that have such a partner get the parities of their set, two to four bits for each
+shingle: two sets differ in at least as many shingles as parities, so most pairs that are not alike
+end in the key where they met, and only the others are sent on and verified.
 """
 
 from __future__ import annotations
@@ -48,6 +51,8 @@ COMMON = 200_000
 # Runs up to this length are paired all at once, and pairs sent on together.
 SHORT = 16
 PAIRS = 1 << 18
+# Parities of a set at most, 1 kB: of sets of over 4,096 shingles more pairs are left to verify.
+PARITIES = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -182,6 +187,38 @@ def prefix(
     return ordered[: len(values) - _needed(len(values), similarity) + 1]
 
 
+def parities(values: np.ndarray) -> bytes:
+    """For each place of a bitmap, whether an odd number of the values falls there.
+
+    The places are a power of two, at least 64 and twice the values, and at most ``PARITIES``.
+    """
+    places = min(max(64, 1 << (2 * len(values)).bit_length()), PARITIES)
+    counts = np.bincount((values & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def parities_apart(bits: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """In how many parities pairs of sets differ; in values they differ as often or more.
+
+    A longer bitmap is laid over itself until it has the places of the shorter one.
+    """
+    lengths = np.array([len(part) // 8 for part in bits], dtype=np.int64)
+    flat, begin = np.frombuffer(b"".join(bits), np.uint64), np.cumsum(lengths) - lengths
+    apart = np.empty(len(first), dtype=np.int64)
+    kinds = lengths[first] * (PARITIES + 1) + lengths[second]
+    for kind in np.unique(kinds):
+        one, other = divmod(int(kind), PARITIES + 1)
+        least, step = min(one, other), max(1, PAIRS // max(one, other))
+        of_kind = np.flatnonzero(kinds == kind)
+        for i in range(0, len(of_kind), step):
+            some = of_kind[i : i + step]
+            x = flat[begin[first[some], None] + np.arange(one)].reshape(len(some), -1, least)
+            y = flat[begin[second[some], None] + np.arange(other)].reshape(len(some), -1, least)
+            both = np.bitwise_xor.reduce(x, axis=1) ^ np.bitwise_xor.reduce(y, axis=1)
+            apart[some] = np.bitwise_count(both).sum(axis=1)
+    return apart
+
+
 def common_shingles(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample have, sorted, and how common each is."""
     texts = docs.select(F.col(text_col).alias("text"))
@@ -203,9 +240,9 @@ def common_shingles(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndarr
 def with_shingles(
     docs: DataFrame, method: Method, similarity: float, id_col: str, text_col: str
 ) -> DataFrame:
-    """``doc_id, digest, narrow, wide, own, size, prefix``: the SHA-256 of each text, its
-    fingerprints, and, with a similarity, a digest of its set of shingles, their number and
-    the first of them."""
+    """``doc_id, digest, narrow, wide, own, size, prefix, bits``: the SHA-256 of each text, its
+    fingerprints, and, with a similarity, a digest of its set of shingles, their number, the
+    first of them and their parities."""
     none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     common, ranks = common_shingles(docs, method.wide, text_col) if similarity else none
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -216,12 +253,13 @@ def with_shingles(
     for name, kind in (
         ("narrow", T.LongType()), ("wide", T.BinaryType()), ("own", T.BinaryType()),
         ("size", T.LongType()), ("prefix", T.ArrayType(T.LongType())),
+        ("bits", T.BinaryType()),
     ):
         schema = schema.add(name, kind)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, own, sizes, firsts = [], [], [], []
+            prints, own, sizes, firsts, bits = [], [], [], [], []
             for text in batch.column("text"):
                 words = text.as_py().encode("utf-8").lower().split()
                 values = hashes(words, method.wide, False) if method.wide else none[0]
@@ -230,6 +268,7 @@ def with_shingles(
                 own.append(hashlib.sha256(values.tobytes()).digest() if similarity else b"")
                 sizes.append(len(values))
                 firsts.append(prefix(values, similarity, common, ranks).view(np.int64))
+                bits.append(parities(values) if similarity else b"")
             ends = np.cumsum([0] + [len(first) for first in firsts])
             flat = pa.array(np.concatenate(firsts) if firsts else none[1], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -241,6 +280,7 @@ def with_shingles(
                     pa.array(own, pa.binary()),
                     pa.array(sizes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
+                    pa.array(bits, pa.binary()),
                 ],
                 names=schema.names,
             )
@@ -475,7 +515,7 @@ def run_pairs(
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of the runs that begin at ``starts`` which have different roots and can be
     alike: the shingle of a run is taken as the first that two sets share, so they share no
-    more than are left from there in either."""
+    more than are left from there in either; with ``bits``, they differ in no fewer than these do."""
     size, left, root = rows["size"], rows["size"] - rows["pos"], rows["root"]
     share = similarity / (1 + similarity)
 
@@ -483,7 +523,13 @@ def run_pairs(
         both = np.minimum(left[first], left[second])
         keep = both >= share * (size[first] + size[second]) - 1e-6
         keep &= root[first] != root[second]
-        return first[keep], second[keep]
+        first, second = first[keep], second[keep]
+        if "bits" in rows and len(first):
+            most = (1 - 2 * share) * (size[first] + size[second]) + 1e-6
+            nodes, at = np.unique(np.concatenate([first, second]), return_inverse=True)
+            keep = parities_apart(rows["bits"][nodes], *np.split(at, 2)) <= most
+            first, second = first[keep], second[keep]
+        return first, second
 
     lengths = np.diff(np.append(starts, len(size)))
     mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
@@ -507,13 +553,36 @@ def run_pairs(
             yield kept(some[first], other[second])
 
 
+def _runs(
+    batches: Iterator[pa.RecordBatch],
+) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Rows in the order of their keys and cells, cut where a run ends, and where runs begin."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {
+            name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names
+        }
+        if held is not None:
+            now = {name: np.concatenate([held[name], now[name]]) for name in now}
+        change = (now["key"][1:] != now["key"][:-1]) | (now["cell"][1:] != now["cell"][:-1])
+        starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        # The last run may go on in the next batch.
+        if len(starts) > 1:
+            yield {name: values[: starts[-1]] for name, values in now.items()}, starts[:-1]
+        held = {name: values[starts[-1] :] for name, values in now.items()}
+    if held is not None:
+        yield held, np.array([0])
+
+
 def apart_pairs(
     prints: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch
 ) -> DataFrame:
     """``a, b``: all pairs of nodes of different ``roots`` whose sets can be alike.
 
-    Some pairs come several times. ``prints`` are ``node, size, prefix`` in any number of rows
-    per node.
+    Some pairs come several times. ``prints`` are ``node, size, prefix, bits`` in any number of
+    rows per node.
     """
     rows = prints.dropDuplicates(["node"]).select(
         "node", "size", F.posexplode("prefix").alias("pos", "key")
@@ -530,39 +599,36 @@ def apart_pairs(
     names = ["key", "cell", "node", "size", "pos", "root"]
     ordered = cells.select(*names).repartition("key", "cell").sortWithinPartitions("key", "cell")
 
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _runs(batches):
+            met = np.zeros(len(rows["key"]), dtype=bool)
+            for first, second in run_pairs(rows, starts, similarity):
+                met[first] = met[second] = True
+            yield pa.RecordBatch.from_arrays([pa.array(rows[name][met]) for name in names], names=names)
+
+    # Only rows with a partner get their bits: no more rows than there are, however many pairs.
+    met = scratch.written(ordered.mapInArrow(meeting, ordered.schema), "met")
+    scratch.drop(rooted)
+    scratch.settle()
+    bits = prints.select("node", "bits").dropDuplicates(["node"])
+    ordered = met.join(bits, "node").repartition("key", "cell").sortWithinPartitions("key", "cell")
+
     def as_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         one, other = (np.concatenate(side) for side in zip(*found))
         ends = [np.minimum(one, other), np.maximum(one, other)]
         return pa.RecordBatch.from_arrays([pa.array(side) for side in ends], names=["a", "b"])
 
-    def paired(rows: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found, n = [], 0
-        for first, second in run_pairs(rows, starts, similarity):
-            found.append((rows["node"][first], rows["node"][second]))
-            n += len(first)
-            if n > PAIRS:
-                yield as_batch(found)
-                found, n = [], 0
-        if n:
-            yield as_batch(found)
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = {name: batch.column(name).to_numpy() for name in names}
-            if held is not None:
-                now = {name: np.concatenate([held[name], now[name]]) for name in now}
-            change = (now["key"][1:] != now["key"][:-1]) | (now["cell"][1:] != now["cell"][:-1])
-            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
-            # The last run may go on in the next batch.
-            if len(starts) > 1:
-                whole = {name: values[: starts[-1]] for name, values in now.items()}
-                yield from paired(whole, starts[:-1])
-            held = {name: values[starts[-1] :] for name, values in now.items()}
-        if held is not None:
-            yield from paired(held, np.array([0]))
+        for rows, starts in _runs(batches):
+            found, n = [], 0
+            for first, second in run_pairs(rows, starts, similarity):
+                found.append((rows["node"][first], rows["node"][second]))
+                n += len(first)
+                if n > PAIRS:
+                    yield as_batch(found)
+                    found, n = [], 0
+            if n:
+                yield as_batch(found)
 
     return ordered.mapInArrow(work, "a long, b long")
 
@@ -597,7 +663,7 @@ def _grouped(
         close = scratch.written(verified, "close")
         scratch.keep(prints, classes, close)
         left = apart_pairs(
-            prints.select("node", "size", "prefix"), components(close, scratch), similarity, scratch
+            prints.select("node", "size", "prefix", "bits"), components(close, scratch), similarity, scratch
         )
         verified = alike(left, classes, docs, method.wide, similarity, id_col, text_col, scratch)
         more = scratch.written(verified, "close")

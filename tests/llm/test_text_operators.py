@@ -422,6 +422,47 @@ def test_candidates_take_less_room_than_their_texts(spark, monkeypatch):
     assert max(sizes.values()) < 0.6 * sum(len(text) for _, text in source)
 
 
+def test_parities_never_tell_alike_sets_apart():
+    pick = np.random.default_rng(15)
+    sizes = (0, 1, 2, 31, 32, 33, 500, 620, 5000, 40_000)
+    both = pick.integers(0, 1 << 64, 50_000, dtype=np.uint64)
+    found = [both[at : at + n] for n in sizes for at in (0, n // 20, n // 9)]
+    bits = np.array([simhash.parities(values) for values in found], dtype=object)
+    assert max(map(len, bits)) == simhash.PARITIES // 8
+    first, second = np.triu_indices(len(found), 1)
+    apart = simhash.parities_apart(bits, first, second)
+    differing = [len(np.setxor1d(found[i], found[j])) for i, j in zip(first, second)]
+    assert (apart <= differing).all()
+    near = [(a, d) for a, d, i, j in zip(apart, differing, first, second) if len(found[i]) == len(found[j]) == 500]
+    assert all(a > 0.8 * d for a, d in near) and len(near) == 3
+
+
+@pytest.mark.parametrize("run", [50, 20_000])
+def test_a_family_of_texts_that_are_not_alike_is_not_paired(spark, monkeypatch, run):
+    """80 variants of a text, alike by 0.7, share hundreds of keys and have 3,160 pairs."""
+    pick, pairs = random.Random(14), []
+    base = [f"w{pick.randint(0, 10**6)}" for _ in range(400)]
+    source = []
+    for i in range(80):
+        words = list(base)
+        for at in pick.sample(range(4, 396), 8):
+            words[at] = f"v{pick.randint(0, 10**6)}"
+        source.append((i, " ".join(words)))
+    source += [(100 + i, source[i][1] + " added " * 3) for i in range(4)]
+    write = simhash.Scratch.written
+
+    def written(self, rows, name):
+        table = write(self, rows, name)
+        pairs.extend([table.count()] * (name == "pairs"))
+        return table
+
+    monkeypatch.setattr(simhash.Scratch, "written", written)
+    monkeypatch.setattr(simhash, "RUN", run)
+    docs = spark.createDataFrame(source, "doc_id long, text string")
+    check_similar(simhash.near_groups(docs, simhash.SIMILAR, 0.8).collect(), source)
+    assert len(pairs) == 2 and pairs[1] < len(source)
+
+
 def test_near_copies_go_by_id_and_text(spark):
     def copies(name):
         words = [f"{name}{i}" for i in range(100)]
